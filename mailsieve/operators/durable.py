@@ -1,4 +1,4 @@
-"""Cutting lineage in the cluster's shared checkpoint folder."""
+"""Intermediate tables in the cluster's shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -24,15 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder now and continue from the written copy."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for written results."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` to the shared folder now and continue from the written table.
+
+    Later passes read the columns they need and survive the loss of any executor without redoing
+    the work behind ``df``.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailsieve.functions.arrays import explode_rows, posexplode_rows
 from mailsieve.functions.text import _as_col
 from mailsieve.functions.urls import URL_FEATURES
 from mailsieve.operators.durable import durable
@@ -21,11 +22,13 @@ NUM_WORDS = 20_000
 MAX_LEN = 200
 HYBRID_MAX_LEN = 100
 OOV_ID = 1
+# From this many documents on, rare pairs are kept off the network (see vocab_topk).
+PRUNE_FROM_DOCS = 1_000_000
 
 
 def word_list(clean: Column | str) -> Column:
     """Words of at least two characters, in order (cleaned text is lower-case ASCII)."""
-    return F.regexp_extract_all(_as_col(clean), F.lit("[a-z0-9_]{2,}"), F.lit(0))
+    return F.regexp_extract_all(_as_col(clean), F.lit(r"\w{2,}"), F.lit(0))
 
 
 def sequence_words(clean: Column | str) -> Column:
@@ -50,12 +53,12 @@ def with_terms(df: DataFrame, clean: str = "clean") -> DataFrame:
 
 def word_tokens(df: DataFrame, id_col: str = "doc_id", clean: str = "clean") -> DataFrame:
     """(id, pos, word), positions from 0."""
-    return df.select(id_col, F.posexplode(word_list(clean)).alias("pos", "word"))
+    return posexplode_rows(df, word_list(clean), "word", id_col)
 
 
 def ngrams_1_2(df: DataFrame, id_col: str = "doc_id", clean: str = "clean") -> DataFrame:
     """(id, term): every word and every adjacent pair, built inside the row without a shuffle."""
-    return with_terms(df.select(id_col, clean), clean).select(id_col, F.explode("terms").alias("term"))
+    return explode_rows(with_terms(df.select(id_col, clean), clean), "terms", "term", id_col)
 
 
 def _with_first(items: Column, distinct: Column) -> Column:
@@ -70,7 +73,7 @@ def _count_terms(exploded: DataFrame) -> DataFrame:
 
 
 def _explode_counts(df: DataFrame, items: str) -> DataFrame:
-    return df.select(F.explode(_with_first(F.col(items), F.array_distinct(items))).alias("t")).select("t.*")
+    return explode_rows(df, _with_first(F.col(items), F.array_distinct(items)), "t").select("t.*")
 
 
 def term_counts(df: DataFrame, clean: str = "clean") -> DataFrame:
@@ -82,19 +85,24 @@ def top_terms(counts: DataFrame, k: int) -> DataFrame:
     return counts.orderBy(F.desc("tf"), "term").limit(k)
 
 
-def vocab_topk(df: DataFrame, k: int = MAX_FEATURES, clean: str = "clean") -> DataFrame:
+def vocab_topk(
+    df: DataFrame, k: int = MAX_FEATURES, clean: str = "clean", prune: bool | None = None
+) -> DataFrame:
     """(term, tf, df) of the ``k`` most frequent words and bigrams, ties by term.
 
     A pair is never more frequent than either of its words, so a pair among the top ``k`` is
-    made of words at least as frequent as the ``k``-th word. Pairs with a rarer word are left out
-    before the shuffle, which keeps the long tail of pairs off the network without changing the
-    result. With so many ties that the frequent words do not fit the lookup, all pairs are counted.
+    made of words at least as frequent as the ``k``-th word. With ``prune`` (by default for large
+    corpora) pairs with a rarer word are left out before the shuffle, which keeps the long tail of
+    pairs off the network at the price of a second pass, without changing the result. With so
+    many ties that the frequent words do not fit the lookup, all pairs are counted after all.
     """
-    words = df.select(word_list(clean).alias("words"))
     bound = 4 * k
-    if bound > BROADCAST_ROWS:
+    if prune is None:
+        prune = df.count() >= PRUNE_FROM_DOCS
+    if not prune or bound > BROADCAST_ROWS:
         return top_terms(term_counts(df, clean), k)
-    frequent = durable(top_terms(_count_terms(_explode_counts(words, "words")), bound + 1))
+    words = df.select(word_list(clean).alias("words"))
+    frequent = durable(top_terms(_count_terms(_explode_counts(words, "words")), bound + 1), "words")
     # At most 4k + 1 rows from here on.
     ranked = frequent.select("tf", F.row_number().over(Window.orderBy(F.desc("tf"), "term")).alias("rn"))
     row = ranked.agg(
@@ -106,23 +114,19 @@ def vocab_topk(df: DataFrame, k: int = MAX_FEATURES, clean: str = "clean") -> Da
     kept = frequent if row.kth is None else frequent.where(F.col("tf") >= row.kth)
     first = F.broadcast(kept.select(F.col("term").alias("a")))
     second = F.broadcast(kept.select(F.col("term").alias("b")))
-    n = F.greatest(F.size("words") - 1, F.lit(0))
-    pairs = words.select(
-        F.zip_with(
-            F.slice("words", 1, n), F.slice("words", 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-        ).alias("pairs")
-    )
-    exploded = (
-        pairs.select(F.explode(_with_first(F.col("pairs"), F.array_distinct("pairs"))).alias("t"))
-        .select(F.col("t.term.a").alias("a"), F.col("t.term.b").alias("b"), "t.tf", "t.df")
+    pairs = words.select(bigram_list("words").alias("pairs"))
+    counted = _explode_counts(pairs, "pairs")
+    frequent_pairs = (
+        counted.withColumns(
+            {"a": F.substring_index("term", " ", 1), "b": F.substring_index("term", " ", -1)}
+        )
         .join(first, "a", "left_semi")
         .join(second, "b", "left_semi")
-        .select(F.concat_ws(" ", "a", "b").alias("term"), "tf", "df")
     )
-    return top_terms(kept.unionByName(_count_terms(exploded)), k)
+    return top_terms(kept.unionByName(_count_terms(frequent_pairs)), k)
 
 
-def idf_value(df: Column, n_docs: Column | int) -> Column:
+def idf_value(df: Column, n_docs: int) -> Column:
     """Smoothed inverse document frequency plus one."""
     return F.log((1.0 + n_docs) / (1.0 + df)) + 1.0
 
@@ -136,10 +140,9 @@ class TermWeights:
 
 
 def fit_idf(train: DataFrame, k: int = MAX_FEATURES, clean: str = "clean") -> TermWeights:
-    """Vocabulary and idf of the training rows."""
-    n_docs = train.agg(F.count(F.lit(1)).alias("n")).scalar()
-    vocab = vocab_topk(train, k, clean)
-    return TermWeights(durable(vocab.withColumn("idf", idf_value(F.col("df"), n_docs))), k)
+    """Vocabulary and idf of the training rows. Reads ``train`` three times: give a written table."""
+    vocab = vocab_topk(train, k, clean).withColumn("idf", idf_value(F.col("df"), train.count()))
+    return TermWeights(durable(vocab, "vocabulary"), k)
 
 
 def term_frequencies(
@@ -172,7 +175,7 @@ def seq_vocab(
 ) -> DataFrame:
     """(word, n, id): ids from 2 by frequency, ties by first appearance; only ids below
     ``num_words`` are kept because the others read as unknown."""
-    tokens = train.select(id_col, F.posexplode(sequence_words(clean)).alias("pos", "word"))
+    tokens = posexplode_rows(train, sequence_words(clean), "word", id_col)
     counts = tokens.groupBy("word").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(id_col, "pos")).alias("first")
     )

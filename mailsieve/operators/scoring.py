@@ -33,6 +33,7 @@ from mailsieve.operators.joins import BROADCAST_ROWS, bounded_lookup
 
 DEFAULT_THRESHOLD = 0.5
 BATCH_SIZE = 32
+ROWS_PER_TASK = 4_096
 
 # A scorer adds its probability column to a table that has ``text`` and ``clean``.
 Scorer = Callable[[DataFrame, str], DataFrame]
@@ -70,11 +71,11 @@ def _fit_lr(features: DataFrame) -> LogisticRegressionModel:
     feature table is written first: up to 200 passes then read vectors instead of redoing the
     text work, also after a lost executor.
     """
-    rows = durable(features.select(F.col("label").cast("double").alias("label"), "features"))
-    lr = LogisticRegression(
-        maxIter=200, regParam=1.0 / rows.count(), elasticNetParam=0.0, standardization=False
-    )
-    return lr.fit(rows)
+    rows = durable(features.select(F.col("label").cast("double").alias("label"), "features"), "features")
+    n = rows.count()
+    lr = LogisticRegression(maxIter=200, regParam=1.0 / n, elasticNetParam=0.0, standardization=False)
+    # Few rows in many tasks would spend every pass on task start-up; large tables stay as they are.
+    return lr.fit(rows.coalesce(max(1, n // ROWS_PER_TASK)))
 
 
 def _phish_probability(df: DataFrame, model: LogisticRegressionModel, out: str) -> DataFrame:
@@ -107,6 +108,7 @@ class TfidfLR:
 
 def train_tfidf_lr(train: DataFrame, max_features: int = MAX_FEATURES) -> TfidfLR:
     """Fit vocabulary, idf and classifier on rows of ``(clean, label)``."""
+    train = durable(train.select("clean", "label"), "train")
     weights = fit_idf(train, max_features)
     vectors = tfidf_vectors(weights)
     features = _add_tfidf(train, vectors).withColumnRenamed("tfidf", "features")
@@ -150,9 +152,10 @@ class HybridLR:
 
 def train_hybrid(train: DataFrame, max_features: int = MAX_FEATURES) -> HybridLR:
     """Fit on rows of ``(text, clean, label)``; the URL features come from the raw text."""
+    train = durable(with_url_features(train.select("text", "clean", "label")).drop("text"), "train")
     weights = fit_idf(train, max_features)
     vectors = tfidf_vectors(weights)
-    stats = durable(scaler_fit(with_url_features(train.select("text"))))
+    stats = durable(scaler_fit(train), "url_stats")
     features = assemble_features(train, vectors, stats)
     return HybridLR(weights, vectors, stats, _fit_lr(features))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.functions import urls as U
+from mailsieve.functions.arrays import posexplode_rows
 from mailsieve.operators.joins import skew_lookup
 
 COUNTS = ("malicious", "suspicious", "harmless", "undetected")
@@ -13,7 +14,7 @@ COUNTS = ("malicious", "suspicious", "harmless", "undetected")
 
 def url_listing(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, position, url, display): one row per kept URL, positions from 1."""
-    listed = df.select(id_col, F.posexplode(U.extract_urls(text)).alias("pos", "url"))
+    listed = posexplode_rows(df, U.extract_urls(text), "url", id_col)
     return listed.select(
         id_col, (F.col("pos") + 1).alias("position"), "url", U.url_display("url").alias("display")
     )

@@ -105,7 +105,7 @@ def corpus_profile(spark, sf):
 
 @query("stratified_split", with_views("SELECT doc_id, text, label, split FROM split_emails"))
 def stratified_split(spark, sf):
-    return fx.split_emails(spark, sf).select("doc_id", "text", "label", "split")
+    return sp.stratified_split(fx.emails(spark, sf)).select("doc_id", "text", "label", "split")
 
 
 @query("split_index", with_views("SELECT doc_id, split FROM split_emails"))

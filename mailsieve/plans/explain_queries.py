@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mailsieve.functions.arrays import explode_rows
 from mailsieve.functions.hashing import md5_int, md5_key
 from mailsieve.functions.urls import URL_FEATURES
 from mailsieve.operators import explain as ex
@@ -115,7 +116,7 @@ _TOP = f"""
 def _word_weights(spark, sf):
     """A hashed weight for every word of every benchmark text."""
     words = ex._split_words(F.col("text"))[1]
-    tokens = fx.table(spark, sf, "benchmark").select(ID, F.explode(F.array_distinct(words)).alias("token"))
+    tokens = explode_rows(fx.table(spark, sf, "benchmark"), F.array_distinct(words), "token", ID)
     weight = md5_int(md5_key(ID, "token"), 8) / F.lit(2147483648.0) - 1
     return tokens.withColumn("weight", weight)
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from mailsieve.functions.hashing import md5_int, md5_key
 from mailsieve.functions.text import clean_text
+from mailsieve.operators.durable import durable
 from mailsieve.operators.features import TermWeights, fit_idf
 from mailsieve.operators.split import stratified_split
+from mailsieve.sources.corpus import spread
 
 MODELS = ("tfidf", "cnn", "lstm", "bert", "hybrid")
 
@@ -20,6 +22,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """The id (first column) and text columns of a table, over all cores."""
+    return spread(table(spark, sf, name).select(*columns), columns[0])
+
+
 def page_urls(spark: SparkSession, sf: str) -> DataFrame:
     """Page URLs with enough variety for every URL rule to fire."""
     pid = F.col("page_id")
@@ -35,7 +42,7 @@ def page_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_texts(spark: SparkSession, sf: str) -> DataFrame:
     """(page_id, text): the page source followed by its URL."""
-    html = table(spark, sf, "pages").select("page_id", "html")
+    html = texts(spark, sf, "pages", "page_id", "html")
     return html.join(page_urls(spark, sf), "page_id").select(
         "page_id", F.concat_ws(" ", "html", "url").alias("text")
     )
@@ -43,7 +50,7 @@ def page_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, text, source): every document, with the URL of the page of the same number."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    docs = texts(spark, sf, "documents", "doc_id", "text", "source")
     urls = page_urls(spark, sf).withColumnRenamed("page_id", "doc_id")
     text = F.concat("text", F.coalesce(F.concat(F.lit(" "), F.col("url")), F.lit("")))
     return docs.join(urls, "doc_id", "left").select("doc_id", text.alias("text"), "source")
@@ -55,19 +62,22 @@ def emails(spark: SparkSession, sf: str) -> DataFrame:
     return messages(spark, sf).join(labels, "doc_id").select("doc_id", "text", "label", "source")
 
 
-def split_emails(spark: SparkSession, sf: str) -> DataFrame:
-    return stratified_split(emails(spark, sf))
+def label_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, label, split) without the texts; every labelled document exists."""
+    labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return stratified_split(labels)
 
 
-def label_splits(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, label, split) without the texts."""
-    labels = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id"), "doc_id")
-    return stratified_split(labels.select("doc_id", F.col("toxic").alias("label")))
+def split_emails(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, text, label, source, split): split on the narrow label table, then joined."""
+    split = label_splits(spark, sf)
+    return messages(spark, sf).join(split, "doc_id").select("doc_id", "text", "label", "source", "split")
 
 
 def train_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaned training rows, written once because fitting reads them several times."""
     rows = split_emails(spark, sf).where("split = 'train'")
-    return rows.select("doc_id", "label", clean_text("text").alias("clean"))
+    return durable(rows.select("doc_id", "label", clean_text("text").alias("clean")), "train")
 
 
 def message_clean(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from mailsieve.functions import scores as sc
 from mailsieve.operators import scoring as md
-from mailsieve.operators.durable import durable
 from mailsieve.operators.features import TermWeights
 from mailsieve.plans import fixtures as fx
 from mailsieve.plans import sql as S

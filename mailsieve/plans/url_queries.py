@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mailsieve.functions import urls as U
+from mailsieve.functions.arrays import posexplode_rows
 from mailsieve.operators import urls as ops
 from mailsieve.plans import fixtures as fx
 from mailsieve.plans import sql as S
@@ -20,7 +21,7 @@ def _sql_list(urls: str) -> str:
 
 
 def _listed(spark, sf, urls):
-    return fx.page_texts(spark, sf).select("page_id", F.posexplode(urls).alias("pos", "url"))
+    return posexplode_rows(fx.page_texts(spark, sf), urls, "url", "page_id")
 
 
 @query("raw_urls", _sql_list(S.raw_urls("text")))

@@ -86,3 +86,12 @@ def union_sources(
     """Merge corpora, skipping paths that do not exist."""
     present = [p for p in paths if path_exists(spark, p)]
     return union_frames({p: scan_corpus(spark, p, schema, fmt) for p in present})
+
+
+def spread(df: DataFrame, id_col: str) -> DataFrame:
+    """Rows dealt out by id when the table lies in fewer files than there are cores.
+
+    Text work is heavy, and a few files give a few tasks. A table in many files is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, id_col) if len(df.inputFiles()) < cores else df
