@@ -35,10 +35,6 @@ def _split_words(text: Column) -> tuple[Column, Column, Column]:
     )
 
 
-def _word_hash(id_col: str, word: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.col("sample").cast("string"), word))
-
-
 def perturb_docs(
     df: DataFrame,
     num_samples: int = NUM_SAMPLES,
@@ -56,29 +52,43 @@ def perturb_docs(
     head, run, gaps = _split_words(text_or_empty(text))
     docs = df.select(id_col, *carry, head.alias("_head"), run.alias("_run"), gaps.alias("_gaps"))
     docs = docs.withColumn("words", F.array_distinct("_run"))
+    # Where each word of the text stands in ``words``: found once per document, used per sample.
+    slots = F.zip_with(
+        "_run",
+        "_gaps",
+        lambda w, g: F.struct(
+            F.array_position("words", w).cast("int").alias("slot"), w.alias("word"), g.alias("gap")
+        ),
+    )
+    docs = docs.select(id_col, *carry, "_head", "words", slots.alias("_pieces"))
     samples = docs.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))))
-    drawn = md5_int(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.col("sample").cast("string"))), 8)
+    seed = F.concat_ws(":", F.col(id_col).cast("string"), F.col("sample").cast("string"))
+    seeded = samples.withColumn("_seed", seed)
     count = F.size("words")
     removed = F.when((F.col("sample") == 0) | (count == 0), F.lit(0)).otherwise(
-        (1 + drawn % F.greatest(count, F.lit(1))).cast("int")
+        (1 + md5_int(F.md5("_seed"), 8) % F.greatest(count, F.lit(1))).cast("int")
     )
-    hashed = samples.withColumn("_n", removed).withColumn(
-        "_hashes", F.transform("words", lambda w: _word_hash(id_col, w))
+    hashed = seeded.withColumns(
+        {
+            "_n": removed,
+            "_hashes": F.transform("words", lambda w: F.md5(F.concat(F.col("_seed"), F.lit(":"), w))),
+        }
     )
     # The n-th smallest hash is the last one removed.
     cut = F.when(F.col("_n") > 0, F.element_at(F.sort_array("_hashes"), F.greatest("_n", F.lit(1)))).otherwise("")
-    masked = hashed.withColumn("_cut", cut)
-    pieces = F.zip_with(
-        "_run",
-        "_gaps",
-        lambda w, g: F.when(_word_hash(id_col, w) > F.col("_cut"), F.concat(w, g)).otherwise(g),
+    masked = hashed.withColumn("_cut", cut).withColumn(
+        "keep", F.transform("_hashes", lambda h: h > F.col("_cut"))
+    )
+    pieces = F.transform(
+        "_pieces",
+        lambda p: F.when(F.get("keep", p.slot - 1), F.concat(p.word, p.gap)).otherwise(p.gap),
     )
     return masked.select(
         id_col,
         *carry,
         "sample",
         "words",
-        F.transform("_hashes", lambda h: h > F.col("_cut")).alias("keep"),
+        "keep",
         F.concat("_head", F.array_join(pieces, "")).alias("variant"),
     )
 
@@ -132,9 +142,9 @@ def local_surrogate(
     """(id, token, weight): the strongest words of every document for class 1.
 
     All words are fitted once, the strongest are kept and fitted again. A group is the variants
-    of one document; the word list travels with sample 0 only.
+    of one document; the word list travels with sample 0 only. Documents without words have none.
     """
-    rows = kernel_weights(scored).select(
+    rows = kernel_weights(scored.where(F.size("words") > 0)).select(
         id_col,
         "sample",
         "keep",
@@ -146,9 +156,6 @@ def local_surrogate(
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("sample")
         words = np.asarray(group["words"].iloc[0], dtype=object)
-        empty = pd.DataFrame({id_col: [], "token": [], "weight": []})
-        if len(words) == 0:
-            return empty
         x = np.vstack(group["keep"].to_numpy()).astype(float)
         y = group["y"].to_numpy(dtype=float)
         w = group["kernel"].to_numpy(dtype=float)

@@ -12,7 +12,7 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,6 +85,18 @@ def _phish_probability(df: DataFrame, model: LogisticRegressionModel, out: str)
     )
 
 
+def _save(path: str, weights: TermWeights, vectors: PipelineModel, model: LogisticRegressionModel) -> None:
+    weights.table.write.mode("overwrite").parquet(f"{path}/terms")
+    vectors.write().overwrite().save(f"{path}/vectors")
+    model.write().overwrite().save(f"{path}/model")
+
+
+def _load(spark: SparkSession, path: str) -> tuple[TermWeights, PipelineModel, LogisticRegressionModel]:
+    vectors = PipelineModel.load(f"{path}/vectors")
+    weights = TermWeights(spark.read.parquet(f"{path}/terms"), len(vectors.stages[0].vocabulary))
+    return weights, vectors, LogisticRegressionModel.load(f"{path}/model")
+
+
 @dataclass(frozen=True)
 class TfidfLR:
     """TF-IDF into logistic regression."""
@@ -97,6 +109,13 @@ class TfidfLR:
         features = _add_tfidf(df, self.vectors).withColumnRenamed("tfidf", "features")
         return _phish_probability(features, self.model, out)
 
+    def save(self, path: str) -> None:
+        _save(path, self.weights, self.vectors, self.model)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> TfidfLR:
+        return TfidfLR(*_load(spark, path))
+
     def term_table(self) -> DataFrame:
         """(term, tf, df, idf, weight): the fitted model as a table."""
         spark = self.weights.table.sparkSession
@@ -144,6 +163,15 @@ class HybridLR:
     stats: DataFrame
     model: LogisticRegressionModel
 
+    def save(self, path: str) -> None:
+        _save(path, self.weights, self.vectors, self.model)
+        self.stats.write.mode("overwrite").parquet(f"{path}/url_stats")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> HybridLR:
+        weights, vectors, model = _load(spark, path)
+        return HybridLR(weights, vectors, spark.read.parquet(f"{path}/url_stats"), model)
+
     def __call__(self, df: DataFrame, out: str = "prob") -> DataFrame:
         keep = df.columns
         features = assemble_features(df, self.vectors, self.stats)

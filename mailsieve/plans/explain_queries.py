@@ -37,7 +37,7 @@ _VARIANTS = f"""
 
 @query("perturb_docs", f"{_VARIANTS} SELECT item_id, sample, total, removed, kept_words FROM variants")
 def perturb_docs(spark, sf):
-    variants = ex.perturb_docs(fx.table(spark, sf, "benchmark"), id_col=ID)
+    variants = ex.perturb_docs(fx.items(spark, sf), id_col=ID)
     kept = F.transform(
         F.filter(F.arrays_zip("words", "keep"), lambda z: z.keep), lambda z: z.words
     )
@@ -56,7 +56,7 @@ def perturb_docs(spark, sf):
     FROM (SELECT item_id, sample, 100 * (1 - sqrt((total - removed)::DOUBLE / total)) AS d FROM variants)""",
 )
 def kernel_weights(spark, sf):
-    weighted = ex.kernel_weights(ex.perturb_docs(fx.table(spark, sf, "benchmark"), id_col=ID))
+    weighted = ex.kernel_weights(ex.perturb_docs(fx.items(spark, sf), id_col=ID))
     return weighted.select(
         ID, "sample", F.round("distance", 6).alias("distance"), F.round("kernel", 6).alias("kernel")
     )
@@ -64,7 +64,7 @@ def kernel_weights(spark, sf):
 
 def _items_with_urls(spark, sf):
     urls = fx.page_urls(spark, sf).withColumnRenamed("page_id", ID)
-    items = fx.table(spark, sf, "benchmark").join(urls, ID, "left")
+    items = fx.items(spark, sf).join(urls, ID, "left")
     return items.select(ID, F.concat_ws(" ", "text", "url").alias("text"))
 
 
@@ -86,14 +86,14 @@ def hold_url_constant(spark, sf):
 @query("score_perturbed")
 def score_perturbed(spark, sf):
     model = md.train_tfidf_lr(_train_rows(spark, sf))
-    variants = ex.perturb_docs(fx.table(spark, sf, "benchmark"), id_col=ID)
+    variants = ex.perturb_docs(fx.items(spark, sf), id_col=ID)
     return ex.score_perturbed(variants, model).select(ID, "sample", F.round("prob", 4).alias("prob"))
 
 
 @query("local_surrogate")
 def local_surrogate(spark, sf):
     model = md.train_tfidf_lr(_train_rows(spark, sf))
-    explained = ex.explain(fx.table(spark, sf, "benchmark"), model, id_col=ID)
+    explained = ex.explain(fx.items(spark, sf), model, id_col=ID)
     return explained.withColumn("weight", F.round("weight", 4))
 
 
@@ -116,7 +116,7 @@ _TOP = f"""
 def _word_weights(spark, sf):
     """A hashed weight for every word of every benchmark text."""
     words = ex._split_words(F.col("text"))[1]
-    tokens = explode_rows(fx.table(spark, sf, "benchmark"), F.array_distinct(words), "token", ID)
+    tokens = explode_rows(fx.items(spark, sf), F.array_distinct(words), "token", ID)
     weight = md5_int(md5_key(ID, "token"), 8) / F.lit(2147483648.0) - 1
     return tokens.withColumn("weight", weight)
 
@@ -162,7 +162,7 @@ _PROB = f"{S.md5_int('md5(item_id::VARCHAR)', 1, 4)} / 65536.0::DOUBLE"
         SELECT item_id, string_agg(token, ' ' ORDER BY rank) AS top_tokens FROM ({_TOP}) GROUP BY item_id) USING (item_id)""",
 )
 def explanation_record(spark, sf):
-    items = fx.table(spark, sf, "benchmark").withColumn(
+    items = fx.items(spark, sf).withColumn(
         "prob", md5_int(md5_key(ID), 4) / F.lit(65536.0)
     )
     records = ex.explanation_record(

@@ -40,6 +40,11 @@ def page_urls(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", varied.alias("url"))
 
 
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    """(item_id, text): the texts that are explained."""
+    return texts(spark, sf, "benchmark", "item_id", "text")
+
+
 def page_texts(spark: SparkSession, sf: str) -> DataFrame:
     """(page_id, text): the page source followed by its URL."""
     html = texts(spark, sf, "pages", "page_id", "html")
