@@ -7,6 +7,8 @@ that builds the array.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,3 +21,12 @@ def explode_rows(df: DataFrame, items: Column | str, name: str, *keep: str) -> D
 def posexplode_rows(df: DataFrame, items: Column | str, name: str, *keep: str) -> DataFrame:
     """(keep, pos, name): one row per element with its position from 0."""
     return df.select(*keep, F.posexplode_outer(items).alias("pos", name)).where(F.col("pos").isNotNull())
+
+
+def bind(value: Column | str, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A column used inside a lambda and nowhere else is moved into it by the optimizer and then
+    computed again for every element; a bound one is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

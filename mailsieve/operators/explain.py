@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailsieve.functions.arrays import bind
 from mailsieve.functions.hashing import md5_int
 from mailsieve.functions.text import _as_col, clean_text, text_or_empty, text_preview
 from mailsieve.operators.scoring import Scorer, with_url_features
@@ -53,11 +54,14 @@ def perturb_docs(
     docs = df.select(id_col, *carry, head.alias("_head"), run.alias("_run"), gaps.alias("_gaps"))
     docs = docs.withColumn("words", F.array_distinct("_run"))
     # Where each word of the text stands in ``words``: found once per document, used per sample.
-    slots = F.zip_with(
-        "_run",
-        "_gaps",
-        lambda w, g: F.struct(
-            F.array_position("words", w).cast("int").alias("slot"), w.alias("word"), g.alias("gap")
+    slots = bind(
+        "words",
+        lambda words: F.zip_with(
+            "_run",
+            "_gaps",
+            lambda w, g: F.struct(
+                F.array_position(words, w).cast("int").alias("slot"), w.alias("word"), g.alias("gap")
+            ),
         ),
     )
     docs = docs.select(id_col, *carry, "_head", "words", slots.alias("_pieces"))
@@ -71,17 +75,21 @@ def perturb_docs(
     hashed = seeded.withColumns(
         {
             "_n": removed,
-            "_hashes": F.transform("words", lambda w: F.md5(F.concat(F.col("_seed"), F.lit(":"), w))),
+            "_hashes": bind(
+                "_seed",
+                lambda seed: F.transform("words", lambda w: F.md5(F.concat(seed, F.lit(":"), w))),
+            ),
         }
     )
     # The n-th smallest hash is the last one removed.
     cut = F.when(F.col("_n") > 0, F.element_at(F.sort_array("_hashes"), F.greatest("_n", F.lit(1)))).otherwise("")
-    masked = hashed.withColumn("_cut", cut).withColumn(
-        "keep", F.transform("_hashes", lambda h: h > F.col("_cut"))
-    )
-    pieces = F.transform(
-        "_pieces",
-        lambda p: F.when(F.get("keep", p.slot - 1), F.concat(p.word, p.gap)).otherwise(p.gap),
+    masked = hashed.withColumn("keep", bind(cut, lambda c: F.transform("_hashes", lambda h: h > c)))
+    pieces = bind(
+        "keep",
+        lambda keep: F.transform(
+            "_pieces",
+            lambda p: F.when(F.get(keep, p.slot - 1), F.concat(p.word, p.gap)).otherwise(p.gap),
+        ),
     )
     return masked.select(
         id_col,
