@@ -26,8 +26,9 @@ def skew_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left")
     """``left`` joined to ``right`` (unique per key) on ``key`` without a hot task.
 
     Rows with a hot key meet their few lookup rows by broadcast, bounded by ``HOT_SHARE``; every
-    other key is small enough for an ordinary shuffle join. ``how``: left, inner, left_semi or
-    left_anti.
+    other key is small enough for an ordinary shuffle join. ``left`` is read for the key counts,
+    the hot and the cold rows, so give a written table when it is costly to derive. ``how``: left,
+    inner, left_semi or left_anti.
     """
     hot = F.broadcast(hot_keys(left, key))
     hot_right = F.broadcast(right.join(hot, key, "left_semi"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mailsieve.functions import urls as U
 from mailsieve.functions.arrays import posexplode_rows
 from mailsieve.operators import urls as ops
+from mailsieve.operators.durable import durable
 from mailsieve.plans import fixtures as fx
 from mailsieve.plans import sql as S
 from mailsieve.plans.registry import query
@@ -115,7 +116,8 @@ _JOINED = """
 
 
 def _urls(spark, sf):
-    return ops.url_listing(fx.page_texts(spark, sf), "page_id").drop("display")
+    """The URL table, written once: lookups and the fixtures below read it several times."""
+    return durable(ops.url_listing(fx.page_texts(spark, sf), "page_id").drop("display"), "urls")
 
 
 def _joined(spark, sf):
