@@ -15,6 +15,7 @@ from mailsieve.functions.arrays import bind
 from mailsieve.functions.hashing import md5_int
 from mailsieve.functions.text import _as_col, clean_text, text_or_empty, text_preview
 from mailsieve.operators.scoring import Scorer, with_url_features
+from mailsieve.sources.corpus import spread
 
 NUM_SAMPLES = 500
 NUM_FEATURES = 10
@@ -250,6 +251,6 @@ def explain(
         before = df.columns
         df = hold_url_constant(df)
         carry = tuple(c for c in df.columns if c not in before)
-    # Documents differ widely in length; spread them before each becomes many rows.
-    variants = perturb_docs(df.repartition(id_col), num_samples, id_col, carry=carry)
+    # Each document is about to become many rows, so a few files are not enough tasks.
+    variants = perturb_docs(spread(df, id_col), num_samples, id_col, carry=carry)
     return top_features(local_surrogate(score_perturbed(variants, scorer), num_features, id_col), num_features, id_col)
