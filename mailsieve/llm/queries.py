@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import decontaminate, tokenfiles, toxicity, warc
+from mailsieve.llm import decontaminate, neardup, repeats, suffixtree, tokenfiles, toxicity, warc
 from mailsieve.operators.durable import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document: one row each with the least doc_id of its group of near-duplicates."""
+    classes = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+@query
+def op2_bucket_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the byte strings that repeat."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back.
@@ -59,3 +72,9 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.match_benchmark(docs, table(spark, sf_dir, "benchmark")))
+
+
+@query
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and suffix-tree scores of every document."""
+    return suffixtree.score_texts(table(spark, sf_dir, "documents"), toxicity.held_out("doc_id", 5, 1))
