@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import decontaminate, neardup, repeats, suffixtree, tokenfiles, toxicity, warc
+from mailsieve.llm import decontaminate, neardup, quality, repeats, suffixtree, tokenfiles, toxicity, warc
 from mailsieve.operators.durable import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and suffix-tree scores of every document."""
     return suffixtree.score_texts(table(spark, sf_dir, "documents"), toxicity.held_out("doc_id", 5, 1))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and robust outliers over every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
+    return quality.judge(docs).select("doc_id", *columns)
