@@ -63,6 +63,8 @@ WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 CONTEXT = 40
 
 YES, NO, NOTHING = "+", "-", "0"
+#: Weights of the labelers at the start of the estimation, in the order of ``votes``.
+START_WEIGHTS = np.array([1.0, 1.0, 4.0, 1.0, 1.0, 1.0])
 
 
 def luhn(digits: str) -> bool:
@@ -159,13 +161,15 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
 
 
 def features(text: str, kind: str, start: int, end: int) -> str:
-    """The span's own features, each with a few values: kind, form, digits, separators, neighbours."""
+    """The span's own features, each with a few values: kind, form, digits, separators, neighbours, checks."""
     span = text[start:end]
-    digits = len(NOT_DIGIT.sub("", span))
+    only = NOT_DIGIT.sub("", span)
+    digits = len(only)
     shape = "@" if "@" in span else "+" if span[0] == "+" else "a" if span[0].isalpha() else "9" if span[0].isdigit() else "x"
     breaks = "".join(c for c in " .-(" if c in span)[:2] or "0"
     side = lambda c: "e" if not c else "s" if c.isspace() else "a" if c.isalnum() else "p"
-    return "|".join((kind, shape, str(min(digits // 3, 7)), breaks, side(text[start - 1 : start]) + side(text[end : end + 1])))
+    checked = "1" if kind != "card" or luhn(only) else "0"
+    return "|".join((kind, shape, str(min(digits // 3, 7)), breaks, side(text[start - 1 : start]) + side(text[end : end + 1]), checked))
 
 
 SCANNED = "doc_id long, base array<struct<kind:int,start:int,end:int>>, loose array<struct<kind:int,start:int,end:int>>, votes array<string>, features array<string>"
@@ -197,10 +201,11 @@ def estimate(kinds: np.ndarray, patterns: np.ndarray, counts: np.ndarray, steps:
     """(likelihood of each vote pattern, reliability of each labeler per kind) by expectation-maximisation.
 
     ``patterns`` holds -1, 0 and 1. Given its class a candidate's votes are taken as independent; a labeler's
-    yes and no have a rate of their own for each class and kind, starting from the majority.
+    yes and no have a rate of their own for each class and kind. The start is a vote in which a checksum or
+    range that fails outweighs the others.
     """
     n = patterns.shape[1]
-    likely = 1 / (1 + np.exp(-patterns.sum(axis=1).astype(float)))
+    likely = 1 / (1 + np.exp(-(patterns * START_WEIGHTS[:n]).sum(axis=1)))
     rates = np.zeros((len(KINDS), n, 2))
     for _ in range(steps):
         before = likely.copy()
@@ -239,8 +244,9 @@ class Classifier:
 
 
 def parts(features_: str) -> list[str]:
-    kind, shape, digits, breaks, sides = features_.split("|")
-    return [kind, f"{kind}|{shape}", f"{kind}|d{digits}", f"{kind}|b{breaks}", f"{kind}|l{sides[0]}", f"{kind}|r{sides[1]}"]
+    kind, shape, digits, breaks, sides, checked = features_.split("|")
+    own = (shape, f"d{digits}", f"b{breaks}", f"l{sides[0]}", f"r{sides[1]}", f"c{checked}")
+    return [kind, *(f"{kind}|{p}" for p in own)]
 
 
 def train(names: list[str], target: np.ndarray, counts: np.ndarray, ridge: float = 1.0, steps: int = 50) -> Classifier:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import decontaminate, neardup, quality, repeats, suffixtree, tokenfiles, toxicity, warc
+from mailsieve.llm import decontaminate, mixing, neardup, pii, quality, repeats, suffixtree, tokenfiles, toxicity, warc
 from mailsieve.operators.durable import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
     return quality.judge(docs).select("doc_id", *columns)
+
+
+@query
+def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of a document that the mixture takes, and where it stands in it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix(docs, max_repeats=mixing.MAX_REPEATS)
+    return mixed.select("doc_id", "source", "n_tokens", "copy", "block", F.round("position", 9).alias("position"))
