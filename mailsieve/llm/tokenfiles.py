@@ -13,7 +13,8 @@ and the text are read, so other columns cannot clash.
 
 from __future__ import annotations
 
-import re
+import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -32,67 +33,99 @@ SEQUENCE = 2048
 #: Sequences in a record batch: 4 MB of 16-bit ids.
 BATCH_ROWS = 1024
 #: Words that a worker remembers with their ids; beyond it the memory starts afresh.
-REMEMBERED = 400_000
-# A blank put between an ASCII letter and one of these marks changes no id: the vocabulary's own word
-# splitting always separates the two, and it drops blanks.
-_MARKS = re.compile(r"(?<=[a-z])(?=[.,!?;:*$#%&()])")
-_ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
+REMEMBERED = 2_000_000
+# The vocabulary's own word splitting drops white space and always parts an ASCII letter from one of these marks
+# behind it, so cutting there changes no id.
+_CUT = np.ones(256, bool)
+_CUT[[10, 32]] = False
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,!?;:*$#%&()")] = True
+_LETTER[97:123] = True
+#: Plain words are encoded so many at a time, as one text.
+_TOGETHER = 256
+
+
+def _plain(word: str) -> bool:
+    """Is the word one unit of the vocabulary's splitting, unchanged by its normal form?"""
+    return word.isalpha() and (word.isascii() or (unicodedata.is_normalized("NFC", word) and "\u0130" not in word))
 
 
 class WordEncoder:
-    """Ids of whole texts by way of their blank-separated words, each encoded once.
+    """Ids of whole texts by way of their words, each encoded once and remembered by its hash.
 
     Right for vocabularies that lower-case, never join across white space and drop it; then the ids of a
     text are those of its words in order. ``tests/llm`` compares it with encoding whole texts.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.start, self.length = np.zeros(1 << 20, np.uint16), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-        self.used = 0
-
-    def _add(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-            n, total = len(self.known), int(lengths.sum())
-            while n + len(part) > len(self.start):
-                self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-            while self.used + total > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.ids[self.used : self.used + total] = np.fromiter((i for c in coded for i in c), np.uint16, total)
-            self.start[n : n + len(part)] = self.used + np.cumsum(lengths) - lengths
-            self.length[n : n + len(part)] = lengths
-            self.used += total
-            self.known.update(zip(part, range(n, n + len(part))))
-
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        self.keys, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 20, np.uint16), 0
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids joined, number of ids of each word)."""
+        length, parts = np.zeros(len(words), np.int64), [np.zeros(0, np.uint16)] * len(words)
+        plain = [i for i, w in enumerate(words) if _plain(w)]
+        groups = [plain[k : k + _TOGETHER] for k in range(0, len(plain), _TOGETHER)]
+        rest = [i for i, w in enumerate(words) if not _plain(w)]
+        for group, coded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(words[i] for i in g) for g in groups], add_special_tokens=False)):
+            ids = np.array(coded.ids, np.uint16)
+            upto = np.flatnonzero(self.ends[ids]) + 1
+            if len(upto) != len(group):
+                rest += group
+                continue
+            for i, part in zip(group, np.split(ids, upto[:-1])):
+                parts[i] = part
+        for i, coded in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
+            parts[i] = np.array(coded.ids, np.uint16)
+        length[:] = [len(p) for p in parts]
+        return np.concatenate([*parts, np.zeros(0, np.uint16)]), length
+
+    def _add(self, keys: np.ndarray, words: list[str]) -> None:
+        ids, length = self._ids(words)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint16)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        at = np.searchsorted(self.keys, keys)
+        self.start = np.insert(self.start, at, self.used + np.cumsum(length) - length)
+        self.length = np.insert(self.length, at, length)
+        self.keys = np.insert(self.keys, at, keys)
+        self.used += len(ids)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts joined, each with its end id; number of ids of each)."""
-        if len(self.known) > REMEMBERED:
+        if len(self.keys) > REMEMBERED:
             self.clear()
-        words: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                own = _MARKS.sub(" ", text.translate(_ASCII_LOWER) if not text.islower() else text).replace("\n", " ").split(" ")
-                words += own
-                counts[i] = len(own)
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            self._add(new)
-        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        low = bw.LOWER[data]
+        start, end, first = bw.word_spans(low, offsets, _CUT)
+        if len(low):
+            begins, ends = np.zeros(len(low), bool), np.zeros(len(low), bool)
+            begins[start], ends[end - 1] = True, True
+            parted = np.flatnonzero(_MARK[low[1:]] & _LETTER[low[:-1]])
+            begins[parted + 1], ends[parted] = True, True
+            start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+            first = np.searchsorted(start, offsets)
+        distinct, where, which = np.unique(bw.word_hashes(low, start, end), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, distinct)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == distinct[known]
+        if not known.all():
+            raw, new = low.tobytes(), where[~known]
+            self._add(distinct[~known], [raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist())])
+            at = np.searchsorted(self.keys, distinct)
+        index = at[which]
         length = self.length[index]
         ids = self.ids[bw.take_ranges(self.start[index], length)]
-        upto = np.concatenate([[0], np.cumsum(length)])
-        n_tokens = np.diff(upto[np.concatenate([[0], np.cumsum(counts)])]) + 1
+        n_tokens = np.diff(np.concatenate([[0], np.cumsum(length)])[first]) + 1
         return np.insert(ids, np.cumsum(n_tokens - 1), np.uint16(end_id)), n_tokens
 
 
@@ -160,8 +193,8 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, sequence: int =
         coder, docs_n, ids_n = encoder(vocabulary), 0, 0
         with store.open_output_stream(f"{root}/{name}.arrow") as sink, store.open_output_stream(f"{root}/{name}.index.arrow") as side:
             ids_out, index_out = ShardWriter(sink, sequence), pa.ipc.new_file(side, INDEX)
-            for rows, _, _ in bw.text_blocks(batches, "text", 1 << 21):
-                ids, n_tokens = coder.encode(rows.column(1).to_pylist(), end_id)
+            for rows, data, offsets in bw.text_blocks(batches, "text"):
+                ids, n_tokens = coder.encode(data, offsets, end_id)
                 ids_out.write(ids)
                 ends = ids_n + np.cumsum(n_tokens)
                 index_out.write_batch(pa.RecordBatch.from_arrays([rows.column(0), pa.array(ends - n_tokens), pa.array(n_tokens)], schema=INDEX))
