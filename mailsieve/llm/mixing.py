@@ -144,15 +144,17 @@ def mix(
     taken = durable(fits.select(F.col(_KEY).alias("_k"), F.col("_number").alias("_n"), F.lit(True).alias("fits")).distinct(), "taken")
     turns = turns.select(F.col(_KEY).alias("_t"), F.col("block").alias("_b"), "copy", "held", "before", "tokens", "budget", "cut", "left")
     blocks = plan.select(F.col(_KEY).alias("_p"), "blocks")
-    every = counted.join(blocks, F.col(_KEY) == F.col("_p"), "left").withColumn("block", F.coalesce(block, F.lit(0)))
+    every = counted.join(blocks, F.col(_KEY) == F.col("_p"), "left")
+    # Documents without words belong to no block: they cost nothing and are taken once.
+    wordless = F.col("n_tokens") == 0
+    every = every.withColumn("block", F.when(wordless, -1).otherwise(block))
     every = every.join(turns, (F.col(_KEY) == F.col("_t")) & (F.col("block") == F.col("_b")), "left")
     # Most copies lie in whole blocks; the others are looked up by their numbers.
-    whole = every.where(~F.coalesce("cut", F.lit(False)))
+    whole = every.where(wordless | ~F.col("cut"))
     ended = every.where("cut").join(taken, (F.col(_KEY) == F.col("_k")) & (F.col("_number") == F.col("_n")), "left_semi")
     place = _fraction(F.lit(seed), F.col("copy"), F.col("_number"))
     room = F.when(F.col("cut"), F.col("left")).otherwise(F.col("held"))
     position = (F.col("copy") * F.col("tokens") + F.col("before") + place * room) / F.col("budget")
     out = whole.unionByName(ended)
-    # Documents without words and without a turn are taken once.
     out = out.withColumns({"copy": F.coalesce("copy", F.lit(0).cast("long")), "position": F.coalesce(position, F.lit(0.0))})
     return out.select(*docs.columns, "n_tokens", "copy", "block", "position")

@@ -181,7 +181,8 @@ def context_answer(tree: Tree):
         c = total[used].astype(float)
         occurrences = np.bincount(at, c, len(names))
         gains = [np.bincount(at, c * np.log((c - 1 + m * parent[used]) / parent[used]), len(names)) for m in MASSES]
-        return total[which], ch.pack(names, occurrences, *gains)
+        # bincount of nothing is an array of integers.
+        return total[which], ch.pack(names, *(v.astype(float) for v in (occurrences, *gains)))
 
     return run
 
@@ -220,7 +221,9 @@ def grow_tree(table: DataFrame, ranges: int, share: float, pair_share: float, ga
     words = ch.merge(ch.each_chunk(table, token_asks(ranges), ch.ASKS), 1, token_answer(share * tokens))
 
     def known(parts):
-        yield pa.RecordBatch.from_pydict({"v": [int(parts[0][0])], "words": [parts[1].view(np.int64).tolist()], "counts": [parts[2].tolist()]})
+        columns = [int(parts[0][0])], [parts[1].view(np.int64).tolist()], [parts[2].tolist()]
+        kinds = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names=["v", "words", "counts"])
 
     # At most 1 / share words in all, as each makes up that share of the tokens.
     found = _summaries(words, "v long, words array<long>, counts array<long>", known).toArrow().to_pylist()
