@@ -68,8 +68,9 @@ def test_entropy_target_and_total(skewed):
     table = mx.source_sizes(counted, "source", "n_tokens")
     found = mx.find_exponent(table, entropy=target)
     assert abs(entropy(weights(found)) - target) < 1e-4
-    mixed = mx.mix(skewed, entropy=target, total=5000.0)
-    check(skewed, mixed, dict(zip(have, weights(found))), 5000.0)
+    for block in (1 << 18, 300):
+        mixed = mx.mix(skewed, entropy=target, total=5000.0, block_tokens=block)
+        check(skewed, mixed, dict(zip(have, weights(found))), 5000.0)
 
 
 def test_positions_spread_every_source(skewed):

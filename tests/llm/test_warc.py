@@ -51,7 +51,7 @@ def test_filters_reach_the_reader_and_payloads_are_skipped(spark, folder, monkey
     assert len(left) == 1
     monkeypatch.setattr(warc.Member, "payload", lambda self: pytest.fail("a payload was decoded"))
     rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
-    assert sorted(r["payload_bytes"] for r in rows if r["page_id"]) == [0, 4, 11, 11, 250_000]
+    assert sorted(r["payload_bytes"] for r in rows if r["page_id"]) == [0, 4, 13, 13, 250_000]
 
 
 def test_partitions_follow_a_size(folder):
