@@ -22,11 +22,13 @@ URL_TOKEN = " <URL> "
 
 # Elements whose text is not part of the visible message.
 _HIDDEN = ("script", "style", "template")
-# Every alternative starts with "<", so other characters are passed over quickly.
+# Every alternative starts with "<", so other characters are passed over quickly. A ">" inside a quoted
+# attribute does not end a tag; where quotes are unbalanced the first ">" does. Possessive repeats
+# keep the matcher from recursing on long tags.
 _MARKUP = (
     r"(?is)<(?:!--.*?-->"
     + "".join(rf"|{tag}\b.*?(?:</{tag}[^>]*>|\z)" for tag in _HIDDEN)
-    + r"|[a-z/!?][^>]*>)"
+    + r"""|[a-z/!?][^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>|[a-z/!?][^>]*>)"""
 )
 _NODE_BREAK = "\x01"
 
@@ -34,11 +36,15 @@ _NODE_BREAK = "\x01"
 # longest one wins; both tables come from the standard library.
 _BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 _BARE_PATTERN = "^(" + "|".join(_BARE) + ")"
+_NAMED = {n[:-1]: v for n, v in html5.items() if n.endswith(";")}
+# Looked up first: a lookup walks its table, and nearly all mail uses these only.
 _COMMON = (
     "amp lt gt quot apos nbsp copy reg trade middot bull hellip mdash ndash lsquo rsquo ldquo "
     "rdquo laquo raquo euro pound yen cent sect deg times eacute egrave agrave ccedil uuml ouml "
     "auml szlig ntilde zwnj zwj shy"
 ).split()
+# Codes 128 to 159 are read as Windows-1252, as browsers do; its five gaps stay as they are.
+_WINDOWS = [ord(bytes([c]).decode("cp1252", "ignore") or chr(c)) for c in range(128, 160)]
 
 
 def _as_col(c: Column | str) -> Column:
@@ -56,10 +62,27 @@ def text_or_nan(text: Column | str) -> Column:
 
 
 def _char(code: Column) -> Column:
-    """Unicode code point to a one-character string."""
-    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    hexed = F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")
-    return F.decode(F.unhex(hexed), "UTF-32")
+    """Unicode code point to a string of one character, or of none for control codes and non-characters.
+
+    A null code stands for a number too long to be a code point.
+    """
+    known = (
+        F.when(code.between(128, 159), F.get(F.array(*map(F.lit, _WINDOWS)), (code - 128).cast("int")))
+        .when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), code)
+        .otherwise(0xFFFD)
+    )
+    silent = (
+        code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127)
+        | code.between(0xFDD0, 0xFDEF) | ((code.bitwiseAND(0xFFFE) == 0xFFFE) & (code <= 0x10FFFF))
+    )
+    char = F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32")
+    return F.when(F.coalesce(silent, F.lit(False)), "").otherwise(char)
+
+
+def _code(digits: Column, base: int, places: int) -> Column:
+    """The number, or null when it has more than ``places`` digits after leading zeros."""
+    short = F.regexp_replace(digits, "^0+", "")
+    return F.when(F.length(short) <= places, F.conv(F.concat(F.lit("0"), short), base, 10).cast("bigint"))
 
 
 def _constant_map(table: dict[str, str]) -> Column:
@@ -70,33 +93,28 @@ def _constant_map(table: dict[str, str]) -> Column:
 
 def _decode_piece(piece: Column) -> Column:
     """Decode the reference that the text following one ``&`` may start with."""
-    named_map = _constant_map({n: html5[n + ";"] for n in _COMMON})
+    common_map = _constant_map({n: _NAMED[n] for n in _COMMON})
+    named_map = _constant_map({n: v for n, v in _NAMED.items() if n not in _COMMON})
     bare_map = _constant_map({n: html5[n] for n in _BARE})
-    dec = F.regexp_extract(piece, r"^#([0-9]{1,9});?", 1)
-    hexa = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]{1,7});?", 1)
+    dec = F.regexp_extract(piece, r"^#([0-9]+);?", 1)
+    hexa = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]+);?", 1)
     full = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*);", 1)
     short = F.regexp_extract(piece, _BARE_PATTERN, 1)
     rest_of = lambda n: F.substring(piece, n + 1, F.length(piece))
+    rest = F.regexp_replace(piece, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", "")
+    named = lambda table: F.concat(F.element_at(table, full), rest_of(F.length(full) + 1))
     return (
-        F.when(dec != "", F.concat(_char(dec.cast("bigint")), F.regexp_replace(piece, r"^#[0-9]{1,9};?", "")))
-        .when(
-            hexa != "",
-            F.concat(
-                _char(F.conv(hexa, 16, 10).cast("bigint")),
-                F.regexp_replace(piece, r"^#[xX][0-9a-fA-F]{1,7};?", ""),
-            ),
-        )
-        .when(
-            F.map_contains_key(named_map, full),
-            F.concat(F.element_at(named_map, full), rest_of(F.length(full) + 1)),
-        )
+        F.when(dec != "", F.concat(_char(_code(dec, 10, 7)), rest))
+        .when(hexa != "", F.concat(_char(_code(hexa, 16, 6)), rest))
+        .when(F.map_contains_key(common_map, full), named(common_map))
+        .when((full != "") & F.map_contains_key(named_map, full), named(named_map))
         .when(short != "", F.concat(F.element_at(bare_map, short), rest_of(F.length(short))))
         .otherwise(F.concat(F.lit("&"), piece))
     )
 
 
 def unescape_entities(text: Column | str) -> Column:
-    """Decode numeric and common named character references."""
+    """Decode numeric and named character references, as the standard library does."""
     parts = F.split(_as_col(text), "&", -1)
     decoded = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(_decode_piece(p)))
     return F.array_join(decoded, "")
@@ -123,8 +141,8 @@ def _drop_markup(text: Column, node_break: str) -> Column:
 def html_to_text(text: Column | str) -> Column:
     """Visible text: decode references, drop markup, decode again, one space between text nodes.
 
-    Works without Python. It differs from a real HTML parser only on malformed markup: a ``>``
-    inside a quoted attribute, a tag or comment that is never closed, rare entity names.
+    Works without Python. It differs from a real HTML parser only on malformed markup: a tag or comment that
+    is never closed, quotes outside attribute values, and a bare ``<`` in text, which ends a text node there.
     """
     nodes = F.split(_drop_markup(text_or_empty(text), _NODE_BREAK), _NODE_BREAK, -1)
     return F.array_join(F.filter(F.transform(nodes, strip_space), lambda n: n != ""), " ")

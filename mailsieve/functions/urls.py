@@ -16,12 +16,13 @@ RESERVED = (
     "example.com", "example.org", "example.net",
     "test.com", "localhost",
 )
+# Characters that end a sentence rather than a URL.
 TRAILING_PUNCTUATION = ".,;:!?)'\""
 
 # Words that make a URL suspicious.
 SUSPICIOUS_KEYWORDS = ("login", "update", "verify", "bank", "secure", "account", "confirm")
 
-# The narrower, case-sensitive pattern of the feature extractor.
+# The narrower, case-sensitive pattern of the feature extractor, and its address pattern.
 FEATURE_URL_PATTERN = r"https?://[!$-_a-z]+"
 IP_PATTERN = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
 

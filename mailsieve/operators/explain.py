@@ -15,7 +15,6 @@ from mailsieve.functions.arrays import bind
 from mailsieve.functions.hashing import md5_int
 from mailsieve.functions.text import _as_col, clean_text, text_or_empty, text_preview
 from mailsieve.operators.scoring import Scorer, with_url_features
-from mailsieve.sources.corpus import spread
 
 NUM_SAMPLES = 500
 NUM_FEATURES = 10
@@ -54,18 +53,6 @@ def perturb_docs(
     head, run, gaps = _split_words(text_or_empty(text))
     docs = df.select(id_col, *carry, head.alias("_head"), run.alias("_run"), gaps.alias("_gaps"))
     docs = docs.withColumn("words", F.array_distinct("_run"))
-    # Where each word of the text stands in ``words``: found once per document, used per sample.
-    slots = bind(
-        "words",
-        lambda words: F.zip_with(
-            "_run",
-            "_gaps",
-            lambda w, g: F.struct(
-                F.array_position(words, w).cast("int").alias("slot"), w.alias("word"), g.alias("gap")
-            ),
-        ),
-    )
-    docs = docs.select(id_col, *carry, "_head", "words", slots.alias("_pieces"))
     samples = docs.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))))
     seed = F.concat_ws(":", F.col(id_col).cast("string"), F.col("sample").cast("string"))
     seeded = samples.withColumn("_seed", seed)
@@ -84,12 +71,14 @@ def perturb_docs(
     )
     # The n-th smallest hash is the last one removed.
     cut = F.when(F.col("_n") > 0, F.element_at(F.sort_array("_hashes"), F.greatest("_n", F.lit(1)))).otherwise("")
-    masked = hashed.withColumn("keep", bind(cut, lambda c: F.transform("_hashes", lambda h: h > c)))
+    cutting = hashed.withColumn("_cut", cut)
+    masked = cutting.withColumn("keep", bind("_cut", lambda c: F.transform("_hashes", lambda h: h > c)))
+    # A word stays or goes wherever it stands, so each occurrence asks its own hash; looking its place
+    # up among the distinct words would be quadratic in the length of the document.
     pieces = bind(
-        "keep",
-        lambda keep: F.transform(
-            "_pieces",
-            lambda p: F.when(F.get(keep, p.slot - 1), F.concat(p.word, p.gap)).otherwise(p.gap),
+        F.struct(F.col("_seed").alias("seed"), F.col("_cut").alias("cut")),
+        lambda b: F.zip_with(
+            "_run", "_gaps", lambda w, g: F.when(F.md5(F.concat(b.seed, F.lit(":"), w)) > b.cut, F.concat(w, g)).otherwise(g)
         ),
     )
     return masked.select(
@@ -251,6 +240,7 @@ def explain(
         before = df.columns
         df = hold_url_constant(df)
         carry = tuple(c for c in df.columns if c not in before)
-    # Each document is about to become many rows, so a few files are not enough tasks.
-    variants = perturb_docs(spread(df, id_col), num_samples, id_col, carry=carry)
+    # Each document is about to become many rows, so moving it once to spread the work is cheap.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    variants = perturb_docs(df.repartition(cores, id_col), num_samples, id_col, carry=carry)
     return top_features(local_surrogate(score_perturbed(variants, scorer), num_features, id_col), num_features, id_col)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailsieve.functions.arrays import explode_rows, posexplode_rows
+from mailsieve.functions.arrays import bind, explode_rows, posexplode_rows
 from mailsieve.functions.text import _as_col
 from mailsieve.functions.urls import URL_FEATURES
 from mailsieve.operators.durable import durable
@@ -22,8 +22,8 @@ NUM_WORDS = 20_000
 MAX_LEN = 200
 HYBRID_MAX_LEN = 100
 OOV_ID = 1
-# From this many documents on, rare pairs are kept off the network (see vocab_topk).
-PRUNE_FROM_DOCS = 1_000_000
+# Bins per doubling of a count when the k-th largest one is sought.
+COUNT_BINS = 32
 
 
 def word_list(clean: Column | str) -> Column:
@@ -81,25 +81,34 @@ def term_counts(df: DataFrame, clean: str = "clean") -> DataFrame:
     return _count_terms(_explode_counts(with_terms(df.select(clean), clean), "terms"))
 
 
+def largest(counts: DataFrame, n: str, k: int, *ties: Column | str) -> DataFrame:
+    """The ``k`` rows with the largest ``n`` (1 or more), ties in the order of ``ties``.
+
+    A histogram of the counts (at most 64 x ``COUNT_BINS`` rows) tells which bin holds the k-th row; only rows of that
+    bin and above are ordered, so no task gathers k rows from every partition. Reads ``counts`` twice.
+    """
+    place = F.floor(F.log2(F.col(n).cast("double")) * COUNT_BINS)
+    bins = counts.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+    above = F.sum("rows").over(Window.orderBy(F.desc("bin"))) - F.col("rows")
+    cut = bins.withColumn("above", above).where(F.col("above") < k).agg(F.min("bin")).scalar()
+    return counts.where(place >= cut).orderBy(F.desc(n), *ties).limit(k)
+
+
 def top_terms(counts: DataFrame, k: int) -> DataFrame:
-    return counts.orderBy(F.desc("tf"), "term").limit(k)
+    return largest(durable(counts, "counts"), "tf", k, "term")
 
 
-def vocab_topk(
-    df: DataFrame, k: int = MAX_FEATURES, clean: str = "clean", prune: bool | None = None
-) -> DataFrame:
+def vocab_topk(df: DataFrame, k: int = MAX_FEATURES, clean: str = "clean") -> DataFrame:
     """(term, tf, df) of the ``k`` most frequent words and bigrams, ties by term.
 
     A pair is never more frequent than either of its words, so a pair among the top ``k`` is
-    made of words at least as frequent as the ``k``-th word. With ``prune`` (by default for large
-    corpora) pairs with a rarer word are left out before the shuffle, which keeps the long tail of
-    pairs off the network at the price of a second pass, without changing the result. With so
-    many ties that the frequent words do not fit the lookup, all pairs are counted after all.
+    made of words at least as frequent as the ``k``-th word. Pairs with a rarer word are left out before
+    the shuffle, which keeps the long tail of pairs off the network at the price of a second pass, without
+    changing the result. With so many ties that the frequent words do not fit the lookup, all pairs are
+    counted after all.
     """
     bound = 4 * k
-    if prune is None:
-        prune = df.count() >= PRUNE_FROM_DOCS
-    if not prune or bound > BROADCAST_ROWS:
+    if bound > BROADCAST_ROWS:
         return top_terms(term_counts(df, clean), k)
     words = df.select(word_list(clean).alias("words"))
     frequent = durable(top_terms(_count_terms(_explode_counts(words, "words")), bound + 1), "words")
@@ -145,26 +154,41 @@ def fit_idf(train: DataFrame, k: int = MAX_FEATURES, clean: str = "clean") -> Te
     return TermWeights(durable(vocab, "vocabulary"), k)
 
 
+def document_terms(terms: Column | str) -> Column:
+    """map term -> tf of one document: its sorted terms, cut where the term changes; linear but for the sort."""
+
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        lengths = bind(
+            starts,
+            lambda s: F.transform(s, lambda i, k: F.struct(F.get(t, i).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(t)) - i).cast("long").alias("tf"))),
+        )
+        return F.when(F.size(t) > 0, lengths).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+    return bind(F.sort_array(terms), runs)
+
+
 def term_frequencies(
     df: DataFrame, weights: TermWeights, id_col: str = "doc_id", clean: str = "clean"
 ) -> DataFrame:
     """(id, term, tf, idf and other columns of the table) for terms in the vocabulary.
 
-    The cleaned text moves once, hashed by document; everything after it on the document key is
-    local, including the norms and scores built on this table.
+    Terms are counted inside the row, so neither the text nor repeated terms move.
     """
-    docs = df.select(id_col, clean).repartition(id_col)
-    terms = ngrams_1_2(docs, id_col, clean)
+    counted = with_terms(df.select(id_col, clean), clean).select(id_col, document_terms("terms").alias("counted"))
+    rows = explode_rows(counted, "counted", "c", id_col).select(id_col, "c.term", "c.tf")
     extra = [c for c in weights.table.columns if c not in ("term", "tf", "df")]
-    known = weights.table.select("term", *extra)
-    hits = bounded_lookup(terms, known, "term", weights.size)
-    return hits.groupBy(id_col, "term", *extra).agg(F.count(F.lit(1)).alias("tf"))
+    hits = bounded_lookup(rows, weights.table.select("term", *extra), "term", weights.size)
+    return hits.select(id_col, "term", *extra, "tf")
 
 
 def tfidf(
     df: DataFrame, weights: TermWeights, id_col: str = "doc_id", clean: str = "clean"
 ) -> DataFrame:
-    """(id, term, tf, tfidf): tf x idf with unit length per document."""
+    """(id, term, tf, tfidf): tf x idf with unit length per document.
+
+    Only looked-up terms meet by document, for the norm.
+    """
     raw = term_frequencies(df, weights, id_col, clean).withColumn("x", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(id_col)))
     return raw.select(id_col, "term", "tf", (F.col("x") / norm).alias("tfidf"))
@@ -176,11 +200,11 @@ def seq_vocab(
     """(word, n, id): ids from 2 by frequency, ties by first appearance; only ids below
     ``num_words`` are kept because the others read as unknown."""
     tokens = posexplode_rows(train, sequence_words(clean), "word", id_col)
-    counts = tokens.groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(id_col, "pos")).alias("first")
+    counts = durable(
+        tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(id_col, "pos")).alias("first")), "counts"
     )
     order = [F.desc("n"), F.asc("first")]
-    top = counts.orderBy(*order).limit(max(num_words - 2, 0))
+    top = largest(counts, "n", max(num_words - 2, 0), F.asc("first"))
     # At most num_words rows reach this window.
     rank = F.row_number().over(Window.orderBy(*order))
     return top.select("word", "n", (rank + OOV_ID).alias("id"))
@@ -202,9 +226,9 @@ def texts_to_sequences(
     words = sequence_words(clean)
     if max_len is not None:
         words = F.slice(words, 1, max_len)
-    docs = df.select(id_col, clean).repartition(id_col)
-    # The outer form keeps documents without words, as one row without a word.
-    tokens = docs.select(id_col, F.posexplode_outer(words).alias("pos", "word"))
+    # The outer form keeps documents without words, as one row without a word. Words are looked up where
+    # they are; what moves to the document's row are ids, put together before they move.
+    tokens = df.select(id_col, F.posexplode_outer(words).alias("pos", "word"))
     known = vocab.select("word", "id")
     coded = bounded_lookup(tokens, known, "word", num_words, "left")
     code = F.when(F.col("word").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(OOV_ID)).alias("id")))

@@ -108,7 +108,8 @@ def roc_auc(
     ranged = distinct.repartitionByRange(*by, score).withColumn("bucket", F.spark_partition_id())
     before_row = Window.partitionBy(*by, "bucket").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(before_row), F.lit(0))
-    won = F.col("pos") * (below + F.col("neg") / 2)
+    # Products of counts pass the range of a long from a few billion rows a class on.
+    won = F.col("pos").cast("double") * (below + F.col("neg") / 2)
     buckets = (
         ranged.withColumn("won", won)
         .groupBy(*by, "bucket")
@@ -118,7 +119,7 @@ def roc_auc(
     before_bucket = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     below_bucket = F.coalesce(F.sum("neg").over(before_bucket), F.lit(0))
     totals = (
-        buckets.withColumn("won", F.col("won") + F.col("pos") * below_bucket)
+        buckets.withColumn("won", F.col("won") + F.col("pos").cast("double") * below_bucket)
         .groupBy(*by)
         .agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )

@@ -16,8 +16,6 @@ from mailsieve.functions.hashing import md5_int, md5_key
 SEED = 42
 # 16 bits: 65,536 buckets, at most that many rows per stratum in the counting step.
 BUCKET_DIGITS = 4
-# Samples up to this size are taken by a distributed top-k, larger ones by a hash cut.
-TOP_K_ROWS = 10_000
 SPLITS = ("train", "validation", "test")
 
 
@@ -159,8 +157,9 @@ def shuffle_rank(df: DataFrame, id_col: str = "doc_id", seed: int = SEED) -> Dat
 
 
 def seeded_sample(df: DataFrame, n: int, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """``min(n, rows)`` rows, the first ones in hash order."""
-    if n <= TOP_K_ROWS:
-        return seeded_shuffle(df, id_col, seed).limit(n)
+    """``min(n, rows)`` rows, the first ones in hash order, whatever the size of the sample.
+
+    The key of the last row is found from bucket counts; every row then compares its own key.
+    """
     cuts = _cut_keys(df, id_col, seed, [], {"end": F.least(F.lit(n), F.col("n"))})
     return df.where(_order_key(id_col, seed) <= cuts.select("end").scalar())

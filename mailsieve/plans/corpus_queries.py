@@ -55,21 +55,45 @@ def cast_types(spark, sf):
     return src.cast_types(docs.join(labels, "doc_id", "left"))
 
 
+@query("scan_csv", "SELECT doc_id, length(text)::INTEGER AS n_text, md5(text) AS text_md5 FROM documents")
+def scan_csv(spark, sf):
+    """Documents written as CSV (texts hold quotes and line breaks) and scanned from there."""
+    path = scratch_path(spark, "csv")
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    docs.write.option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).csv(path)
+    rows = src.scan_corpus(spark, path, _DOC_SCHEMA)
+    return rows.select("doc_id", F.length("text").alias("n_text"), F.md5("text").alias("text_md5"))
+
+
 _MERGED_SQL = """
+    SELECT text, doc_id, lang, n_chars, NULL::BIGINT AS item_id, 'documents' AS source FROM documents
+    UNION ALL SELECT text, NULL, NULL, NULL, item_id, 'benchmark' FROM benchmark
+    UNION ALL SELECT text, doc_id, lang, n_chars, NULL, 'documents' FROM documents"""
+
+
+@query("union_sources", _MERGED_SQL)
+def union_sources(spark, sf):
+    """Real paths: one is missing and one is listed twice."""
+    names = ("documents", "missing", "benchmark", "documents")
+    merged = src.union_sources(spark, [f"{sf}/{n}.parquet" for n in names], fmt="parquet")
+    return merged.withColumn("source", F.regexp_extract("source", r"([^/]+)\.parquet$", 1))
+
+
+_CONVERSED_SQL = """
     SELECT text, doc_id, lang, NULL::BIGINT AS conv_id, NULL::BIGINT AS turn, NULL::BIGINT AS item_id,
         'documents' AS source FROM documents
     UNION ALL SELECT text, NULL, NULL, conv_id, turn, NULL, 'conversations' FROM conversations
     UNION ALL SELECT text, NULL, NULL, NULL, NULL, item_id, 'benchmark' FROM benchmark"""
 
 
-@query("union_sources", _MERGED_SQL)
-def union_sources(spark, sf):
+@query("union_frames", _CONVERSED_SQL)
+def union_frames(spark, sf):
     return src.union_frames(
-        {
-            "documents": fx.table(spark, sf, "documents").select("doc_id", "lang", "text"),
-            "conversations": fx.table(spark, sf, "conversations").select("conv_id", "turn", "text"),
-            "benchmark": fx.table(spark, sf, "benchmark").select("item_id", "text"),
-        }
+        [
+            ("documents", fx.table(spark, sf, "documents").select("doc_id", "lang", "text")),
+            ("conversations", fx.table(spark, sf, "conversations").select("conv_id", "turn", "text")),
+            ("benchmark", fx.table(spark, sf, "benchmark").select("item_id", "text")),
+        ]
     )
 
 
@@ -147,26 +171,41 @@ def write_results(spark, sf):
     return spark.read.schema("model string, accuracy double").option("header", True).csv(path)
 
 
+# Hashed weights for the words of every benchmark text, the ten strongest of each.
+_TOKENS_SQL = f"""
+    SELECT item_id, string_agg(token, ' ' ORDER BY rank) AS tokens, round(sum(weight), 6) AS weight_sum
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY abs(weight) DESC, token) AS rank FROM (
+        SELECT item_id, token, {S.md5_int("md5(token)", 1, 8)} / 2147483648.0::DOUBLE - 1 AS weight
+        FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[a-z]+')) AS token FROM benchmark)))
+    WHERE rank <= 10 GROUP BY item_id"""
+
+
 @query(
     "write_explanations",
     f"""SELECT item_id, 'hashed' AS model, '2024-01-01T00:00:00' AS timestamp,
         CASE WHEN p > 1 - p THEN 'phishing' ELSE 'legitimate' END AS label,
         (p > 1 - p)::BIGINT AS prediction, round(greatest(p, 1 - p), 6) AS probability,
         CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '...' ELSE text END AS text_preview,
-        length(text) AS text_length
-    FROM (SELECT *, {S.md5_int("md5(item_id || ':p')", 1, 4)} / 65536.0::DOUBLE AS p FROM benchmark)""",
+        length(text) AS text_length, tokens, weight_sum
+    FROM (SELECT *, {S.md5_int("md5(item_id || ':p')", 1, 4)} / 65536.0::DOUBLE AS p FROM benchmark)
+    LEFT JOIN ({_TOKENS_SQL}) USING (item_id)""",
 )
 def write_explanations(spark, sf):
     path = scratch_path(spark, "explanations")
     items = fx.table(spark, sf, "benchmark")
     prob = fx.md5_int(md5_key("item_id", F.lit("p")), 4) / F.lit(65536.0)
-    none = spark.createDataFrame([], "item_id bigint, rank int, token string, weight double")
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)))
+    tokens = items.select("item_id", F.explode(words).alias("token")).withColumn("weight", fx.hashed_weight("token"))
     records = ex.explanation_record(
-        items.withColumn("prob", prob), none, "hashed", "2024-01-01T00:00:00", id_col="item_id"
+        items.withColumn("prob", prob), ex.top_features(tokens, id_col="item_id"), "hashed", "2024-01-01T00:00:00", id_col="item_id"
     )
     sinks.write_explanations(records, path)
     schema = (
-        "item_id bigint, timestamp string, label string, prediction bigint, probability double, "
-        "text_preview string, text_length bigint, model string"
+        "item_id bigint, timestamp string, label string, prediction bigint, probability double, text_preview string, "
+        "text_length bigint, model string, top_tokens array<struct<token string, weight double>>"
     )
-    return spark.read.schema(schema).json(path).withColumn("probability", F.round("probability", 6))
+    rows = spark.read.schema(schema).json(path).withColumn("probability", F.round("probability", 6))
+    total = F.aggregate("top_tokens", F.lit(0.0), lambda a, t: a + t.weight)
+    return rows.withColumns(
+        {"tokens": F.array_join("top_tokens.token", " "), "weight_sum": F.round(total, 6)}
+    ).drop("top_tokens")

@@ -131,9 +131,14 @@ def vote_breakdown(spark, sf):
 )
 def skip_failed_members(spark, sf):
     scores = fx.score_table(spark, sf)
-    answered = F.count("prob")
-    return scores.groupBy("doc_id").agg(
-        answered.alias("answered"),
-        (F.count(F.lit(1)) - answered).alias("failed"),
-        (answered == 0).cast("int").alias("nothing"),
+    answered = en.skip_failed_members(scores).groupBy("doc_id").agg(F.count(F.lit(1)).alias("answered"))
+    nobody = en.failed_documents(scores).select("doc_id", F.lit(1).alias("nothing"))
+    asked = scores.groupBy("doc_id").agg(F.count(F.lit(1)).alias("asked"))
+    rows = asked.join(answered, "doc_id", "left").join(nobody, "doc_id", "left")
+    count = F.coalesce("answered", F.lit(0)).cast("long")
+    return rows.select(
+        "doc_id",
+        count.alias("answered"),
+        (F.col("asked") - count).alias("failed"),
+        F.coalesce("nothing", F.lit(0)).alias("nothing"),
     )

@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     """The id (first column) and text columns of a table, over all cores."""
-    return spread(table(spark, sf, name).select(*columns), columns[0])
+    return spread(table(spark, sf, name).select(*columns))
 
 
 def page_urls(spark: SparkSession, sf: str) -> DataFrame:

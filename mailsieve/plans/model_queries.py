@@ -6,28 +6,79 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from mailsieve.functions import scores as sc
+from mailsieve.operators import ensemble as en
+from mailsieve.operators import metrics as M
 from mailsieve.operators import scoring as md
-from mailsieve.operators.features import TermWeights
+from mailsieve.operators.durable import durable
+from mailsieve.operators.features import TermWeights, fit_idf
 from mailsieve.plans import fixtures as fx
 from mailsieve.plans import sql as S
 from mailsieve.plans.registry import query
 from mailsieve.plans.sql import with_views
+from mailsieve.sources.corpus import cast_types
 
 
 def _clean_messages(spark, sf):
     return fx.messages(spark, sf).select("doc_id", "text", fx.clean_text("text").alias("clean"))
 
 
+def _split_rows(spark, sf, split):
+    """One split as a model takes it: text null as "nan", label as int, cleaned. Written, as fits read it often."""
+    rows = cast_types(fx.split_emails(spark, sf).where(F.col("split") == split))
+    return durable(rows.select("doc_id", "label", "text", fx.clean_text("text").alias("clean")), split)
+
+
 def _train_rows(spark, sf):
-    rows = fx.split_emails(spark, sf).where("split = 'train'")
-    return rows.select("doc_id", "label", "text", fx.clean_text("text").alias("clean"))
+    return _split_rows(spark, sf, "train")
 
 
 @query("train_tfidf_lr")
 def train_tfidf_lr(spark, sf):
     """The fitted model as a table."""
     table = md.train_tfidf_lr(_train_rows(spark, sf)).term_table()
-    return table.select("term", "tf", "df", F.round("idf", 6).alias("idf"), F.round("weight", 4).alias("weight"))
+    return table.select("term", "tf", "df", F.round("idf", 6).alias("idf"), F.round("weight", 3).alias("weight"))
+
+
+@query(
+    "train_vocabulary",
+    with_views("SELECT term, tf::BIGINT AS tf, df::BIGINT AS df, round(idf, 6) AS idf FROM vocab"),
+)
+def train_vocabulary(spark, sf):
+    """The part of the trained model that SQL can rebuild: its terms, counts and idf."""
+    table = fit_idf(_train_rows(spark, sf)).table
+    return table.select("term", "tf", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("validation_report")
+def validation_report(spark, sf):
+    """Both classes, accuracy and averages of the trained classifier on the validation split."""
+    model = md.train_tfidf_lr(_train_rows(spark, sf))
+    scored = model(_split_rows(spark, sf, "validation")).withColumn("pred", sc.label_above("prob"))
+    report = M.classification_report(M.confusion_counts(scored))
+    return report.select("class", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "support")
+
+
+@query("evaluate_trained")
+def evaluate_trained(spark, sf):
+    """(model, accuracy, roc_auc) on the test split: two trained members and three ways to combine them."""
+    train = _train_rows(spark, sf)
+    scorers = {"tfidf": md.train_tfidf_lr(train), "hybrid": md.train_hybrid(train)}
+    test = _split_rows(spark, sf, "test")
+    members = durable(md.predict_by_model(test, scorers, list(scorers)), "members")
+    none = members.withColumns({"legitimacy": F.lit(0), "suspicion": F.lit(0)})
+    combined = {
+        "majority": en.majority_vote(members).select("doc_id", F.col("probability").alias("prob")),
+        "weighted": en.weighted_average(members).select("doc_id", F.col("probability").alias("prob")),
+        "adjusted": en.adjusted_weighted(none).select("doc_id", F.col("probability").alias("prob")),
+    }
+    every = members
+    for name, rows in combined.items():
+        every = every.unionByName(rows.withColumn("model", F.lit(name)))
+    compared = M.model_comparison(every.join(test.select("doc_id", "label"), "doc_id"))
+    best = M.best_model(compared, [*scorers, *combined]).select("model", F.lit(True).alias("best"))
+    return compared.join(best, "model", "left").select(
+        "model", F.round("accuracy", 6).alias("accuracy"), F.round("roc_auc", 6).alias("roc_auc"), F.coalesce("best", F.lit(False)).alias("best")
+    )
 
 
 @query("predict_proba")

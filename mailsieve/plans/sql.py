@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from mailsieve.functions.text import WS
+from mailsieve.functions.urls import FEATURE_URL_PATTERN, IP_PATTERN, RESERVED, SUSPICIOUS_KEYWORDS, TRAILING_PUNCTUATION
 
 MODELS = ("tfidf", "cnn", "lstm", "bert", "hybrid")
 
@@ -11,9 +14,13 @@ SPACE = " || ".join(f"chr({c})" for c in range(0x3001) if chr(c).isspace())
 URL = rf"(?i)(?:https?://|www\.)[^{WS}]+"
 MARKUP = (
     r"(?is)<!--.*?-->|<script\b.*?(?:</script[^>]*>|\z)|<style\b.*?(?:</style[^>]*>|\z)"
-    r"|<template\b.*?(?:</template[^>]*>|\z)|<[a-z/!?][^>]*>"
+    r"|<template\b.*?(?:</template[^>]*>|\z)"
+    r"""|<[a-z/!?](?:[^>"'']|"[^"]*"|''[^'']*'')*>|<[a-z/!?][^>]*>"""
 )
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+ENTITIES = [
+    ("&le;", "≤"), ("&alpha;", "α"), ("&hearts;", "♥"), ("&#146;", "’"), ("&#1234567890;", "\ufffd"),
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
+]
 
 
 def unescape(e: str) -> str:
@@ -49,13 +56,12 @@ def clean_text(e: str) -> str:
 
 
 def normalize_url(u: str) -> str:
-    bare = f"""rtrim({u}, '.,;:!?)''"')"""
+    marks = TRAILING_PUNCTUATION.replace("'", "''")
+    bare = f"rtrim({u}, '{marks}')"
     return f"CASE WHEN starts_with(lower({bare}), 'www.') THEN 'http://' || {bare} ELSE {bare} END"
 
 
-RESERVED_PATTERN = (
-    r"\.example|\.test|\.invalid|\.localhost|example\.com|example\.org|example\.net|test\.com|localhost"
-)
+RESERVED_PATTERN = "|".join(re.escape(r) for r in RESERVED)
 
 
 def raw_urls(e: str) -> str:
@@ -81,13 +87,13 @@ def md5_int(e: str, start: int, digits: int) -> str:
     return f"('0x' || substr({e}, {start}, {digits}))::BIGINT"
 
 
-FEATURE_URL = "regexp_extract(text, 'https?://[!$-_a-z]+')"
-URL_FEATURES = r"""
+FEATURE_URL = f"regexp_extract(text, '{FEATURE_URL_PATTERN}')"
+URL_FEATURES = rf"""
     length(u)::INTEGER AS url_len,
     (length(u) - length(replace(u, '.', '')))::INTEGER AS url_dots,
-    regexp_matches(u, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}')::INTEGER AS url_has_ip,
+    regexp_matches(u, '{IP_PATTERN}')::INTEGER AS url_has_ip,
     (length(u) - length(replace(replace(u, '@', ''), '-', '')))::INTEGER AS url_special,
-    regexp_matches(lower(u), 'login|update|verify|bank|secure|account|confirm')::INTEGER AS url_keyword,
+    regexp_matches(lower(u), '{'|'.join(SUSPICIOUS_KEYWORDS)}')::INTEGER AS url_keyword,
     starts_with(u, 'https')::INTEGER AS url_https"""
 FEATURE_NAMES = ("url_len", "url_dots", "url_has_ip", "url_special", "url_keyword", "url_https")
 
@@ -203,8 +209,6 @@ def with_views(body: str) -> str:
 
 
 def _mentions(text: str, name: str) -> bool:
-    import re
-
     return re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text) is not None
 
 

@@ -19,16 +19,24 @@ def corpus_schema(text: str = DEFAULT_TEXT, label: str = DEFAULT_LABEL) -> T.Str
 
 
 def scan_corpus(
-    spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, fmt: str = "csv"
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType | None = None,
+    fmt: str = "csv",
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Scan a corpus; CSV fields may hold quotes and line breaks."""
+    """Scan a corpus; CSV fields may hold quotes and, with ``multi_line``, line breaks.
+
+    A CSV file with line breaks inside fields can't be split and is one task. Convert large ones to
+    parquet once, or keep them in many files.
+    """
     if fmt != "csv":
         reader = spark.read.format(fmt)
         return (reader.schema(schema) if schema is not None else reader).load(path)
     return (
         spark.read.schema(schema if schema is not None else corpus_schema())
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)
@@ -72,26 +80,30 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def union_frames(frames: dict[str, DataFrame]) -> DataFrame:
-    """Concatenate by column name, absent columns null, with the source's name as a tag."""
+def union_frames(frames: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Concatenate (tag, rows) by column name, absent columns null, with the tag as ``source``.
+
+    A tag may come more than once; each entry gives its rows.
+    """
     if not frames:
         raise ValueError("no sources to merge")
-    tagged = [df.withColumn("source", F.lit(name)) for name, df in frames.items()]
+    tagged = [df.withColumn("source", F.lit(name)) for name, df in frames]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
 def union_sources(
     spark: SparkSession, paths: list[str], schema: T.StructType | None = None, fmt: str = "csv"
 ) -> DataFrame:
-    """Merge corpora, skipping paths that do not exist."""
+    """Merge corpora, skipping paths that do not exist; a path listed twice is read twice."""
     present = [p for p in paths if path_exists(spark, p)]
-    return union_frames({p: scan_corpus(spark, p, schema, fmt) for p in present})
+    return union_frames([(p, scan_corpus(spark, p, schema, fmt)) for p in present])
 
 
-def spread(df: DataFrame, id_col: str) -> DataFrame:
-    """Rows dealt out by id when the table lies in fewer files than there are cores.
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly when a scan has fewer splits than there are cores.
 
-    Text work is heavy, and a few files give a few tasks. A table in many files is left where it is.
+    Text work is heavy, and few splits give few tasks. A scan with enough splits is left as it is;
+    only the plan is asked, no file is listed here.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, id_col) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

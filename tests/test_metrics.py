@@ -57,3 +57,13 @@ def test_zero_divisions(spark):
 def test_best_model_prefers_the_first_of_equals(spark):
     df = spark.createDataFrame([("b", 0.9), ("a", 0.9), ("c", 0.1)], "model string, accuracy double")
     assert M.best_model(df, ["c", "b", "a"]).first().model == "b"
+
+
+def test_products_of_large_counts_do_not_overflow(spark):
+    """The pair counts of the AUC are products of two longs that may each pass four thousand million."""
+    import inspect
+
+    df = spark.createDataFrame([(4_000_000_000, 4_000_000_000)], "pos long, below long")
+    assert df.select(F.col("pos").cast("double") * F.col("below")).first()[0] == 1.6e19
+    source = inspect.getsource(M.roc_auc)
+    assert source.count('F.col("pos").cast("double") *') == 3

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from mailsieve.functions import scores as sc
@@ -44,6 +45,37 @@ def test_training_separates_its_own_rows(spark, sf):
     assert scored.where("(prob > 0.5) <> (label = 1)").count() == 0
 
 
+def optimum(x, y):
+    """Weights and intercept of the penalised fit by Newton's method in as many unknowns as rows."""
+    n, inner = len(y), x @ x.T
+    a, b = np.zeros(n), 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(inner @ a + b)))
+        bend = p * (1 - p)
+        system = np.block([[np.eye(n) + bend[:, None] * inner, bend[:, None]], [(bend @ inner)[None], np.array([[bend.sum()]])]])
+        step = np.linalg.solve(system, np.append(a + p - y, (p - y).sum()))
+        a, b = a - step[:-1], b - step[-1]
+    return x.T @ a, b
+
+
+def test_trained_weights_are_at_the_optimum(spark, sf):
+    train = _train_rows(spark, sf)
+    tfidf, both = md.train_tfidf_lr(train, 400), md.train_hybrid(train, 400)
+    vectors = {
+        "tfidf": (tfidf.model, md._add_tfidf(train, tfidf.vectors).select("label", vector_to_array("tfidf").alias("x"))),
+        "hybrid": (both.model, md.assemble_features(train, both.vectors, both.stats).select("label", vector_to_array("features").alias("x"))),
+    }
+    for model, rows in vectors.values():
+        rows = rows.collect()
+        x, y = np.array([r.x for r in rows]), np.array([float(r.label) for r in rows])
+        weights, intercept = optimum(x, y)
+        assert np.abs(model.coefficients.toArray() - weights).max() < 1e-3
+        assert abs(model.intercept - intercept) < 1e-3
+        p = 1 / (1 + np.exp(-(x @ model.coefficients.toArray() + model.intercept)))
+        assert np.abs(x.T @ (p - y) + model.coefficients.toArray()).max() < 1e-3
+        assert 0 < model.summary.totalIterations < md.MAX_ITERATIONS
+
+
 def test_saved_models_score_the_same(spark, sf, tfidf_lr, hybrid, tmp_path):
     docs = _clean_messages(spark, sf)
     for name, model, kind in (("t", tfidf_lr, md.TfidfLR), ("h", hybrid, md.HybridLR)):
