@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document: one row each with the least doc_id of its group of near-duplicates."""
     classes = neardup.near_duplicates(table(spark, sf_dir, "documents"))
-    return classes.select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 @query

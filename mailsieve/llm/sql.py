@@ -7,6 +7,31 @@ _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQ
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 ORACLES: dict[str, str] = {
+    "op1_dart_minhash": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE
+  list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * k >= 4 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS doc, doc_id AS top FROM documents UNION SELECT e.b, r.top FROM r JOIN e ON e.a = r.doc)
+SELECT doc AS doc_id, min(top) AS class_id, doc = min(top) AS kept FROM r GROUP BY doc""",
+    "op2_bucket_pointer": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400),
+w AS MATERIALIZED (SELECT r, i, md5(substr(h, 2 * i::INT + 1, 400)) AS k FROM p),
+m AS (SELECT r, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+f AS (SELECT r, i, (i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -201) + 200)::INT AS fresh FROM m),
+g AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM f),
+runs AS (SELECT r, g, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, g),
+gaps AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM runs
+  UNION ALL SELECT d.r, coalesce(max(b), 0), any_value(length(h)) // 2 FROM d LEFT JOIN runs ON runs.r = d.r GROUP BY d.r),
+kept AS (SELECT r, string_agg(substr(h, 2 * a::INT + 1, 2 * (b - a)::INT), '' ORDER BY a) AS t FROM gaps JOIN d USING (r) GROUP BY r),
+n AS (SELECT r, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed FROM runs GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(t)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN n USING (r)""",
     "op3_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 h AS (SELECT page_id, octet_length(payload) AS payload_bytes, upper(sha1(payload)) AS hex FROM p),
