@@ -11,38 +11,44 @@ from mailsieve.operators import explain as ex
 from mailsieve.operators import scoring as md
 from mailsieve.plans import fixtures as fx
 from mailsieve.plans import sql as S
-from mailsieve.plans.model_queries import _train_rows
+from mailsieve.plans.model_queries import _train_rows, hashed_model
 from mailsieve.plans.registry import query
 from mailsieve.plans.sql import with_views
 
 ID = "item_id"
 
-# Distinct words in order of appearance, the number to remove per sample, and removal by hash rank.
-_VARIANTS = f"""
+def variants_sql(table: str, key: str, samples: int) -> str:
+    """Distinct words in order of appearance, the number to remove per sample, and removal by hash rank."""
+    return f"""
     WITH docs AS MATERIALIZED (
-        SELECT item_id, list_distinct(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS ws FROM benchmark),
+        SELECT {key}, list_distinct(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS ws FROM {table}),
     samples AS MATERIALIZED (
-        SELECT item_id, len(ws) AS total, ws, CASE WHEN sample = 0 OR len(ws) = 0 THEN 0 ELSE
-            1 + {S.md5_int("md5(item_id || ':' || sample)", 1, 8)} % len(ws) END AS removed, sample
-        FROM docs, (SELECT unnest(range(500))::INTEGER AS sample)),
+        SELECT {key}, len(ws) AS total, ws, CASE WHEN sample = 0 OR len(ws) = 0 THEN 0 ELSE
+            1 + {S.md5_int(f"md5({key} || ':' || sample)", 1, 8)} % len(ws) END AS removed, sample
+        FROM docs, (SELECT unnest(range({samples}))::INTEGER AS sample)),
     ranked AS MATERIALIZED (
-        SELECT item_id, sample, total, removed, word,
-            row_number() OVER (PARTITION BY item_id, sample ORDER BY md5(item_id || ':' || sample || ':' || word)) AS rn
-        FROM (SELECT item_id, sample, total, removed, unnest(ws) AS word FROM samples)),
+        SELECT {key}, sample, total, removed, word,
+            row_number() OVER (PARTITION BY {key}, sample ORDER BY md5({key} || ':' || sample || ':' || word)) AS rn
+        FROM (SELECT {key}, sample, total, removed, unnest(ws) AS word FROM samples)),
     variants AS MATERIALIZED (
-        SELECT item_id, sample, any_value(total)::INTEGER AS total, any_value(removed)::INTEGER AS removed,
+        SELECT {key}, sample, any_value(total)::INTEGER AS total, any_value(removed)::INTEGER AS removed,
             coalesce(string_agg(word, ' ' ORDER BY word) FILTER (rn > removed), '') AS kept_words
-        FROM ranked GROUP BY item_id, sample)"""
+        FROM ranked GROUP BY {key}, sample)"""
+
+
+_VARIANTS = variants_sql("benchmark", "item_id", 500)
 
 
 @query("perturb_docs", f"{_VARIANTS} SELECT item_id, sample, total, removed, kept_words FROM variants")
 def perturb_docs(spark, sf):
-    variants = ex.perturb_docs(fx.items(spark, sf), id_col=ID)
-    kept = F.transform(
-        F.filter(F.arrays_zip("words", "keep"), lambda z: z.keep), lambda z: z.words
-    )
+    return _kept(ex.perturb_docs(fx.items(spark, sf), id_col=ID), ID)
+
+
+def _kept(variants, key):
+    """Words in all, words removed, and the kept ones in order of the alphabet."""
+    kept = F.transform(F.filter(F.arrays_zip("words", "keep"), lambda z: z.keep), lambda z: z.words)
     return variants.select(
-        ID,
+        key,
         "sample",
         F.size("words").alias("total"),
         (F.size("words") - ex.kept_words()).alias("removed"),
@@ -50,6 +56,56 @@ def perturb_docs(spark, sf):
     )
 
 
+DOC_SAMPLES = 3
+
+
+@query(
+    "perturb_documents",
+    f"""{variants_sql("documents", "doc_id", DOC_SAMPLES)}
+    SELECT doc_id, sample, total, removed, md5(kept_words) AS kept_md5 FROM variants""",
+)
+def perturb_documents(spark, sf):
+    """Long texts, too: all documents, a few samples of each."""
+    docs = fx.texts(spark, sf, "documents", "doc_id", "text")
+    rows = _kept(ex.perturb_docs(docs, DOC_SAMPLES), "doc_id")
+    return rows.withColumn("kept_md5", F.md5("kept_words")).drop("kept_words")
+
+
+LINEAR_SAMPLES = 20
+_PIECE = r"([\p{L}\p{N}_]+)([^\p{L}\p{N}_]*)"
+
+
+@query(
+    "score_perturbed_linear",
+    with_views(
+        f"""SELECT vid, round(coalesce(dot / norm, 0) - 0.25, 6) AS score FROM ({variants_sql("benchmark", "item_id", LINEAR_SAMPLES)},
+        pieces AS (
+            SELECT item_id, head, unnest(words) AS word, unnest(gaps) AS gap, generate_subscripts(words, 1) AS pos FROM (
+                SELECT item_id, regexp_extract(text, '^[^\\p{{L}}\\p{{N}}_]*') AS head, regexp_extract_all(text, '{_PIECE}', 1) AS words,
+                    regexp_extract_all(text, '{_PIECE}', 2) AS gaps FROM benchmark)),
+        texts AS (
+            SELECT item_id || ':' || sample AS vid, any_value(head)
+                || string_agg(CASE WHEN rn > removed THEN word || gap ELSE gap END, '' ORDER BY pos) AS text
+            FROM pieces JOIN ranked USING (item_id, word) GROUP BY item_id, sample),
+        ws AS (SELECT vid, regexp_extract_all({S.clean_text('text')}, '[a-z0-9_]{{2,}}') AS ws FROM texts),
+        each AS (
+            SELECT vid, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS term FROM ws),
+        known AS (SELECT vid, term, idf, count(*) AS tf FROM each JOIN vocab USING (term) GROUP BY vid, term, idf),
+        sums AS (
+            SELECT vid, sum(tf * idf * ({S.md5_int('md5(term)', 1, 8)} / 2147483648.0::DOUBLE - 1)) AS dot, sqrt(sum(tf * idf * tf * idf)) AS norm
+            FROM known GROUP BY vid)
+        SELECT vid, dot, norm FROM texts LEFT JOIN sums USING (vid))"""
+    ),
+)
+def score_perturbed_linear(spark, sf):
+    """The variants of every item under hashed weights."""
+    variants = ex.perturb_docs(fx.items(spark, sf), LINEAR_SAMPLES, id_col=ID)
+    vid = F.concat_ws(":", F.col(ID).cast("string"), F.col("sample").cast("string"))
+    rows = variants.select(vid.alias("vid"), fx.clean_text("variant").alias("clean"))
+    scored = md.linear_score(rows, hashed_model(spark, sf), -0.25, id_col="vid")
+    return scored.select("vid", F.round("score", 6).alias("score"))
+
+
 @query(
     "kernel_weights",
     f"""{_VARIANTS} SELECT item_id, sample, round(d, 6) AS distance, round(sqrt(exp(-(d * d) / 625.0::DOUBLE)), 6) AS kernel

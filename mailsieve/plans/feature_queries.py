@@ -144,7 +144,19 @@ def scaler_transform(spark, sf):
     )
 
 
-@query("assemble_features")
+_SCALED = [f"({f} - {f}_mean) / CASE WHEN {f}_std = 0 THEN 1 ELSE {f}_std END" for f in S.FEATURE_NAMES]
+
+
+@query(
+    "assemble_features",
+    with_views(
+        f"""SELECT doc_id, ((SELECT count(*) FROM vocab) + {len(_SCALED)})::INTEGER AS n_features,
+            (coalesce(t.n, 0) + u.n)::INTEGER AS n_nonzero, round(coalesce(t.total, 0) + u.total, 6) AS total
+        FROM (SELECT doc_id, {' + '.join(f'({e} <> 0)::INT' for e in _SCALED)} AS n, {' + '.join(_SCALED)} AS total
+              FROM message_url_features CROSS JOIN ({_STATS})) u
+        LEFT JOIN (SELECT doc_id, count(*) AS n, sum(tfidf) AS total FROM tfidf GROUP BY doc_id) t USING (doc_id)"""
+    ),
+)
 def assemble_features_query(spark, sf):
     weights = fx.fitted_terms(spark, sf)
     stats = ft.scaler_fit(_train_urls(spark, sf))
