@@ -24,6 +24,9 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Bytes hashed at a time.
+STRETCH = 1 << 18
+
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -110,8 +113,20 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, rule: np.ndarray) -> tuple
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, never 0."""
-    out = mix(range_hashes(prefix_sums(data), start, end))
+    """64-bit hash of each word, never 0. ``start`` is ascending.
+
+    Works on stretches of ``STRETCH`` bytes that begin and end with words, so the running sums stay small; only
+    a longer single word makes one of its own length.
+    """
+    out = np.empty(len(start), np.uint64)
+    first = 0
+    while first < len(start):
+        base = start[first]
+        last = max(first + 1, int(np.searchsorted(end, base + STRETCH, "right")))
+        sums = prefix_sums(data[base : end[last - 1]])
+        out[first:last] = range_hashes(sums, start[first:last] - base, end[first:last] - base)
+        first = last
+    out = mix(out)
     out[out == 0] = np.uint64(1)
     return out
 
