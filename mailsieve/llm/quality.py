@@ -214,8 +214,9 @@ def fit_groups(rows: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """``docs`` without the text, with the base counts, base_failed, distance (squared) and kept."""
-    counted = base_counts(docs, text)
     names = [f"x{i}" for i in range(DIMS)]
+    own = {"pair", "grp", "distance", "kept", "n_capitals", *names, *(f"c{i}" for i in range(DIMS)), *(f"m{i}{j}" for i, j in PAIRS)}
+    counted = base_counts(docs.drop(*(c for c in docs.columns if c in own and c not in (text, lang, source))), text)
     pair = F.concat_ws("\x1f", F.coalesce(F.col(lang).cast("string"), F.lit("\x00")), F.coalesce(F.col(source).cast("string"), F.lit("\x00")))
     counted = durable(counted.withColumns(dict(zip(names, vectors()))).withColumn("pair", pair), "quality")
     sizes = counted.where("NOT base_failed").groupBy("pair").count()
@@ -228,5 +229,5 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     far = F.coalesce(distance(), F.lit(0.0))
     judged = counted.join(fitted, "pair", "left").withColumn("distance", far)
     kept = ~F.col("base_failed") & (F.col("distance") <= chi_square_point(CUTOFF, DIMS))
-    drop = {"pair", *names, "n_lines", "n_capitals", *(f"c{i}" for i in range(DIMS)), *(f"m{i}{j}" for i, j in PAIRS)}
+    drop = (own - {"distance"}) | {"n_lines"}
     return judged.withColumn("kept", kept).select(*(c for c in judged.columns if c not in drop), "kept")
