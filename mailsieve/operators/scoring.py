@@ -34,8 +34,8 @@ from mailsieve.operators.joins import BROADCAST_ROWS, bounded_lookup
 
 DEFAULT_THRESHOLD = 0.5
 BATCH_SIZE = 32
-# A few hundred passes bring every weight within 1e-3 of the optimum.
-MAX_ITERATIONS, TOLERANCE = 2_000, 1e-10
+# A few hundred passes bring every weight within 1e-3 of the optimum; small corpora may use them up.
+MAX_ITERATIONS, TOLERANCE = 500, 1e-8
 
 # A scorer adds its probability column to a table that has ``text`` and ``clean``.
 Scorer = Callable[[DataFrame, str], DataFrame]
