@@ -96,6 +96,8 @@ def learn_shard(bits: int, epochs: int):
         rows = [(np.array(c, np.int64), y) for b in batches for c, y in zip(b.column(1).to_numpy(zero_copy_only=False), b.column(0).to_pylist())]
         if not rows:
             return
+        # Neither the order of arrival nor that of the input counts.
+        rows.sort(key=lambda r: (r[1], r[0].tobytes()))
         model, bias = Ftrl(1 << bits), np.array([1 << bits])
         # The order is shuffled alike in every run and retry.
         for order in (np.random.default_rng(e).permutation(len(rows)) for e in range(epochs)):
