@@ -8,10 +8,9 @@ shingles a text has, so a signature costs the same for long and short texts, and
 coordinate with the chance of their weighted Jaccard similarity.
 
 25 bands of 5 coordinates miss a pair at a similarity of 0.8 with a chance of 5e-5, and less above it. Links
-are exact: every text that shares a band is compared with the bucket's least member on whole shingle
-sets. Members that are not similar to it stay and meet the next one. Distances obey the triangle
-inequality, so a linked member stays with them only where it may still be similar to one of them. No pair
-within a group is listed beyond these comparisons, and no link between different texts is lost.
+are exact, on whole shingle sets, and no component is torn: two texts of a bucket go uncompared only
+when other links tie them already or the triangle inequality keeps them apart (see ``near_links``). A group of
+copies is settled by one comparison each; pairs within a group are never listed.
 
 Equal texts (same words) are collapsed first and follow their representative, the least doc_id.
 
@@ -26,7 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsieve.llm import bytewords as bw
@@ -177,41 +176,63 @@ def compare_rows(counted: bool):
     return run
 
 
-def near_links(buckets: DataFrame, sets: DataFrame, similarity: float, counted: bool) -> DataFrame | None:
-    """(a, b) for similar nodes that share a bucket, enough of them to give every component.
+def _judge(pairs: DataFrame, sets: DataFrame, counted: bool) -> DataFrame:
+    """(node, hub, sim) for pairs of nodes from their whole shingle sets."""
+    own = sets.select("node", "cells", "counts")
+    other = sets.select(F.col("node").alias("hub"), F.col("cells").alias("hub_cells"), F.col("counts").alias("hub_counts"))
+    sides = pairs.join(own, "node").join(other, "hub").select("node", "hub", "cells", "counts", "hub_cells", "hub_counts")
+    return durable(sides.mapInArrow(compare_rows(counted), "node long, hub long, sim double"), "similarities")
 
-    ``buckets`` (key, node) and ``sets`` are written tables. In each round the least unsettled node of a
-    bucket is its hub. A node of similarity 0.8 or more to the hub is linked and settled.
+
+def near_links(buckets: DataFrame, sets: DataFrame, similarity: float, counted: bool) -> tuple[DataFrame, DataFrame] | None:
+    """(links (a, b), classes (node, component)) for nodes that share a bucket; None without any link.
+
+    ``buckets`` (key, node) and ``sets`` are written tables. In the first round the most central node of each bucket, its
+    pivot, is compared with all others; that settles groups of near copies, however large. Components of the
+    links so far then tell what is open: pairs of one bucket in different components. In each further
+    round some nodes outside the bucket's largest component (8, 64, 512, ...) are compared with all that
+    remain, and leave. Two nodes aren't compared whose distances from the pivot keep them apart, by the triangle
+    inequality. A bucket is done when one component remains.
     """
-    far = 1 - similarity
-    state = buckets.withColumn("settled", F.lit(False))
-    links = None
+    reach = 1 - similarity + 1e-9
+    # A node that shares large buckets stands amid its copies; most of them are similar to it.
+    sized = durable(buckets.join(durable(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "sizes"), "key"), "sized")
+    central = sized.groupBy("node").agg((-F.sum("n")).alias("rank"))
+    ranked = sized.select("key", "node").join(durable(central, "central"), "node")
+    pivots = ranked.groupBy("key").agg(F.min(F.struct("rank", "node")).alias("p")).select("key", F.col("p.node").alias("hub"))
+    meets = durable(buckets.join(durable(pivots, "pivots"), "key").where("node <> hub"), "meets")
+    sims = _judge(meets.select("node", "hub").distinct(), sets, counted)
+    links = sims.where(F.col("sim") >= similarity).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    if sims.where(F.col("sim") < similarity).isEmpty():
+        return None if links.isEmpty() else (links, components(links))
+    state = meets.join(sims, ["node", "hub"]).select("key", "node", (1 - F.col("sim")).alias("d"))
+    classes, hubs_each = components(links), 8
     while True:
-        hubs = state.groupBy("key").agg(
-            F.min(F.when(~F.col("settled"), F.col("node"))).alias("hub"), F.count(F.lit(1)).alias("n")
-        )
-        hubs = durable(hubs.where("n > 1 AND hub IS NOT NULL").select("key", "hub"), "hubs")
-        if hubs.isEmpty():
-            return links
-        meets = durable(state.join(hubs, "key").where("node <> hub"), "meets")
-        pairs = durable(meets.select("node", "hub").distinct(), "pairs")
-        own = sets.select("node", "cells", "counts")
-        other = sets.select(F.col("node").alias("hub"), F.col("cells").alias("hub_cells"), F.col("counts").alias("hub_counts"))
-        sides = pairs.join(own, "node").join(other, "hub").select("node", "hub", "cells", "counts", "hub_cells", "hub_counts")
-        sims = durable(sides.mapInArrow(compare_rows(counted), "node long, hub long, sim double"), "similarities")
+        # What is open: buckets with several components, and in them what may still be similar.
+        named = state.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = durable(named, "named")
+        sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+        most = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("parts"))
+        most = durable(most.where("parts > 1").select("key", F.col("m.component").alias("largest")), "largest")
+        if most.isEmpty():
+            return (links, classes) if not links.isEmpty() else None
+        open_ = durable(named.join(most, "key").withColumn("outside", F.col("component") != F.col("largest")), "open")
+        span = open_.where("outside").groupBy("key").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+        near = F.col("outside") | F.col("d").between(F.col("low") - reach, F.col("high") + reach)
+        open_ = durable(open_.join(durable(span, "span"), "key").where(near).select("key", "node", "d", "component", "outside"), "open")
+        turn = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+        hubs = open_.where("outside").withColumn("turn", turn).where(F.col("turn") <= hubs_each)
+        hubs = durable(hubs.select("key", F.col("node").alias("hub"), F.col("component").alias("hub_component"), F.col("d").alias("hub_d")), "hubs")
+        pairs = open_.join(hubs, "key").where((F.col("component") != F.col("hub_component")) & (F.abs(F.col("d") - F.col("hub_d")) <= reach))
+        pairs = pairs.select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
+        sims = _judge(pairs, sets, counted)
         found = sims.where(F.col("sim") >= similarity).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        links = found if links is None else links.unionByName(found)
-        if sims.where(F.col("sim") < similarity).isEmpty():
-            return links
-        judged = durable(
-            meets.join(sims, ["node", "hub"]).select("key", "node", (1 - F.col("sim")).alias("d"), (F.col("settled") | (F.col("sim") >= similarity)).alias("settled")),
-            "judged",
-        )
-        # What is still open in a bucket, by its distance from the hub.
-        open_ = judged.where("NOT settled").groupBy("key").agg(F.min("d").alias("least"), F.max("d").alias("most"))
-        open_ = durable(open_, "open")
-        near = ~F.col("settled") | F.col("d").between(F.col("least") - far - 1e-9, F.col("most") + far + 1e-9)
-        state = durable(judged.join(open_, "key").where(near).select("key", "node", "settled"), "buckets")
+        gone = hubs.select("key", F.col("hub").alias("node"))
+        state = open_.join(gone, ["key", "node"], "left_anti").select("key", "node", "d")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            classes = components(found.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        hubs_each *= 8
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "presence") -> DataFrame:
@@ -241,15 +262,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         named = unnamed.mapInArrow(_null_nodes, "node long, text string").join(wanted, "node").dropDuplicates(["node"])
         sets = sets.unionByName(named.mapInArrow(set_rows, "node long, cells binary, counts binary"))
     sets = durable(sets, "sets").dropDuplicates(["node"])
-    links = near_links(buckets, sets, similarity, weights == "count")
+    linked = near_links(buckets, sets, similarity, weights == "count")
     found = member.select("doc_id", "node", "chosen")
     lone = signed.where(F.size("keys") == 0).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    if links is None:
+    if linked is None:
         return found.select("doc_id", F.col("chosen").alias("class_id"), F.lit(0).cast("long").alias("n_links")).unionByName(lone)
-    links = durable(links.distinct(), "near-links")
+    links = durable(linked[0].distinct(), "near-links")
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     counted = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = durable(components(links).join(counted, "node"), "classes").withColumnRenamed("node", "chosen")
+    classes = durable(linked[1].join(counted, "node"), "classes").withColumnRenamed("node", "chosen")
     return (
         found.join(classes, "chosen", "left")
         .select("doc_id", F.coalesce("component", "chosen").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -69,6 +69,26 @@ def test_large_group_and_chains(spark):
     assert len({want[i] for i in range(60, 72)}) == 1
 
 
+def test_components_that_only_meet_away_from_their_hubs(spark):
+    """Two groups whose least members aren't similar, tied by a pair of members that are."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(400)]
+
+    def edit(text, n, name):
+        out = list(text)
+        for k, at in enumerate(rng.sample(range(0, 400, 5), n)):
+            out[at] = f"{name}{k}"
+        return out
+
+    far = edit(base, 16, "q")  # too far from base, near to half-way texts
+    half = [w if k % 2 else v for k, (v, w) in enumerate(zip(base, far))]
+    texts = [base, far, edit(base, 5, "r"), edit(far, 5, "s"), half, *(edit(half, n % 9, f"t{n}") for n in range(60))]
+    texts = [" ".join(t) for t in texts]
+    for order in (range(len(texts)), reversed(range(len(texts)))):
+        rows = [texts[i] for i in order]
+        assert classes(nd.near_duplicates(c.frame(spark, rows))) == brute(list(enumerate(rows)))
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(5)
     cells = rng.integers(0, 2**32, 300).astype(np.uint64)
