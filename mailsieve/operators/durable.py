@@ -10,22 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
-def _own_dir(application_id: str) -> str:
-    return tempfile.mkdtemp(prefix="mailsieve-")
+def _own_dir(application_id: str) -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="mailsieve-")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where it is unset a local session (tests) gets a folder of its own; a cluster must name one,
-    because a machine-local folder is lost with its machine.
+    Where it is unset a local session (tests) gets a folder of its own that goes with the process; a cluster must
+    name one, because a machine-local folder is lost with its machine. Named folders are not cleaned up.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return _own_dir(spark.sparkContext.applicationId)
+    return _own_dir(spark.sparkContext.applicationId).name
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
