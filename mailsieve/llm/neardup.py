@@ -172,6 +172,7 @@ def compare_rows(counted: bool):
                 cells = [part.column(i).to_pylist() for i in range(2, 6)]
                 sim = [_similarity((a, m), (b, n), counted) for a, m, b, n in zip(*cells)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sim, pa.float64())], names=["node", "hub", "sim"])
+        bw.give_back()
 
     return run
 

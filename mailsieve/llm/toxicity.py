@@ -93,7 +93,7 @@ def learn_shard(bits: int, epochs: int):
     """One learner over the rows of a shard; gives its weights that aren't zero."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(np.array(c, np.int64), y) for b in batches for c, y in zip(b.column(1).to_numpy(zero_copy_only=False), b.column(0).to_pylist())]
+        rows = [(np.array(c, np.int32), y) for b in batches for c, y in zip(b.column(1).to_numpy(zero_copy_only=False), b.column(0).to_pylist())]
         if not rows:
             return
         # Neither the order of arrival nor that of the input counts.
@@ -107,6 +107,8 @@ def learn_shard(bits: int, epochs: int):
         w = model.weights(every)
         kept = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(w[kept])], names=["cell", "weight"])
+        del rows, model, w, every
+        bw.give_back()
 
     return run
 
