@@ -1,19 +1,22 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 A text is its words (runs of bytes that are not white space, ASCII letters lower-cased) and one end symbol.
-The tree's states are contexts of up to two preceding words, read backwards from the symbol: the root, words,
-and pairs of words whose second word is a state. The symbol at the start of a text is a word of its own kind.
+The tree's states are contexts of preceding words, read backwards from the symbol. The symbol at the start of a text
+is a word of its own kind, with nothing before it.
 
-A context is a candidate when it makes up at least ``share`` of the training tokens (``pair_share`` for
-the words of a pair), so there are at most 1 / share candidates of each length, however
-large the corpus. It is retained when its next-symbol distribution diverges from that of its
-parent: the gain of log-likelihood over its occurrences, each predicted from all others, must
+Every context of one or two words with at least ``LEAST`` occurrences in the training texts is a candidate, and so is every
+longer one whose suffix, a word shorter, was retained; the number is fixed, so the tree grows with the corpus. A
+context is retained when its next-symbol distribution diverges from that of its parent, the longest retained
+context that is a suffix of it: the gain of log-likelihood over its occurrences, each predicted from all others, must
 exceed ``gain`` nats and ``divergence`` nats per occurrence. A distribution is smoothed by ``mass``
 occurrences of the parent's distribution, the mass chosen from a few by the same gain. The root is
-the unigram distribution with half a count added to every known word and to one unknown symbol.
+the unigram distribution with half a count added to every known word and to one unknown symbol. Lengths are
+tried one after another until one retains nothing.
 
-Counts are gathered by ``chunks``: a chunk asks for its words, then for its words after candidate contexts.
-Words and successors are never collected; only candidate contexts reach the driver, at most 1 / share of each length.
+Counts are gathered by ``chunks``: a chunk asks for its words, then length by length for its words after candidate
+contexts. The range of a (context, word) adds up its count and its part of the context's gains; the range of the context adds
+up the parts, judges, and answers the chunks that hold the context. Words, contexts and states are never collected or
+broadcast; the driver learns how many states a length has.
 
 A score takes the longest retained context of each token. Defined cases: a null or empty text is its end symbol;
 a null doc_id is trained on; without training texts every token has the probability of the unknown
@@ -34,33 +37,54 @@ from mailsieve.llm import bytewords as bw
 from mailsieve.llm import chunks as ch
 from mailsieve.operators.durable import durable
 
-SHARE, PAIR_SHARE = 1e-4, 1e-3
+LEAST = 20
 GAIN, DIVERGENCE = 10.0, 0.002
 MASSES = (10.0, 100.0, 1000.0, 10000.0)
 #: Names of the symbols at the start and the end of a text, which no word has but by chance.
 START, END = np.uint64(0x5374617274000001), np.uint64(0x456E640000000003)
+#: Kinds of replies: words, and for each length the counts and the verdicts on contexts.
+WORDS = 1
+
+
+def kinds(depth: int) -> tuple[int, int]:
+    return 2 * depth, 2 * depth + 1
 
 
 @dataclass
-class Tree:
-    """Sizes of the training corpus, candidate words with their counts, and the retained states."""
+class Root:
+    """Sizes of the training corpus, and the least occurrences of a context and of each word of a longer one."""
 
     tokens: int
     distinct: int
-    words: np.ndarray
-    counts: np.ndarray
-    pairs_upto: int
-    mass: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    pair_count: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    pair_mass: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    least: float = LEAST
+    word_least: float = 0.0
 
     def root(self, count: np.ndarray) -> np.ndarray:
         return (count + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
 
 
+@dataclass
+class Tree(Root):
+    """The root and the written verdicts on contexts, one table for each length that has states."""
+
+    levels: list[DataFrame] = field(default_factory=list)
+
+    def states(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names, occurrences and masses of the states of a length. Collects them: for looking at small trees."""
+        found = [ch.unpack(r.reply) for r in self.levels[depth - 1].where("chunk IS NULL").collect()] if depth <= len(self.levels) else []
+        return tuple(np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+
+    @property
+    def mass(self) -> np.ndarray:
+        return self.states(1)[2]
+
+    @property
+    def pairs(self) -> np.ndarray:
+        return self.states(2)[0]
+
+
 class Tokens:
-    """Tokens of a chunk in order, each text closed by its end symbol, with their two preceding symbols."""
+    """Tokens of a chunk in order, each text closed by its end symbol, with their places in the text."""
 
     def __init__(self, chunk: ch.Chunk):
         data = bw.LOWER[chunk.data]
@@ -70,12 +94,13 @@ class Tokens:
         self.token = np.insert(words, first[1:], END)
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
         self.first = np.concatenate([[0], np.cumsum(self.n)])
-        self.before = np.concatenate([[START], self.token[:-1]]) if len(self.token) else self.token
-        self.before[self.first[:-1]] = START
-        self.before2 = np.concatenate([[START], self.before[:-1]]) if len(self.token) else self.token
-        self.before2[self.first[:-1]] = START
+        self.place = np.arange(len(self.token)) - self.first[self.doc]
         self.trained = ~chunk.flags[self.doc]
 
+    def back(self, at: np.ndarray, steps: int) -> np.ndarray:
+        """The symbols that many steps before the tokens ``at``, which lie at least ``steps - 1`` words into their texts."""
+        return np.where(self.place[at] == steps - 1, START, self.token[np.maximum(at - steps, 0)])
+
 
 def index_of(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Place of each value in a sorted table, -1 where it isn't there."""
@@ -85,22 +110,57 @@ def index_of(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
+def _before(values: np.ndarray) -> np.ndarray:
+    """The value of the token before, for tokens that aren't the first of their text."""
+    return np.concatenate([values[:1], values[:-1]])
+
+
 class Contexts:
-    """A chunk's tokens after candidate contexts: (successor key, pair) entries, sorted and distinct."""
-
-    def __init__(self, t: Tokens, tree: Tree):
-        word = index_of(tree.words, t.before)
-        self.at = np.flatnonzero(word >= 0)
-        self.word = word[self.at]
-        self.key = bw.mix(t.before[self.at] * bw.BASE + t.token[self.at])
-        # A pair needs both words among the most frequent ones; START may stand before the first word.
-        frequent = np.argsort(-tree.counts, kind="stable")[: tree.pairs_upto]
-        rank = np.zeros(len(tree.words), np.int64)
-        rank[frequent] = np.arange(1, len(frequent) + 1)
-        before2 = index_of(tree.words, t.before2[self.at])
-        inner = (t.before[self.at] != START) & (before2 >= 0) & (rank[self.word] > 0)
-        self.pair = np.where(inner, rank[before2], 0)
-        self.pair_id = np.where(self.pair > 0, self.pair * (len(frequent) + 1) + rank[self.word], 0)
+    """A chunk's tokens after candidate contexts of growing length; ``p`` is by the longest retained one so far."""
+
+    def __init__(self, t: Tokens, replies: dict, root: Root, depth: int):
+        """Takes the replies for the lengths up to ``depth``."""
+        self.t, self.root, self.depth = t, root, 0
+        self.known = replies[WORDS][np.searchsorted(np.unique(t.token), t.token)]
+        self.p = root.root(self.known)
+        # No more than this many occurrences has the context of each token. A start is as frequent as an end.
+        self.bound = _before(self.known)
+        self.bound[t.place == 0] = self.known[t.token == END][0]
+        self.word_bound = self.bound
+        self.at, self.context = np.arange(len(t.token)), None
+        self.keep = np.ones(len(t.token), bool)
+        for _ in range(depth):
+            self.extend()
+            self.take(replies)
+
+    def extend(self) -> None:
+        """Goes on to candidates one word longer: distinct (context, word) ``keys`` and distinct contexts ``names``."""
+        self.depth += 1
+        able = self.keep & (self.t.place[self.at] >= self.depth - 1) & (self.bound[self.at] >= self.root.least)
+        if self.depth > 1:
+            able &= self.word_bound[self.at] >= self.root.word_least
+        self.at = self.at[able]
+        back = self.t.back(self.at, self.depth)
+        self.context = back if self.depth == 1 else bw.mix(self.context[able] * bw.BASE + back)
+        self.keys, self.first, self.which = np.unique(bw.mix(self.context * bw.BASE + self.t.token[self.at]), return_index=True, return_inverse=True)
+        self.names, self.name = np.unique(self.context, return_inverse=True)
+
+    def take(self, replies: dict) -> None:
+        """Moves ``p`` to the retained contexts of this length."""
+        counts, verdicts = (replies.get(k, np.zeros(0, np.int64)) for k in kinds(self.depth))
+        count, verdict = counts[self.which], verdicts[self.name]
+        n, choice = verdict >> 3, verdict & 7
+        mass = np.array([0.0, *MASSES])[choice]
+        kept = choice > 0
+        own = self.p[self.at]
+        self.p[self.at] = np.where(kept, (count + mass * own) / np.maximum(n + mass, 1.0), own)
+        # The next longer context of the token after is this context and this token.
+        longer = self.bound.copy()
+        longer[self.at] = count
+        self.bound = np.minimum(self.bound, _before(longer))
+        self.word_bound = np.minimum(self.word_bound, _before(self.word_bound))
+        # All pairs that are frequent enough are candidates, longer contexts below retained ones.
+        self.keep = kept if self.depth > 1 else np.ones(len(self.at), bool)
 
 
 def token_asks(ranges: int):
@@ -112,193 +172,154 @@ def token_asks(ranges: int):
     return run
 
 
-def token_answer(least: float):
-    """Totals per word; the summary holds the number of known words and those at or above ``least``."""
-
-    def run(arrays: list[np.ndarray]) -> tuple[np.ndarray, bytes]:
-        keys, counts, _ = arrays
-        distinct, which = np.unique(keys, return_inverse=True)
-        total = np.bincount(which, counts, len(distinct)).astype(np.int64)
-        often = total >= max(1.0, least)
-        return total[which], ch.pack(np.array([np.count_nonzero(total)]), distinct[often], total[often])
-
-    return run
+def token_answer(arrays: list[np.ndarray]) -> tuple[np.ndarray, bytes]:
+    """Totals per word; the summary holds the numbers of known words and of tokens."""
+    keys, counts, _ = arrays
+    distinct, which = np.unique(keys, return_inverse=True)
+    total = np.bincount(which, counts, len(distinct)).astype(np.int64)
+    return total[which], ch.pack(np.array([np.count_nonzero(total), total.sum()]))
 
 
-def context_asks(tree: Tree, ranges: int):
-    """Entries (key, pair, trained count, count of the word after, context): pairs of a key lie beside it."""
+def context_asks(root: Root, depth: int, ranges: int):
+    """Entries (key, trained count, the parent's probability, context); and, in ranges behind the others, the contexts alone."""
 
     def run(chunk: ch.Chunk, replies: dict) -> Iterator[pa.RecordBatch]:
         t = Tokens(chunk)
-        c = Contexts(t, tree)
-        known = replies[1][np.searchsorted(np.unique(t.token), t.token)] if len(t.token) else np.zeros(0, np.int64)
-        key, pair, which, first = entries(c)
-        trained = np.bincount(which, np.concatenate([t.trained[c.at], t.trained[c.at][c.pair > 0]]), len(key)).astype(np.uint32)
-        words = np.concatenate([known[c.at], known[c.at][c.pair > 0]])[first]
-        context = np.concatenate([c.word, c.pair_id[c.pair > 0]])[first]
-        yield ch.ask_batch(chunk.number, ranges, key, pair.astype(np.uint32), trained, words, context.astype(np.int64))
+        c = Contexts(t, replies, root, depth - 1)
+        c.extend()
+        trained = np.bincount(c.which, t.trained[c.at], len(c.keys)).astype(np.uint32)
+        yield ch.ask_batch(chunk.number, ranges, c.keys, trained, c.p[c.at[c.first]], c.context[c.first])
+        names = ch.ask_batch(chunk.number, ranges, c.names)
+        behind = pa.array(names.column(0).to_numpy() + np.int32(ranges))
+        yield pa.RecordBatch.from_arrays([behind, *names.columns[1:]], names=names.schema.names)
 
     return run
 
 
-def entries(c: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, pair) sorted and distinct; for all tokens, then for those with a pair: which entry is theirs."""
-    inner = c.pair > 0
-    keys = np.concatenate([c.key, c.key[inner]])
-    pairs = np.concatenate([np.zeros(len(c.key), np.int64), c.pair[inner]])
-    order = np.lexsort([pairs, keys])
-    new = np.ones(len(order), bool)
-    new[1:] = (keys[order][1:] != keys[order][:-1]) | (pairs[order][1:] != pairs[order][:-1])
-    which = np.zeros(len(order), np.int64)
-    which[order] = np.cumsum(new) - 1
-    first = order[new]
-    return keys[first], pairs[first], which, first
-
-
-def context_answer(tree: Tree):
-    """Totals per entry; the summary has for each context its occurrences and gains within this range."""
-
-    def run(arrays: list[np.ndarray]) -> tuple[np.ndarray, bytes]:
-        keys, pairs, counts, words, contexts, _ = arrays
-        order = np.lexsort([pairs, keys])
-        new = np.ones(len(order), bool)
-        new[1:] = (keys[order][1:] != keys[order][:-1]) | (pairs[order][1:] != pairs[order][:-1])
-        which = np.zeros(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        total = np.bincount(which, counts, int(new.sum())).astype(np.int64)
-        first = order[new]
-        key, pair, word, context = keys[first], pairs[first], words[first], contexts[first]
-        root = tree.root(word)
-        # A pair's parent is its second word's state, smoothed by the middle mass; the key alone stands first.
-        own = np.maximum.accumulate(np.where(pair == 0, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
-        parent = np.where(pair == 0, root, 0.0)
-        if (inner := np.flatnonzero(pair > 0)).size:
-            n = tree.counts[context[own[inner]]]
-            parent[inner] = (total[own[inner]] + MASSES[1] * root[inner]) / (n + MASSES[1])
-        used = np.flatnonzero(total > 0)
-        name = context[used] * 2 + (pair[used] > 0)
-        names, at = np.unique(name, return_inverse=True)
-        c = total[used].astype(float)
-        occurrences = np.bincount(at, c, len(names))
-        gains = [np.bincount(at, c * np.log((c - 1 + m * parent[used]) / parent[used]), len(names)) for m in MASSES]
-        # bincount of nothing is an array of integers.
-        return total[which], ch.pack(names, *(v.astype(float) for v in (occurrences, *gains)))
-
-    return run
+def context_answer(arrays: list[np.ndarray]) -> tuple[np.ndarray, bytes | None]:
+    """Totals per entry; the summary has for each context its occurrences and gains within this range.
 
-
-def _summaries(replies: DataFrame, schema: str, unfold) -> DataFrame:
-    rows = replies.where("chunk IS NULL").select("reply")
-
-    def run(batches):
-        for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                yield from unfold(ch.unpack(packed))
-
-    return rows.mapInArrow(run, schema)
+    Contexts alone are handed on to their verdicts.
+    """
+    if len(arrays) == 2:
+        return arrays[0], None
+    keys, counts, parents, contexts, _ = arrays
+    distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    total = np.bincount(which, counts, len(distinct)).astype(np.int64)
+    used = np.flatnonzero(total > 0)
+    parent = parents[first[used]]
+    names, at = np.unique(contexts[first[used]], return_inverse=True)
+    c = total[used].astype(float)
+    gains = [np.bincount(at, c * np.log((c - 1 + m * parent) / parent), len(names)) for m in MASSES]
+    # bincount of nothing is an array of integers.
+    return total[which], ch.pack(names, *(v.astype(float) for v in (np.bincount(at, c, len(names)), *gains)))
 
 
 def _retained(names_n: np.ndarray, gains: np.ndarray, gain: float, divergence: float) -> tuple[np.ndarray, np.ndarray]:
-    """(is the state kept, its mass) from occurrences and sums of gains, one column per mass."""
+    """(is the state kept, which mass) from occurrences and sums of gains, one column per mass."""
     masses = np.array(MASSES)
     total = gains - names_n[:, None] * np.log(np.maximum(names_n[:, None] - 1 + masses, 1e-12))
     best = total.argmax(axis=1) if len(total) else np.zeros(0, np.int64)
     won = total[np.arange(len(total)), best] if len(total) else np.zeros(0)
-    return (won > gain) & (won > divergence * names_n), masses[best]
+    return (won > gain) & (won > divergence * names_n), best
 
 
-def context_names(schema_gains: int) -> str:
-    return "name long, n double, " + ", ".join(f"g{i} double" for i in range(schema_gains))
+def verdicts(after: DataFrame, ranges: int, depth: int, least: float, gain: float, divergence: float) -> DataFrame:
+    """A written table of replies: for each context a chunk asked for 8 * occurrences + 1 + which mass, 0 where it isn't retained.
 
+    The summary of a range has names, occurrences and masses of its states.
+    """
 
-def grow_tree(table: DataFrame, ranges: int, share: float, pair_share: float, gain: float, divergence: float) -> tuple[Tree, list[DataFrame]]:
-    """The tree of the texts without a flag, and the answers that every chunk needs for its scores."""
-    def count(chunk: ch.Chunk) -> Iterator[pa.RecordBatch]:
-        t = Tokens(chunk)
-        yield pa.RecordBatch.from_pydict({"n": [int(t.trained.sum())], "docs": [int((~chunk.flags).sum())]})
-
-    tokens, docs = (x or 0 for x in ch.each_chunk(table, count, "n long, docs long").agg(F.sum("n"), F.sum("docs")).first())
-    words = ch.merge(ch.each_chunk(table, token_asks(ranges), ch.ASKS), 1, token_answer(share * tokens))
-
-    def known(parts):
-        columns = [int(parts[0][0])], [parts[1].view(np.int64).tolist()], [parts[2].tolist()]
-        kinds = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names=["v", "words", "counts"])
-
-    # At most 1 / share words in all, as each makes up that share of the tokens.
-    found = _summaries(words, "v long, words array<long>, counts array<long>", known).toArrow().to_pylist()
-    names = np.array([w for r in found for w in r["words"]] + [int(START)], np.int64).view(np.uint64)
-    counts = np.array([c for r in found for c in r["counts"]] + [docs], np.int64)
-    keep = names != END
-    names, counts = names[keep], counts[keep]
-    order = np.argsort(names)
-    tree = Tree(int(tokens), sum(r["v"] for r in found), names[order], counts[order], int(np.sum(counts >= max(1, pair_share * tokens))))
-    spark = table.sparkSession
-    seen = spark.sparkContext.broadcast(tree)
-    asks = ch.with_replies(table, [words], lambda c, r: context_asks(seen.value, ranges)(c, r), ch.ASKS)
-    after = ch.merge(asks, 2, lambda a: context_answer(seen.value)(a))
-
-    def gains(parts):
-        yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names=["name", "n", *(f"g{i}" for i in range(len(MASSES)))])
-
-    sums = _summaries(after, context_names(len(MASSES)), gains).groupBy("name").agg(*(F.sum(c).alias(c) for c in ["n", *(f"g{i}" for i in range(len(MASSES)))]))
-    # Words are candidates already; pairs at or above the share are at most 1 / share.
-    states = sums.where((F.col("name") % 2 == 0) | (F.col("n") >= max(1.0, share * tokens))).orderBy("name").toPandas()
-    kept, mass = _retained(states["n"].to_numpy(), states[[f"g{i}" for i in range(len(MASSES))]].to_numpy(), gain, divergence)
-    name, n = states["name"].to_numpy(), states["n"].to_numpy()
-    is_pair = name % 2 == 1
-    tree.mass = np.zeros(len(tree.words))
-    single = kept & ~is_pair
-    tree.mass[name[single] // 2] = mass[single]
-    both = kept & is_pair
-    tree.pairs, tree.pair_count, tree.pair_mass = name[both] // 2, n[both], mass[both]
-    # The suffix of a retained pair is a state, too.
-    frequent = np.argsort(-tree.counts, kind="stable")[: tree.pairs_upto]
-    inner = frequent[tree.pairs % (len(frequent) + 1) - 1] if len(tree.pairs) else np.zeros(0, np.int64)
-    tree.mass[inner[tree.mass[inner] == 0]] = MASSES[1]
-    return tree, [words, after]
+    def deal(batches):
+        for batch in batches:
+            for from_range, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                # Numbers below zero tell parts of sums from the chunks' asks.
+                yield ch.ask_batch(-1 - from_range, ranges, *ch.unpack(packed))
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        pieces = sorted(zip(rows.column("chunk").to_pylist(), rows.column("ask").to_pylist()))
+        sums = [ch.unpack(a) for c, a in pieces if c < 0]
+        names, n, *gains = (np.concatenate(v) for v in zip(*sums)) if sums else [np.zeros(0, np.uint64), *[np.zeros(0)] * (1 + len(MASSES))]
+        distinct, at = np.unique(names, return_inverse=True)
+        n, *gains = (np.bincount(at, v, len(distinct)).astype(float) for v in (n, *gains))
+        kept, best = _retained(n, np.stack(gains, 1), gain, divergence)
+        kept &= n >= least
+        names, choice = distinct[kept], best[kept]
+        code = np.append(n[kept].astype(np.int64) * 8 + 1 + choice, 0)
+        chunks = [c for c, _ in pieces if c >= 0]
+        packed = [ch.pack(code[index_of(names, ch.unpack(a)[0])]) for c, a in pieces if c >= 0]
+        packed.append(ch.pack(names, n[kept], np.array(MASSES)[choice]))
+        size = len(packed)
+        return pa.table({
+            "chunk": pa.array([*chunks, None], pa.int64()), "range": pa.array([key[0].as_py()] * size, pa.int32()),
+            "kind": pa.array([kinds(depth)[1]] * size, pa.int32()), "reply": pa.array(packed, pa.binary()),
+        })
+
+    sums = after.where("chunk IS NULL").select("range", "reply").mapInArrow(deal, ch.ASKS)
+    asks = after.where(F.col("range") >= ranges).select((F.col("range") - F.lit(ranges)).alias("range"), "chunk", F.col("reply").alias("ask"))
+    return durable(sums.unionByName(asks).groupBy("range").applyInArrow(run, ch.REPLIES), "verdicts")
+
+
+def _sums(replies: DataFrame) -> list[int]:
+    """Over the ranges' summaries, whose first array is taken: its length and the first two numbers, added up."""
+
+    def run(batches):
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                first = ch.unpack(packed)[0]
+                one, two = [*first[:2].view(np.int64).tolist(), 0, 0][:2]
+                yield pa.RecordBatch.from_pydict({"size": [len(first)], "one": [one], "two": [two]})
+
+    found = replies.where("chunk IS NULL").select("reply").mapInArrow(run, "size long, one long, two long")
+    return [sum(column) for column in zip(*found.collect())] or [0, 0, 0]
+
+
+def grow_tree(
+    table: DataFrame, ranges: int, share: float = 0.0, pair_share: float = 0.0, gain: float = GAIN, divergence: float = DIVERGENCE
+) -> tuple[Tree, list[DataFrame]]:
+    """The tree of the texts without a flag, and the answers that every chunk needs for its scores.
+
+    A ``share`` of the tokens raises the least occurrences of a context, a ``pair_share`` those of the words of longer ones.
+    """
+    words = ch.merge(ch.each_chunk(table, token_asks(ranges), ch.ASKS), WORDS, token_answer)
+    _, distinct, tokens = _sums(words)
+    root = Root(tokens, distinct, max(LEAST, share * tokens), pair_share * tokens)
+    replies, levels, upto, depth = [words], [], 0, 0
+    # Both short lengths are tried whatever the first retains.
+    while tokens and (depth < 2 or upto == depth):
+        depth += 1
+        asks = ch.with_replies(table, replies, context_asks(root, depth, ranges), ch.ASKS)
+        after = ch.merge(asks, kinds(depth)[0], context_answer)
+        levels.append(verdicts(after, ranges, depth, root.least, gain, divergence))
+        replies += [after.where(F.col("range") < ranges), levels[-1]]
+        upto = depth if _sums(levels[-1])[0] else upto
+    return Tree(root.tokens, root.distinct, root.least, root.word_least, levels[:upto]), replies[: 1 + 2 * upto]
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_chunk(tree: Tree):
+def score_chunk(root: Root, depth: int):
     def run(chunk: ch.Chunk, replies: dict) -> Iterator[pa.RecordBatch]:
         t = Tokens(chunk)
-        c = Contexts(t, tree)
-        known = replies[1][np.searchsorted(np.unique(t.token), t.token)]
-        base = tree.root(known)
-        best = base.copy()
-        if len(c.at):
-            _, _, which, _ = entries(c)
-            count = replies[2][which]
-            single, inner = count[: len(c.at)], np.flatnonzero(c.pair > 0)
-            mass = tree.mass[c.word]
-            state = np.where(mass > 0, (single + mass * base[c.at]) / (tree.counts[c.word] + mass), base[c.at])
-            place = index_of(tree.pairs, c.pair_id[inner])
-            inner_at = inner[place >= 0]
-            own = count[len(c.at) :][place >= 0]
-            place = place[place >= 0]
-            deep = (own + tree.pair_mass[place] * state[inner_at]) / (tree.pair_count[place] + tree.pair_mass[place])
-            state[inner_at] = deep
-            best[c.at] = state
+        c = Contexts(t, replies, root, depth)
         total = lambda v: np.bincount(t.doc, v, len(t.n))
         n = len(t.n)
         yield pa.RecordBatch.from_pydict({
-            "doc_id": pa.array(chunk.doc_ids, pa.int64()), "held_out": chunk.flags, "n_tokens": t.n.astype(np.int64), "n_known": total(known > 0).astype(np.int64),
-            "train_tokens": np.full(n, tree.tokens), "base_score": total(np.log10(base)), "score": total(np.log10(best)),
+            "doc_id": pa.array(chunk.doc_ids, pa.int64()), "held_out": chunk.flags, "n_tokens": t.n.astype(np.int64), "n_known": total(c.known > 0).astype(np.int64),
+            "train_tokens": np.full(n, root.tokens), "base_score": total(np.log10(root.root(c.known))), "score": total(np.log10(c.p)),
         })
 
     return run
 
 
 def score_texts(
-    docs: DataFrame, held_out: Column, share: float = SHARE, pair_share: float = PAIR_SHARE, gain: float = GAIN, divergence: float = DIVERGENCE
+    docs: DataFrame, held_out: Column, share: float = 0.0, pair_share: float = 0.0, gain: float = GAIN, divergence: float = DIVERGENCE
 ) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text) from a tree of the rows that aren't held out."""
     spark = docs.sparkSession
     table = ch.write_chunks(docs, held_out, 2 * ch.CHUNK_BYTES)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tree, replies = grow_tree(table, ranges, share, pair_share, gain, divergence)
-    model = spark.sparkContext.broadcast(tree)
-    return durable(ch.with_replies(table, replies, lambda c, r: score_chunk(model.value)(c, r), SCORES), "scores")
+    root = Root(tree.tokens, tree.distinct, tree.least, tree.word_least)
+    return durable(ch.with_replies(table, replies, score_chunk(root, len(tree.levels)), SCORES), "scores")

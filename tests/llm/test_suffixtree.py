@@ -124,3 +124,77 @@ def test_edges(spark):
     assert st.score_texts(c.no_docs(spark), F.lit(False)).count() == 0
     alone = st.score_texts(c.edge_docs(spark), F.lit(True)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.score == 0 == r.base_score for r in alone)
+
+
+def rebuilt(train, texts):
+    """Log scores by the definition, and the number of states of each length."""
+    tokens = [["<start>", *c.spaced(x), None] for x in train]
+    count = Counter(w for x in tokens for w in x[1:])
+    n, v = sum(count.values()), len(count)
+    root = lambda w: (count[w] + 0.5) / (n + 0.5 * (v + 1))
+    states, sizes = {}, []
+
+    def p(words, w, upto):
+        value = root(w)
+        for d in range(1, min(upto, len(words)) + 1):
+            if words[-d:] in states:
+                after, total, mass = states[words[-d:]]
+                value = (after[w] + mass * value) / (total + mass)
+        return value
+
+    for depth in range(1, 99):
+        after = {}
+        for x in tokens:
+            for i in range(depth, len(x)):
+                after.setdefault(tuple(x[i - depth : i]), Counter())[x[i]] += 1
+        found = {}
+        for words, following in after.items():
+            total = sum(following.values())
+            if total < 20 or (depth > 2 and words[1:] not in states):
+                continue
+            gain = lambda m: sum(k * math.log((k - 1 + m * p(words, w, depth - 1)) / ((total - 1 + m) * p(words, w, depth - 1))) for w, k in following.items())  # noqa: B023, E731
+            best = max(st.MASSES, key=gain)
+            if gain(best) > max(st.GAIN, st.DIVERGENCE * total):
+                found[words] = following, total, best
+        states |= found
+        sizes.append(len(found))
+        if depth > 1 and not found:
+            break
+    score = lambda x: sum(math.log10(p(tuple(x[:i]), x[i], 99)) for i in range(1, len(x)))
+    return [score(["<start>", *c.spaced(x), None]) for x in texts], sizes
+
+
+def test_scores_equal_the_definition_at_every_length(spark):
+    """A context of three words tells what those of two can't; a group of copies ends by itself."""
+    rng = random.Random(3)
+    filler = [f"w{k}" for k in range(30)]
+    texts = [" ".join(rng.choices(filler, k=20)) for _ in range(300)]
+    for k in range(80):
+        texts += [f"{rng.choice(filler)} k{i} u v y{i} {rng.choice(filler)}" for i in (1, 2)]
+        texts.append(f"{rng.choice(filler)} t v z")
+    texts += ["all of these words stand here in each copy of one text"] * 40
+    held = ["w1 k1 u v y1 w2", "w1 k1 u v y2 w2", "all of these words stand there", ""]
+    rows = [(i, t, False) for i, t in enumerate(texts)] + [(1000 + i, t, True) for i, t in enumerate(held)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, f boolean").repartition(5)
+    got = {r.doc_id: r.score for r in st.score_texts(docs, F.col("f")).collect()}
+    want, sizes = rebuilt(texts, [t for _, t, _ in rows])
+    assert len(sizes) > 3 and sizes[2] > 0
+    for (i, _, _), s in zip(rows, want):
+        assert got[i] == pytest.approx(s, rel=1e-9, abs=1e-9)
+    assert got[1000] - got[1001] > 0.5
+
+
+def test_rare_contexts_stay_candidates_in_a_large_corpus(spark):
+    """A word in less than 1e-4 of the tokens, and a pair of words below 1e-3, tell what follows them."""
+    rng = random.Random(4)
+    filler = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choices(filler, k=500)) for _ in range(800)]
+    texts += ["rare next", "one pair yes", "two pair no"] * 30
+    held = ["rare next", "one pair yes", "one pair no"]
+    rows = [(i, t, False) for i, t in enumerate(texts)] + [(1000 + i, t, True) for i, t in enumerate(held)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, f boolean")
+    got = {r.doc_id: r for r in st.score_texts(docs, F.col("f")).collect()}
+    assert 30 / got[0].train_tokens < 1e-4
+    # The start of the text, "next" and the end are all but certain after "rare".
+    assert got[1000].score - got[1000].base_score > 6
+    assert got[1001].score - got[1002].score > 0.3
