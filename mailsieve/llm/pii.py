@@ -47,6 +47,8 @@ LOOSE = {
     "card": re.compile(r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){12,18}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])(?:00[0-9]{1,3}[\x20.-])?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
 }
+#: Every spelled-out address holds one of them.
+AT_SIGNS = ("(at)", "[at]", "{at}", " at ")
 
 # Gazetteers and cue words in the four languages of the texts.
 ENDINGS = frozenset("com org net edu gov info biz io de fr es uk eu it nl ch at be us ca mx ar".split())
@@ -120,7 +122,7 @@ def loose_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> Iterator[t
     digits = DIGIT.search(text) is not None
     for kind in KINDS:
         if kind == "email":
-            if "at" not in text or not ("(at" in text or "[at" in text or "{at" in text or " dot " in text):
+            if not any(sign in text for sign in AT_SIGNS):
                 continue
         elif not digits or (kind == "ip" and ":" not in text):
             continue

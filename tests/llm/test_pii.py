@@ -63,6 +63,22 @@ def test_long_runs_take_linear_time(text):
     assert time.time() - start < 10
 
 
+@pytest.mark.parametrize("at", ["(at)", "[at]", "{at}", " at ", " (at) ", " [at] ", " {at} "])
+@pytest.mark.parametrize("dot", ["(dot)", "[dot]", "{dot}", " dot ", ".", " (dot) ", " [dot] ", " {dot} "])
+def test_spelled_addresses_are_candidates_when_alone(at, dot):
+    text = f"write to john{at}example{dot}com"
+    assert list(pii.loose_spans(text, pii.base_spans(text))) == [("email", 9, len(text))]
+
+
+def test_loose_addresses_of_random_texts():
+    rng = random.Random(5)
+    bits = ["john", "example", "com", "at", "dot", " at ", " dot ", "(at)", "[at]", "{at}", "(at", "(dot)", "[dot]", "{dot}", ".", " ", "-", "é", "\n"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(16)))
+        want = [("email", *m.span()) for m in pii.LOOSE["email"].finditer(text)]
+        assert list(pii.loose_spans(text, pii.base_spans(text))) == want, text
+
+
 def test_query_equals_the_patterns(spark, sf):
     texts = {r.doc_id: r.text for r in c.documents(spark, sf).collect()}
     rows = queries.op5_weak_supervision(spark, sf).collect()
