@@ -4,7 +4,11 @@ Writing: one record per row, each in a gzip member of its own that states its pa
 field), so a reader can step over it. Reading: the driver lists the files and plans partitions of bounded
 size; filters on record type and on the header columns are pushed into the reader, which
 unpacks only the header of a record, tests it, and skips the packed payload of rejected records, or of
-all records when no column needs the payload.
+all records when no column needs the payload. Archives of other writers are read as well: from the first
+member that doesn't state its size a file is unpacked to its end, and .warc files are read as they are. Absent headers
+come back null; of an HTTP message the payload is what follows its header, and its digest isn't compared.
+
+Writing adds to a folder: other archives in it stay, unless the save mode is overwrite.
 
 Defined cases: a null payload is empty; null fields have no header and come back null; a null page id is a
 response nobody refers to unless no other page shares its payload; repeated rows are repeated records; rows
@@ -95,15 +99,15 @@ class Written(WriterCommitMessage):
 
 class WarcWriter(DataSourceArrowWriter):
     """Each task writes a file under a fresh name; a task that fails or repeats leaves its file unnamed
-    by the commit, and the commit removes what it doesn't know."""
+    by the commit, and the commit removes what it doesn't know among the files of its own job, or of all with ``overwrite``."""
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, overwrite: bool = False):
+        self.folder, self.overwrite, self.job = folder, overwrite, uuid.uuid4().hex
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         store, root = fs.FileSystem.from_uri(self.folder)
         store.create_dir(root, recursive=True)
-        out, path = None, f"{root}/{uuid.uuid4().hex}.warc.gz"
+        out, path = None, f"{root}/{self.job}-{uuid.uuid4().hex}.warc.gz"
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 for row in batch.slice(at, 64).to_pylist():
@@ -118,7 +122,8 @@ class WarcWriter(DataSourceArrowWriter):
         store.create_dir(root, recursive=True)
         known = {p.rsplit("/", 1)[-1] for m in messages if m for p in m.paths}
         for info in store.get_file_info(fs.FileSelector(root)):
-            if info.base_name.endswith(".warc.gz") and info.base_name not in known:
+            mine = self.overwrite or info.base_name.startswith(f"{self.job}-")
+            if mine and info.base_name.endswith(".warc.gz") and info.base_name not in known:
                 store.delete_file(info.path)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -128,21 +133,47 @@ class WarcWriter(DataSourceArrowWriter):
                 store.delete_file(path)
 
 
+def headers(raw: bytes) -> dict[str, str]:
+    """Fields of a record's header by lower-case name."""
+    lines = raw.decode(errors="replace").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError(f"no WARC record begins with {lines[0][:40]!r}")
+    out, name = {}, ""
+    for line in lines[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        else:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            # Blanks belong to a written address, but for the one behind the colon.
+            out[name] = value.removeprefix(" ") if name == "warc-target-uri" else value.strip(" \t")
+    return out
+
+
+def is_http(head: dict[str, str]) -> bool:
+    return head.get("content-type", "").lower().startswith("application/http")
+
+
+def payload_of(head: dict[str, str], block: bytes) -> bytes:
+    return block.partition(b"\r\n\r\n")[2] if is_http(head) else block
+
+
 class Member:
-    """A record's header, unpacked; the rest of it only on demand."""
+    """A record's header, unpacked; the rest of it only on demand. ``sized`` tells whether the member states its size."""
 
     def __init__(self, file, start: int):
         self.file, self.start = file, start
         fixed = file.read(12)
-        self.end = len(fixed) < 12
+        self.end = not fixed
         if self.end:
             return
-        if fixed[:3] != b"\x1f\x8b\x08" or fixed[3] != 4:
-            raise ValueError(f"no gzip member with an extra field at byte {start}")
-        extra = file.read(struct.unpack("<H", fixed[10:])[0])
-        tag, _, self.size, self.plain = struct.unpack("<2sHII", extra[:12])
-        if tag != b"sl":
-            raise ValueError(f"gzip member at byte {start} doesn't state its size")
+        if fixed[:3] != b"\x1f\x8b\x08":
+            raise ValueError(f"no gzip member at byte {start}")
+        extra = file.read(struct.unpack("<H", fixed[10:])[0]) if fixed[3] == 4 and len(fixed) == 12 else b""
+        self.sized = len(extra) >= 12 and extra[:2] == b"sl"
+        if not self.sized:
+            return
+        _, _, self.size, self.plain = struct.unpack("<2sHII", extra[:12])
         self.unpacker, self.got = zlib.decompressobj(-15), b""
         self.left = self.size - 12 - len(extra) - 8
         while (cut := self.got.find(b"\r\n\r\n")) < 0 and self.left:
@@ -151,27 +182,120 @@ class Member:
             self.got += self.unpacker.decompress(part, 4096)
             while self.got.find(b"\r\n\r\n") < 0 and self.unpacker.unconsumed_tail:
                 self.got += self.unpacker.decompress(self.unpacker.unconsumed_tail, 4096)
-        self.head = dict(line.split(": ", 1) for line in self.got[:cut].decode().split("\r\n")[1:])
+        self.head = headers(self.got[:cut])
         self.body_at = cut + 4
 
     def payload(self) -> bytes:
         parts = [self.got, self.unpacker.decompress(self.unpacker.unconsumed_tail + self.file.read(self.left))]
-        return b"".join(parts)[self.body_at : self.body_at + int(self.head["Content-Length"])]
+        return payload_of(self.head, b"".join(parts)[self.body_at : self.body_at + int(self.head["content-length"])])
 
     def skip(self) -> int:
         """Place of the next record."""
         return self.start + self.size
 
 
+class Unpacked:
+    """The bytes of a file from ``start`` on, out of gzip members one after another or as they are."""
+
+    def __init__(self, file, start: int, packed: bool):
+        file.seek(start)
+        self.file, self.packed, self.unpacker, self.got = file, packed, None, bytearray()
+
+    def fill(self) -> bool:
+        """Gets more bytes; False at the end of the file."""
+        rest = self.unpacker.unused_data or self.unpacker.unconsumed_tail if self.unpacker else b""
+        part = rest or self.file.read(1 << 16)
+        if not self.packed:
+            self.got += part
+            return bool(part)
+        if not part and (not self.unpacker or self.unpacker.eof):
+            return False
+        if not self.unpacker or self.unpacker.eof:
+            self.unpacker = zlib.decompressobj(31)
+        more = self.unpacker.decompress(part, 1 << 18)
+        if not part and not more and not self.unpacker.eof:
+            raise ValueError("a gzip member ends before its time")
+        self.got += more
+        return True
+
+    def next_header(self) -> bytes | None:
+        """The next record's header; line ends before it belong to the record before."""
+        while True:
+            kept = self.got.lstrip(b"\r\n")
+            if kept:
+                self.got = kept
+                break
+            self.got.clear()
+            if not self.fill():
+                return None
+        seen = 0
+        while (cut := self.got.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(self.got)
+            if not self.fill():
+                raise ValueError("a record's header ends before its time")
+        raw = bytes(self.got[:cut])
+        del self.got[: cut + 4]
+        return raw
+
+    def block(self, length: int, wanted: bool) -> bytes:
+        """The next ``length`` bytes, or nothing where they are only passed over."""
+        parts = []
+        while length:
+            if not self.got and not self.fill():
+                raise ValueError("a record ends before its time")
+            part = bytes(self.got[:length])
+            del self.got[: len(part)]
+            length -= len(part)
+            if wanted:
+                parts.append(part)
+        return b"".join(parts)
+
+
+class Record:
+    """A record among unpacked bytes; they are left behind it once ``payload`` or ``pass_over`` was called."""
+
+    def __init__(self, stream: Unpacked, head: dict[str, str], start: int):
+        self.stream, self.head, self.start, self.left = stream, head, start, int(head["content-length"])
+
+    def payload(self) -> bytes:
+        length, self.left = self.left, 0
+        return payload_of(self.head, self.stream.block(length, True))
+
+    def pass_over(self) -> None:
+        self.stream.block(self.left, False)
+
+
+def records(file, packed: bool) -> Iterator[Member | Record]:
+    """The records of a file in order. Those of a member without a size are known by the place where such members begin."""
+    at = 0
+    while packed:
+        member = Member(file, at)
+        if member.end:
+            return
+        if not member.sized:
+            break
+        yield member
+        at = member.skip()
+        file.seek(at)
+    stream = Unpacked(file, at, packed)
+    while (raw := stream.next_header()) is not None:
+        record = Record(stream, headers(raw), at)
+        yield record
+        record.pass_over()
+
+
 def header_row(head: dict[str, str]) -> dict:
     number = lambda name: int(head[name]) if name in head else None
+    uri, digest = head.get("warc-target-uri"), head.get("warc-payload-digest")
+    # Only this module's records, which state their payload's length, write line ends in percent form.
+    own = "x-payload-length" in head
     return {
-        "page_id": number("X-Page-ID"),
-        "record_type": head["WARC-Type"],
-        "target_uri": unclean(head["WARC-Target-URI"]) if "WARC-Target-URI" in head else None,
-        "payload_digest": head["WARC-Payload-Digest"].removeprefix("sha1:"),
-        "payload_bytes": number("X-Payload-Length"),
-        "refers_to": number("X-Refers-To-Page"),
+        "page_id": number("x-page-id"),
+        "record_type": head.get("warc-type"),
+        "target_uri": unclean(uri) if uri is not None and own else uri,
+        "payload_digest": digest.removeprefix("sha1:") if digest is not None else None,
+        "payload_bytes": number("x-payload-length"),
+        "refers_to": number("x-refers-to-page"),
     }
 
 
@@ -203,7 +327,7 @@ class WarcReader(DataSourceReader):
         store, root = fs.FileSystem.from_uri(self.folder)
         found = store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
         plans, held = [[]], 0
-        for info in sorted((i for i in found if i.base_name.endswith(".warc.gz")), key=lambda i: i.path):
+        for info in sorted((i for i in found if i.base_name.endswith((".warc.gz", ".warc"))), key=lambda i: i.path):
             if plans[-1] and held + info.size > self.partition_bytes:
                 plans.append([])
                 held = 0
@@ -219,18 +343,16 @@ class WarcReader(DataSourceReader):
         schema = pa.schema([(c, kinds.get(c, pa.int64())) for c in self.columns])
         for path in partition.paths:
             with store.open_input_file(path) as file:
-                at = 0
-                while not (member := Member(file, at)).end:
-                    row = header_row(member.head)
+                for record in records(file, path.endswith(".gz")):
+                    row = header_row(record.head)
                     if all((row[c] is not None) if v is None else row[c] in v for c, v in self.tests):
                         if wanted:
-                            row["payload"] = member.payload() if row["record_type"] != "revisit" else None
-                            if row["payload"] is not None and base32_digest(row["payload"]) != row["payload_digest"]:
-                                raise ValueError(f"{path}: the record at byte {at} doesn't match its digest")
+                            row["payload"] = record.payload() if row["record_type"] != "revisit" else None
+                            told = record.head.get("warc-payload-digest", "")
+                            if row["payload"] is not None and told.startswith("sha1:") and not is_http(record.head) and base32_digest(row["payload"]) != row["payload_digest"]:
+                                raise ValueError(f"{path}: the record at byte {record.start} doesn't match its digest")
                             held += len(row["payload"] or b"")
                         rows.append({c: row[c] for c in self.columns})
-                    at = member.skip()
-                    file.seek(at)
                     if len(rows) >= 4096 or held > 4 << 20:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, held = [], 0
@@ -256,7 +378,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], self._columns(), int(self.options.get("partitionBytes", PARTITION_BYTES)))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:

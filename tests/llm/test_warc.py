@@ -80,6 +80,55 @@ def test_empty_table(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_a_second_write_keeps_the_first_and_other_archives(spark, folder):
+    other = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    with gzip.open(f"{folder}/other.warc.gz", "wb") as f:
+        f.write(other)
+    more = spark.createDataFrame([(70, "m", "more")], "page_id long, url string, html string")
+    warc.write_warc(more, folder)
+    rows = warc.read_warc(spark, folder).collect()
+    assert len(rows) == len(PAGES) + 2
+    assert {r.page_id for r in rows} == {p[0] for p in PAGES} | {70}
+    assert [bytes(r.payload) for r in rows if r.record_type == "warcinfo"] == [b"hi"]
+
+
+def test_cut_archives_are_noticed(spark, tmp_path):
+    whole = gzip.compress(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n")
+    (tmp_path / "x.warc.gz").write_bytes(whole[:-12])
+    with pytest.raises(Exception, match="before its time"):
+        warc.read_warc(spark, str(tmp_path)).collect()
+
+
+def test_blanks_of_an_address_come_back(spark, tmp_path):
+    pages = spark.createDataFrame([(1, " http://a/ x\t ", "h")], "page_id long, url string, html string")
+    warc.write_warc(pages, str(tmp_path / "w"))
+    assert warc.read_warc(spark, str(tmp_path / "w")).first().target_uri == " http://a/ x\t "
+
+
+@pytest.mark.parametrize("form", ["member a record", "one member", "plain"])
+def test_archives_of_other_writers(spark, tmp_path, form):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + b"body\r\n\r\n" * 40_000
+    parts = [
+        (b"WARC-Type: warcinfo", b"", b"software: x\r\n"),
+        (b"warc-type:request", b"WARC-Target-URI: http://a/?q=%25\r\nContent-Type: application/http; msgtype=request\r\n", b"GET / HTTP/1.1\r\n\r\n"),
+        (b"WARC-Type: response", b"WARC-Payload-Digest: sha1:AAAA\r\nContent-Type: application/http;\r\n msgtype=response\r\n", http),
+        (b"WARC-Type: metadata", b"", b""),
+    ]
+    packed = [b"WARC/1.0\r\n" + t + b"\r\n" + h + b"Content-Length: %d\r\n\r\n" % len(x) + x + b"\r\n\r\n" for t, h, x in parts]
+    data = b"".join(packed)
+    if form != "plain":
+        data = b"".join(map(gzip.compress, packed)) if form == "member a record" else gzip.compress(data)
+    (tmp_path / ("x.warc" if form == "plain" else "x.warc.gz")).write_bytes(data)
+    rows = {r.record_type: r for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert list(rows) == ["warcinfo", "request", "response", "metadata"]
+    assert all((r.page_id, r.payload_bytes, r.refers_to) == (None, None, None) for r in rows.values())
+    assert rows["request"].target_uri == "http://a/?q=%25" and rows["response"].target_uri is None
+    assert [rows[k].payload_digest for k in rows] == [None, None, "AAAA", None]
+    assert bytes(rows["warcinfo"].payload) == b"software: x\r\n" and bytes(rows["metadata"].payload) == b""
+    assert bytes(rows["response"].payload) == b"body\r\n\r\n" * 40_000
+    assert warc.read_warc(spark, str(tmp_path), ["record_type"]).where("record_type = 'metadata'").count() == 1
+
+
 def test_query_on_the_given_pages(spark, sf):
     pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     assert Counter(tuple(r) for r in queries.op3_warc(spark, sf).collect()) == expected(pages)
