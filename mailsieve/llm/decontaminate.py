@@ -36,6 +36,24 @@ SHARD_BYTES = 1 << 21
 LEAD = 3
 
 
+def suffix_ranks(words: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Order of the suffixes that begin at each word and reach to the end of its item, by prefix doubling; equal ones tie."""
+    place = np.arange(len(words))
+    rank = np.unique(words, return_inverse=True)[1] + 1
+    size, longest = 1, int((end - place).max(initial=0))
+    while size < longest:
+        behind = np.where(place + size < end, rank[np.minimum(place + size, len(words) - 1)], 0)
+        order = np.lexsort([behind, rank])
+        new = np.ones(len(words), bool)
+        new[1:] = (rank[order][1:] != rank[order][:-1]) | (behind[order][1:] != behind[order][:-1])
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.cumsum(new)
+        if new.all():
+            break
+        size *= 2
+    return rank
+
+
 class TestSet:
     """The windows of some benchmark items, ready to be searched for."""
 
@@ -60,11 +78,14 @@ class TestSet:
         for d in range(window):
             cells[:, d] = np.where(d < length, self.words[np.minimum(start + d, len(self.words) - 1)], 0)
         _, first, same = np.unique(cells, axis=0, return_index=True, return_inverse=True)
-        self.start, self.length, self.end, self.cells = start[first], length[first], self.item_end[first], cells[first]
+        self.start, self.length, self.cells = start[first], length[first], cells[first]
+        # The places of a window are in order of what follows there, so a longer match is a narrower range of them.
         order = np.argsort(same.ravel(), kind="stable")
-        self.items = item[order]
+        if len(first) < len(start):
+            ranks = suffix_ranks(self.words[: ends[-1]], np.repeat(ends, [len(w) for w in words]))
+            order = np.lexsort([ranks[start], same.ravel()])
+        self.items, self.place, self.place_end = item[order], start[order], self.item_end[order]
         self.item_from = np.searchsorted(same.ravel()[order], np.arange(len(first) + 1))
-        self.item_of = item[first]
         self.item_start = (ends - np.array([len(w) for w in words], np.int64)) if words else ends
         self.lead = int(min(LEAD, self.length.min())) if len(first) else 1
         lead = np.zeros(len(first), np.uint64)
@@ -115,17 +136,34 @@ def find_windows(words: np.ndarray, first: np.ndarray, tests: TestSet) -> tuple[
     return places[order[bw.take_ranges(low[found], count)]], np.repeat(found, count)
 
 
-def _longest(words: np.ndarray, last: np.ndarray, place: np.ndarray, window: np.ndarray, tests: TestSet) -> np.ndarray:
-    """Words that each occurrence shares with the first item that holds its window."""
+def _longest(words: np.ndarray, last: np.ndarray, place: np.ndarray, window: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words that each occurrence shares at most with an item that holds its window, and the range of places that share them."""
     length = tests.length[window].copy()
+    low, high = tests.item_from[window].copy(), tests.item_from[window + 1].copy()
+
+    def bound(low: np.ndarray, high: np.ndarray, depth: np.ndarray, key: np.ndarray, right: bool) -> np.ndarray:
+        low, high = low.copy(), high.copy()
+        while (open_ := low < high).any():
+            mid = (low + high) >> 1
+            at = np.minimum(mid, len(tests.place) - 1)
+            there = tests.place[at] + depth
+            # No word has the number 0, which stands for the end of an item.
+            seen = np.where(there < tests.place_end[at], tests.words[np.minimum(there, len(tests.words) - 1)], np.uint64(0))
+            up = open_ & ((seen <= key) if right else (seen < key))
+            low = np.where(up, mid + 1, low)
+            high = np.where(open_ & ~up, mid, high)
+        return low
+
     live = np.arange(len(place))
     while len(live):
-        here, there = place[live] + length[live], tests.start[window[live]] + length[live]
-        inside = (here < last[live]) & (there < tests.end[window[live]])
-        live, here, there = live[inside], here[inside], there[inside]
-        live = live[words[here] == tests.words[there]]
+        live = live[place[live] + length[live] < last[live]]
+        key = words[place[live] + length[live]]
+        a, b = (bound(low[live], high[live], length[live], key, right) for right in (False, True))
+        more = a < b
+        live = live[more]
+        low[live], high[live] = a[more], b[more]
         length[live] += 1
-    return length
+    return length, low, high
 
 
 LONGEST = "struct<n_words:long,doc_word:long,item_word:long,item_id:string>"
@@ -158,13 +196,14 @@ def match_shard(data: np.ndarray, offsets: np.ndarray, tests: TestSet) -> tuple[
         item = tests.items[bw.take_ranges(tests.item_from[pairs[:, 1]], count)]
         for d, i in np.unique(np.stack([np.repeat(pairs[:, 0], count), item], 1), axis=0).tolist():
             ids[d].append(tests.ids[i])
-        length = _longest(words, first[doc + 1], place, window, tests)
+        length, low, high = _longest(words, first[doc + 1], place, window, tests)
         best = np.lexsort([window, place, -length, doc])
         best = best[np.concatenate([[True], np.diff(doc[best]) > 0])]
         for k in best.tolist():
-            w = window[k]
-            item = tests.item_of[w]
-            at = {"n_words": length[k], "doc_word": place[k] - first[doc[k]], "item_word": tests.start[w] - tests.item_start[item]}
+            # Of equal matches the first item's.
+            start = tests.place[low[k] : high[k]].min()
+            item = np.searchsorted(tests.item_start, start, "right") - 1
+            at = {"n_words": length[k], "doc_word": place[k] - first[doc[k]], "item_word": start - tests.item_start[item]}
             longest[doc[k]] = {c: int(v) for c, v in at.items()} | {"item_id": tests.ids[item]}
     return counts, spans, ids, longest
 

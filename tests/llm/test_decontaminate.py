@@ -81,3 +81,39 @@ def test_edges(spark):
     same(dc.match_benchmark(docs, benchmark.limit(0)), brute([r[:2] for r in c.EDGE], []))
     assert dc.match_benchmark(c.no_docs(spark), benchmark).count() == 0
     assert dc.remove_contaminated(docs, benchmark).columns == docs.columns
+
+
+def brute_longest(text, items, window=10):
+    """(words, place in the text) of the longest match, and all (id, place in the item) that share it."""
+    w, found = c.words(text), {}
+    for i, t in items:
+        v = c.words(t)
+        for a in range(len(w)):
+            for b in range(len(v)):
+                n = 0
+                while a + n < len(w) and b + n < len(v) and w[a + n] == v[b + n]:
+                    n += 1
+                if n >= min(window, len(v)):
+                    found.setdefault((-n, a), []).append((str(i), b))
+    return min(found.items()) if found else None
+
+
+@pytest.mark.parametrize("pass_words", [dc.PASS_WORDS, 40])
+def test_longest_match_is_the_longest_of_all_items(spark, mixed, pass_words):
+    """Items begin alike and part; the text goes on with a later one."""
+    rows, items = mixed
+    head = [f"h{i}" for i in range(12)]
+    more = [(100 + k, " ".join(head + [f"t{k}{i}" for i in range(8)])) for k in range(4)] + [(110, " ".join(head)), (111, "")]
+    items = items + more
+    rows = rows + [(1000 + k, f"x y {t} z") for k, (_, t) in enumerate(more)] + [(1010, " ".join(head[1:] + ["t20", "t21", "other"]))]
+    docs, items_df = frames(spark, rows, items)
+    found = {r.doc_id: r.longest for r in dc.match_benchmark(docs, items_df, pass_words=pass_words).collect()}
+    assert (found[1003].n_words, found[1003].item_id) == (20, "103") and (found[1010].n_words, found[1010].item_id) == (13, "102")
+    for i, t in rows:
+        want = brute_longest(t, items)
+        if want is None:
+            assert found[i] is None
+        elif pass_words == dc.PASS_WORDS:
+            assert (-found[i].n_words, found[i].doc_word) == want[0] and (found[i].item_id, found[i].item_word) in want[1]
+        else:
+            assert -found[i].n_words == want[0][0]
