@@ -13,7 +13,8 @@ one scan and one combined aggregation into a bounded table (groups x bins), what
 source with a third of all rows is like any other. Each scatter gets the square of ``FLOORS`` added, the
 resolution below which differences don't matter (a group may have no symbols at all).
 
-Groups with fewer than ``MIN_ROWS`` rows are pooled by language. Rows that fail the base rules don't
+Groups with fewer than ``MIN_ROWS`` rows are judged by the estimate of all rows of their language, and those of a language
+with fewer by that of all rows. Rows that fail the base rules don't
 enter the estimates. Defined cases: a null or empty text has no words and fails the base rules; null
 languages and sources are groups of their own; repeated rows count each; an empty table gives an empty
 result. Extra columns pass through unless they are named like the added ones.
@@ -220,10 +221,14 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     pair = F.concat_ws("\x1f", F.coalesce(F.col(lang).cast("string"), F.lit("\x00")), F.coalesce(F.col(source).cast("string"), F.lit("\x00")))
     counted = durable(counted.withColumns(dict(zip(names, vectors()))).withColumn("pair", pair), "quality")
     sizes = counted.where("NOT base_failed").groupBy("pair").count()
-    alone = F.col("count") >= MIN_ROWS
-    pooled = F.concat(F.substring_index("pair", "\x1f", 1), F.lit("\x1f\x01"))
-    groups = durable(sizes.select("pair", F.when(alone, F.col("pair")).otherwise(pooled).alias("grp")), "groups")
-    rows = durable(counted.where("NOT base_failed").join(groups, "pair").select("grp", *names), "vectors")
+    of_lang, of_all = F.concat(F.substring_index("pair", "\x1f", 1), F.lit("\x1f\x01")), F.lit("\x1f\x02")
+    in_lang = F.sum("count").over(Window.partitionBy(of_lang))
+    used = F.when(F.col("count") >= MIN_ROWS, F.col("pair")).when(in_lang >= MIN_ROWS, of_lang).otherwise(of_all)
+    groups = durable(sizes.select("pair", used.alias("grp")), "groups")
+    # A row enters its own group and the wider ones that some group is judged by.
+    feeds = groups.select("pair", F.explode(F.array(F.col("pair"), of_lang, of_all)).alias("grp")).join(groups.select("grp").distinct(), "grp", "left_semi")
+    feeds = durable(feeds, "feeds")
+    rows = durable(counted.where("NOT base_failed").join(feeds, "pair").select("grp", *names), "vectors")
     fitted = groups.join(fit_groups(rows), "grp").drop("grp", "log_det")
     fitted = durable(fitted, "fitted")
     far = F.coalesce(distance(), F.lit(0.0))

@@ -66,6 +66,20 @@ def test_junk_does_not_move_the_estimate(spark):
     assert kept == set(range(300))
 
 
+def test_small_groups_are_judged_by_their_language_or_by_all(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    clean = lambda: " ".join(word() for _ in range(rng.randrange(60, 200)))
+    junk = lambda: " ".join(word().upper() + "!#" for _ in range(rng.randrange(60, 200)))
+    rows = [(i, clean(), "en", "s") for i in range(200)]
+    rows += [(1000, junk(), "en", "one"), (1001, junk(), "xx", "one"), (1002, junk(), None, "one")]
+    rows += [(2000, clean(), "en", "two"), (2001, clean(), "yy", "one"), (2002, clean(), "xx", "two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    judged = q.judge(docs)
+    assert judged.count() == len(rows)
+    assert {r.doc_id for r in judged.where("kept").collect()} == {*range(200), 2000, 2001, 2002}
+
+
 def test_transform_inverts_the_scatter(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, q.DIMS)) @ rng.normal(size=(q.DIMS, q.DIMS))
