@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import decontaminate, mixing, neardup, pii, quality, repeats, suffixtree, tokenfiles, toxicity, warc
+from mailsieve.llm import decontaminate, mixing, neardup, pii, quality, repeats, suffixtree, tokenfiles, toxicity, vectorcodes, warc
 from mailsieve.operators.durable import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,10 @@ def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs, max_repeats=mixing.MAX_REPEATS)
     return mixed.select("doc_id", "source", "n_tokens", "copy", "block", F.round("position", 9).alias("position"))
+
+
+@query
+def op13_drake_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every vector, its error and the errors of its label."""
+    rows, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"), keep=("label",))
+    return vectorcodes.digest(rows, books)

@@ -6,6 +6,28 @@ from __future__ import annotations
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+# Vectors as integers cut into four parts, the first 256 ids' parts as entries, and one step of assignment and means.
+_PARTS = """v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, e[part * (len(e) // 4) + 1 : (part + 1) * (len(e) // 4)] AS x FROM v, (SELECT unnest(range(4)) AS part)),
+c0 AS MATERIALIZED (SELECT part, k, x AS c FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS k FROM p) WHERE k < 256)"""
+
+
+def _assigned(r: int) -> str:
+    apart = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    return f"""a{r} AS MATERIALIZED (SELECT vec_id, label, part, any_value(x) AS x, min({{'d': {apart}, 'k': k}}) AS near
+  FROM p JOIN c{r} USING (part) GROUP BY vec_id, label, part)"""
+
+
+def _means(r: int) -> str:
+    return f"""c{r + 1} AS MATERIALIZED (SELECT part, k, coalesce(m, c) AS c FROM c{r} LEFT JOIN (
+  SELECT part, k, list(mean ORDER BY i) AS m FROM (
+    SELECT part, near.k AS k, i, floor(sum(x[i]) / count(*))::BIGINT AS mean FROM a{r}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM p) + 1)) AS i)
+    GROUP BY ALL) GROUP BY part, k) USING (part, k))"""
+
+
+_FITTED = ",\n".join([_PARTS, *(f"{_assigned(r)},\n{_means(r)}" for r in range(4)), _assigned(4)])
+
 ORACLES: dict[str, str] = {
     "op1_dart_minhash": f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -57,4 +79,9 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY i
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op13_drake_hamerly": f"""
+WITH {_FITTED},
+codes AS (SELECT vec_id, label, string_agg(printf('%02x', near.k::INT), '' ORDER BY part) AS code, sum(near.d)::BIGINT AS error FROM a4 GROUP BY vec_id, label),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, k)) AS digest FROM c4)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT digest FROM books) AS codebooks_sha256 FROM codes""",
 }
