@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import decontaminate, mixing, neardup, pii, quality, repeats, suffixtree, tokenfiles, toxicity, vectorcodes, warc
+from mailsieve.llm import decontaminate, mixing, neardup, periodic, pii, quality, repeats, suffixtree, tokenfiles, toxicity, vectorcodes, warc
 from mailsieve.operators.durable import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,10 @@ def op13_drake_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The code of every vector, its error and the errors of its label."""
     rows, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"), keep=("label",))
     return vectorcodes.digest(rows, books)
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, one in ten given a periodic tail first."""
+    found = periodic.find_runs(table(spark, sf_dir, "documents"), text=periodic.planted_period())
+    return periodic.digest(found)
