@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import decontaminate, mixing, neardup, periodic, pii, quality, repeats, suffixtree, tokenfiles, toxicity, vectorcodes, warc
+from mailsieve.llm import decontaminate, mixing, neardup, periodic, pii, quality, repeats, spotsigs, suffixtree, tokenfiles, toxicity, vectorcodes, warc
 from mailsieve.operators.durable import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +114,9 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, one in ten given a periodic tail first."""
     found = periodic.find_runs(table(spark, sf_dir, "documents"), text=periodic.planted_period())
     return periodic.digest(found)
+
+
+@query
+def op11_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document, and how alike it is to that of its edited text and of the next document."""
+    return spotsigs.digest(spotsigs.compare_neighbours(table(spark, sf_dir, "documents")))
