@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import warnings
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -31,11 +32,10 @@ from mailsieve.operators.features import (
     with_terms,
 )
 from mailsieve.operators.joins import BROADCAST_ROWS, bounded_lookup
+from mailsieve.operators.newton import MAX_ITERATIONS, Fit, FitSummary, fit_logistic  # noqa: F401
 
 DEFAULT_THRESHOLD = 0.5
 BATCH_SIZE = 32
-# A few hundred passes bring every weight within 1e-3 of the optimum; small corpora may use them up.
-MAX_ITERATIONS, TOLERANCE = 500, 1e-8
 
 # A scorer adds its probability column to a table that has ``text`` and ``clean``.
 Scorer = Callable[[DataFrame, str], DataFrame]
@@ -66,21 +66,23 @@ def _add_tfidf(df: DataFrame, vectors: PipelineModel) -> DataFrame:
     return vectors.transform(with_terms(df)).drop("terms", "tfidf_counts", "tfidf_raw")
 
 
-def _fit_lr(features: DataFrame) -> LogisticRegressionModel:
-    """Ridge-penalised logistic regression with unit inverse strength.
+class FittedLR(LogisticRegressionModel):
+    """A model of MLlib with weights that were fitted here; ``summary`` tells steps, passes and the gradient that is left."""
 
-    MLlib averages the loss over rows, so a penalty of one over the summed loss is 1/n here. The
-    feature table is written first: the passes then read vectors instead of redoing the text work, also
-    after a lost executor. The model's ``summary`` tells the iterations; running into their limit warns.
-    """
-    rows = durable(features.select(F.col("label").cast("double").alias("label"), "features"), "features")
-    lr = LogisticRegression(
-        maxIter=MAX_ITERATIONS, tol=TOLERANCE, regParam=1.0 / rows.count(), elasticNetParam=0.0, standardization=False
-    )
-    model = lr.fit(rows)
-    if model.summary.totalIterations >= MAX_ITERATIONS:
-        warnings.warn(f"the fit stopped at {MAX_ITERATIONS} iterations before it settled", stacklevel=2)
-    return model
+    def __init__(self, spark: SparkSession, fit: Fit):
+        weights = _py2java(spark.sparkContext, Vectors.dense(fit.weights))
+        package = spark._jvm.org.apache.spark.ml.classification
+        super().__init__(package.LogisticRegressionModel(f"fitted_{uuid.uuid4().hex[:12]}", weights, fit.intercept))
+        self.fit_summary = fit.summary
+
+    @property
+    def summary(self) -> FitSummary:
+        return self.fit_summary
+
+
+def _fit_lr(features: DataFrame, size: int) -> FittedLR:
+    """Ridge-penalised logistic regression with unit inverse strength on vectors of ``size`` entries."""
+    return FittedLR(features.sparkSession, fit_logistic(features.select("label", "features"), size))
 
 
 def _phish_probability(df: DataFrame, model: LogisticRegressionModel, out: str) -> DataFrame:
@@ -136,7 +138,7 @@ def train_tfidf_lr(train: DataFrame, max_features: int = MAX_FEATURES) -> TfidfL
     weights = fit_idf(train, max_features)
     vectors = tfidf_vectors(weights)
     features = _add_tfidf(train, vectors).withColumnRenamed("tfidf", "features")
-    return TfidfLR(weights, vectors, _fit_lr(features))
+    return TfidfLR(weights, vectors, _fit_lr(features, len(vectors.stages[0].vocabulary)))
 
 
 def with_url_features(df: DataFrame, text: str = "text") -> DataFrame:
@@ -190,7 +192,7 @@ def train_hybrid(train: DataFrame, max_features: int = MAX_FEATURES) -> HybridLR
     vectors = tfidf_vectors(weights)
     stats = durable(scaler_fit(train), "url_stats")
     features = assemble_features(train, vectors, stats)
-    return HybridLR(weights, vectors, stats, _fit_lr(features))
+    return HybridLR(weights, vectors, stats, _fit_lr(features, len(vectors.stages[0].vocabulary) + len(URL_FEATURES)))
 
 
 def linear_score(
