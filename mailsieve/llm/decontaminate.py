@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailsieve.llm import bytewords as bw
+from mailsieve.llm.columns import set_aside
 from mailsieve.operators.durable import durable
 
 WINDOW = 10
@@ -290,8 +291,9 @@ def n_hit() -> F.Column:
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents without any hit word, columns as they came."""
-    return match_benchmark(docs, items, **options).where(F.size("hit_spans") == 0).select(*docs.columns)
+    """The documents without any hit word, columns as they came whatever their names."""
+    own, restore = set_aside(docs, options.get("text", "text"))
+    return restore(match_benchmark(own, items, **options).where(F.size("hit_spans") == 0))
 
 
 def digest(matched: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailsieve.llm.columns import set_aside
 from mailsieve.operators.durable import durable
 
 BLOCK_TOKENS = 1 << 18
@@ -158,3 +159,9 @@ def mix(
     out = whole.unionByName(ended)
     out = out.withColumns({"copy": F.coalesce("copy", F.lit(0).cast("long")), "position": F.coalesce(position, F.lit(0.0))})
     return out.select(*docs.columns, "n_tokens", "copy", "block", "position")
+
+
+def mixed_copies(docs: DataFrame, source: str = "source", **options) -> DataFrame:
+    """The copies of ``docs`` that the mixture takes, columns as they came whatever their names."""
+    own, restore = set_aside(docs, "doc_id", "text", source)
+    return restore(mix(own, source, **options))

@@ -8,31 +8,37 @@ shingles a text has, so a signature costs the same for long and short texts, and
 coordinate with the chance of their weighted Jaccard similarity.
 
 25 bands of 5 coordinates miss a pair at a similarity of 0.8 with a chance of 5e-5, and less above it. Links
-are exact, on whole shingle sets, and no component is torn: two texts of a bucket go uncompared only
-when other links tie them already or the triangle inequality keeps them apart (see ``near_links``). A group of
-copies is settled by one comparison each; pairs within a group are never listed.
+are exact, on whole shingle sets, and no component is torn: the most central text of a bucket is compared with all others, which settles groups
+of copies by one comparison each, and what that leaves open goes through an exact prefix join (see ``near_links``). Pairs that other links already tie
+aren't listed.
 
-Equal texts (same words) are collapsed first and follow their representative, the least doc_id.
+Texts are told apart by a fingerprint of their words, never by id: equal texts (same words) are one node, whatever their ids, and
+different texts under one id are different nodes.
 
-Defined cases: a text without words (null, empty) is a class of its own; a null doc_id takes part under a
-number derived from its words; repeated rows are each reported with their class; extra columns aren't
-read; an empty table gives an empty result.
+Defined cases: a text without words (null, empty) is a class of its own; rows without an id take part like others, and a class of such rows alone has a
+negative number derived from its words; repeated rows are each reported with their class; extra columns aren't read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.llm import bytewords as bw
 from mailsieve.llm.components import components
 from mailsieve.operators.durable import durable
+from mailsieve.operators.joins import skew_lookup
 
 SHINGLE = 5
+#: A character of a word, as ``bytewords.ALNUM`` says for bytes.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -120,8 +126,12 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
+def _node(print_a: np.ndarray, print_b: np.ndarray) -> np.ndarray:
+    return bw.mix(print_a * bw.BASE + print_b)
+
+
 def sign_texts(bands: int, rows: int, weights: str):
-    """Rows (doc_id, print_a, print_b, keys); texts without words have no keys."""
+    """Rows (doc_id, row, node, keys); texts without words have no keys."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in bw.text_blocks(batches):
@@ -132,22 +142,22 @@ def sign_texts(bands: int, rows: int, weights: str):
             some = np.bincount(doc, minlength=n) > 0
             upto = np.concatenate([[0], np.cumsum(some) * bands]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(upto), bw.long_list(keys[some].reshape(-1)))
-            columns = [batch.column(0), bw.long_list(print_a), bw.long_list(print_b), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "print_a", "print_b", "keys"])
+            columns = [batch.column(0), batch.column(2), bw.long_list(_node(print_a, print_b)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "node", "keys"])
 
     return run
 
 
 def set_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (node, cells, counts): the sorted shingles of a text and their occurrences as packed numbers."""
-    for batch, data, offsets in bw.text_blocks(batches):
-        doc, cell, count, _, _ = shingle_sets(data, offsets)
+    for _, data, offsets in bw.text_blocks(batches):
+        doc, cell, count, print_a, print_b = shingle_sets(data, offsets)
         upto = np.searchsorted(doc, np.arange(len(offsets)))
         packed = [
             pa.Array.from_buffers(pa.large_binary(), len(upto) - 1, [None, pa.py_buffer((upto * 4).astype(np.int64)), pa.py_buffer(v.astype(np.uint32))])
             for v in (cell, count)
         ]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(p.cast(pa.binary()) for p in packed)], names=["node", "cells", "counts"])
+        yield pa.RecordBatch.from_arrays([bw.long_list(_node(print_a, print_b)), *(p.cast(pa.binary()) for p in packed)], names=["node", "cells", "counts"])
 
 
 def _similarity(a: tuple[bytes, bytes], b: tuple[bytes, bytes], counted: bool) -> float:
@@ -185,17 +195,72 @@ def _judge(pairs: DataFrame, sets: DataFrame, counted: bool) -> DataFrame:
     return durable(sides.mapInArrow(compare_rows(counted), "node long, hub long, sim double"), "similarities")
 
 
+def _tokens(counted: bool):
+    """(node, component, n, token): the shingles of a set one by one; of a multiset each occurrence is a token of its own."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, component, cells, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                token = np.frombuffer(cells, np.uint32).astype(np.int64)
+                if counted:
+                    times = np.frombuffer(counts, np.uint32).astype(np.int64)
+                    turn = bw.take_ranges(np.zeros(len(times), np.int64), times)
+                    token = bw.mix(np.repeat(token, times).astype(np.uint64) * bw.BASE + turn.astype(np.uint64)).view(np.int64)
+                same = lambda v: pa.array(np.full(len(token), v))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([same(node), same(component), same(len(token)), pa.array(token)], names=["node", "component", "n", "token"])
+
+    return run
+
+
+def prefix_pairs(open_: DataFrame, sets: DataFrame, similarity: float, counted: bool) -> DataFrame:
+    """(node, hub): all pairs of ``open_`` (node, component) of different components that may be similar.
+
+    Shingles are ordered by how many of the open sets have them, the rarest first. Two sets at ``similarity`` share one of the first
+    n - ceil(similarity * n) + 1 of each, and a pair sharing the i-th of n and the j-th of m goes on only if min(n - i, m - j), the most that can follow,
+    reaches similarity / (1 + similarity) * (n + m). A shingle that a whole group shares comes behind each text's own, so it joins
+    next to nothing. The larger sets look into classes of lengths, those alone that a shingle of their place can still match. Among the sets that hold a shingle the
+    component with most of them is not joined with itself, nor is any other.
+    """
+    share = similarity / (1 + similarity)
+    each = open_.join(sets.select("node", "cells", "counts"), "node").select("node", "component", "cells", "counts")
+    each = durable(each.mapInArrow(_tokens(counted), "node long, component long, n long, token long"), "tokens")
+    frequent = each.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    common = each.join(frequent, "token")
+    held = common.groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("sets", "token"))).alias("order"))
+    # Shingles of a single set are counted but not listed; they come before all others.
+    alone = F.col("n") - F.size("order")
+    longest = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
+    first = F.slice("order", F.lit(1), F.greatest(longest - alone, F.lit(0)).cast("int"))
+    entries = held.select("node", "component", "n", alone.alias("alone"), F.posexplode(first).alias("at", "entry"))
+    entries = entries.select("node", "component", "n", (F.col("alone") + F.col("at")).alias("i"), F.col("entry.token").alias("token"))
+    entries = durable(entries, "entries")
+    parts = entries.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token")
+    most = parts.agg(F.max(F.struct("k", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    entries = durable(entries.join(most.select("token", F.col("m.component").alias("largest")), "token"), "joined-entries")
+    step = math.log(1.05)
+    length_class = lambda m: F.floor(F.log(m.cast("double")) / step).cast("int")
+    right = entries.select("token", length_class(F.col("n")).alias("length"), F.col("node").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("m"), F.col("i").alias("j"), "largest")
+    # The longest partner that the shingles behind this one allow.
+    most_m = F.least(F.col("n") / similarity, (F.col("n") - F.col("i")) / share - F.col("n")) + 1e-6
+    least_m = F.greatest(F.col("n") * similarity - 1e-6, F.lit(1.0))
+    asks = entries.where((F.col("component") != F.col("largest")) & (most_m >= least_m))
+    left = asks.select("token", F.explode(F.sequence(length_class(least_m), length_class(most_m))).alias("length"), F.col("node").alias("a"), "component", "n", "i")
+    reach = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    fits = (reach >= share * (F.col("n") + F.col("m")) - 1e-9) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
+    # Two askers meet once.
+    once = (F.col("component_b") == F.col("largest")) | (F.col("a") < F.col("b"))
+    pairs = left.join(right, ["token", "length"]).where((F.col("component") != F.col("component_b")) & once & fits)
+    return pairs.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("hub")).distinct()
+
+
 def near_links(buckets: DataFrame, sets: DataFrame, similarity: float, counted: bool) -> tuple[DataFrame, DataFrame] | None:
     """(links (a, b), classes (node, component)) for nodes that share a bucket; None without any link.
 
-    ``buckets`` (key, node) and ``sets`` are written tables. In the first round the most central node of each bucket, its
-    pivot, is compared with all others; that settles groups of near copies, however large. Components of the
-    links so far then tell what is open: pairs of one bucket in different components. In each further
-    round some nodes outside the bucket's largest component (8, 64, 512, ...) are compared with all that
-    remain, and leave. Two nodes aren't compared whose distances from the pivot keep them apart, by the triangle
-    inequality. A bucket is done when one component remains.
+    ``buckets`` (key, node) and ``sets`` are written tables. First the most central node of each bucket, its
+    pivot, is compared with all others; that settles groups of near copies, however large. Then the pairs without a pivot are open in
+    buckets whose other nodes are in several components; ``prefix_pairs`` finds all of them that may still be similar and aren't tied, and one more
+    comparison decides those.
     """
-    reach = 1 - similarity + 1e-9
     # A node that shares large buckets stands amid its copies; most of them are similar to it.
     sized = durable(buckets.join(durable(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "sizes"), "key"), "sized")
     central = sized.groupBy("node").agg((-F.sum("n")).alias("rank"))
@@ -204,95 +269,75 @@ def near_links(buckets: DataFrame, sets: DataFrame, similarity: float, counted:
     meets = durable(buckets.join(durable(pivots, "pivots"), "key").where("node <> hub"), "meets")
     sims = _judge(meets.select("node", "hub").distinct(), sets, counted)
     links = sims.where(F.col("sim") >= similarity).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    if sims.where(F.col("sim") < similarity).isEmpty():
-        return None if links.isEmpty() else (links, components(links))
-    state = meets.join(sims, ["node", "hub"]).select("key", "node", (1 - F.col("sim")).alias("d"))
-    classes, hubs_each = components(links), 8
-    while True:
-        # What is open: buckets with several components, and in them what may still be similar.
-        named = state.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        named = durable(named, "named")
-        sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        most = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("parts"))
-        most = durable(most.where("parts > 1").select("key", F.col("m.component").alias("largest")), "largest")
-        if most.isEmpty():
-            return (links, classes) if not links.isEmpty() else None
-        open_ = durable(named.join(most, "key").withColumn("outside", F.col("component") != F.col("largest")), "open")
-        span = open_.where("outside").groupBy("key").agg(F.min("d").alias("low"), F.max("d").alias("high"))
-        near = F.col("outside") | F.col("d").between(F.col("low") - reach, F.col("high") + reach)
-        open_ = durable(open_.join(durable(span, "span"), "key").where(near).select("key", "node", "d", "component", "outside"), "open")
-        turn = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        hubs = open_.where("outside").withColumn("turn", turn).where(F.col("turn") <= hubs_each)
-        hubs = durable(hubs.select("key", F.col("node").alias("hub"), F.col("component").alias("hub_component"), F.col("d").alias("hub_d")), "hubs")
-        pairs = open_.join(hubs, "key").where((F.col("component") != F.col("hub_component")) & (F.abs(F.col("d") - F.col("hub_d")) <= reach))
-        pairs = pairs.select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
-        sims = _judge(pairs, sets, counted)
-        found = sims.where(F.col("sim") >= similarity).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        gone = hubs.select("key", F.col("hub").alias("node"))
-        state = open_.join(gone, ["key", "node"], "left_anti").select("key", "node", "d")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            classes = components(found.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        hubs_each *= 8
-
-
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "presence") -> DataFrame:
-    """(doc_id, class_id, n_links): one row per row of ``docs`` (doc_id, text).
-
-    class_id is the least doc_id of the group; n_links counts the direct links found for the row's text.
-    ``weights="count"`` weighs a shingle by its occurrences (the similarity is then that of multisets).
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = texts.mapInArrow(sign_texts(bands, rows, weights), "doc_id long, print_a long, print_b long, keys array<long>")
-    # Ids of rows without one lie below every real id in use; the same words get the same number.
-    node = F.coalesce("doc_id", F.when(F.size("keys") > 0, -F.abs(F.shiftrightunsigned("print_a", 1)) - 1))
-    signed = durable(signed.withColumn("node", node), "signed")
+    classes = components(links)
+    named = meets.select("key", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = durable(named, "named")
+    several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    open_ = durable(named.join(several, "key", "left_semi").select("node", "component").distinct(), "open")
+    found = _judge(prefix_pairs(open_, sets, similarity, counted), sets, counted)
+    found = found.where(F.col("sim") >= similarity).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        classes = components(found.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    return None if links.isEmpty() else (links, classes)
+
+
+def _classified(docs: DataFrame, similarity: float, bands: int, rows: int, weights: str) -> DataFrame:
+    """(doc_id, row, node, class, n_links) per row; ``row`` is a hash of the text as it came, ``class`` a node, null for texts without words."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
+    signed = durable(texts.mapInArrow(sign_texts(bands, rows, weights), "doc_id long, row long, node long, keys array<long>"), "signed")
     worded = signed.where(F.size("keys") > 0)
-    chosen = durable(worded.groupBy("print_a", "print_b").agg(F.min("node").alias("chosen")), "texts")
-    member = durable(worded.join(chosen, ["print_a", "print_b"]).select("doc_id", "node", "chosen", F.when(F.col("node") == F.col("chosen"), F.col("keys")).alias("keys")), "members")
-    keys = member.where("keys IS NOT NULL").dropDuplicates(["node"]).select("node", F.explode_outer("keys").alias("key")).where("key IS NOT NULL")
-    keys = durable(keys, "keys")
+    nodes = durable(worded.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "nodes")
+    keys = durable(nodes.select("node", "doc_id", F.explode_outer("keys").alias("key")).where("key IS NOT NULL"), "keys")
     shared = durable(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
-    buckets = durable(keys.join(shared, "key"), "buckets")
-    wanted = durable(buckets.select("node").distinct(), "wanted")
-    # A text of each node that shares a bucket; null ids are found by their number again.
-    ids = texts.where("doc_id IS NOT NULL").join(wanted.withColumnRenamed("node", "doc_id"), "doc_id")
-    sets = ids.mapInArrow(set_rows, "node long, cells binary, counts binary")
-    if not texts.where("doc_id IS NULL").isEmpty():
-        unnamed = texts.where("doc_id IS NULL")
-        named = unnamed.mapInArrow(_null_nodes, "node long, text string").join(wanted, "node").dropDuplicates(["node"])
-        sets = sets.unionByName(named.mapInArrow(set_rows, "node long, cells binary, counts binary"))
-    sets = durable(sets, "sets").dropDuplicates(["node"])
-    linked = near_links(buckets, sets, similarity, weights == "count")
-    found = member.select("doc_id", "node", "chosen")
-    lone = signed.where(F.size("keys") == 0).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    buckets = durable(keys.join(shared, "key").select("key", "node", "doc_id"), "buckets")
+    wanted = durable(buckets.select("node", "doc_id").distinct(), "wanted")
+    # A text of each node that shares a bucket, found by id; the fingerprint tells which of the texts of one id it is.
+    named = texts.where("doc_id IS NOT NULL").join(wanted.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = named.select("doc_id", "text").mapInArrow(set_rows, "node long, cells binary, counts binary")
+    if not wanted.where("doc_id IS NULL").isEmpty():
+        unnamed = texts.where("doc_id IS NULL").select("doc_id", "text")
+        sets = sets.unionByName(unnamed.mapInArrow(set_rows, "node long, cells binary, counts binary"))
+    sets = durable(sets, "sets").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    linked = near_links(buckets.select("key", "node"), sets, similarity, weights == "count")
+    plain = signed.select("doc_id", "row", "node", (F.size("keys") > 0).alias("worded"))
+    own = F.when(F.col("worded"), F.col("node"))
     if linked is None:
-        return found.select("doc_id", F.col("chosen").alias("class_id"), F.lit(0).cast("long").alias("n_links")).unionByName(lone)
+        return plain.select("doc_id", "row", "node", own.alias("class"), F.lit(0).cast("long").alias("n_links"))
     links = durable(linked[0].distinct(), "near-links")
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     counted = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = durable(linked[1].join(counted, "node"), "classes").withColumnRenamed("node", "chosen")
-    return (
-        found.join(classes, "chosen", "left")
-        .select("doc_id", F.coalesce("component", "chosen").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-        .unionByName(lone)
-    )
+    classes = durable(linked[1].join(counted, "node"), "classes")
+    found = skew_lookup(plain, classes, "node")
+    return found.select("doc_id", "row", "node", F.coalesce("component", own).alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _null_nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) with the number that stands in for a missing id."""
-    for batch, data, offsets in bw.text_blocks(batches):
-        print_a = shingle_sets(data, offsets)[3]
-        yield pa.RecordBatch.from_arrays([pa.array(-(print_a >> np.uint64(1)).astype(np.int64) - 1), batch.column(1)], names=["node", "text"])
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "presence") -> DataFrame:
+    """(doc_id, class_id, n_links): one row per row of ``docs`` (doc_id, text).
+
+    class_id is the least doc_id of the group; n_links counts the direct links found for the row's text.
+    ``weights="count"`` weighs a shingle by its occurrences (the similarity is then that of multisets).
+    """
+    found = durable(_classified(docs, similarity, bands, rows, weights), "classified")
+    nameless = -F.abs(F.shiftrightunsigned("class", 1)) - 1
+    names = found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least")).select("class", F.coalesce("least", nameless).alias("class_id"))
+    named = skew_lookup(found, durable(names, "class-names"), "class")
+    return named.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group, the one of the least doc_id; columns as they came.
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "presence") -> DataFrame:
+    """One document of each group, the one of the least doc_id (rows without an id come last); columns as they came.
 
-    Of rows that repeat an id one stays; rows without an id can't be named and all stay.
+    A row is known by its id and its text as it came, so another text under the same id stays. Rows without words all stay.
     """
-    classes = near_duplicates(docs, **options)
-    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = durable(kept, "kept")
-    named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    found = durable(_classified(docs, similarity, bands, rows, weights), "classified")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    chosen = found.where("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("k")).select("k.doc_id", "k.row").distinct()
+    names = {c: f"_{c}_{uuid.uuid4().hex[:8]}" for c in ("id", "row", "kept_id", "kept_row")}
+    keyed = docs.withColumns({names["id"]: F.col("doc_id").cast("long"), names["row"]: F.xxhash64(F.coalesce("text", F.lit("")))})
+    kept = durable(chosen.select(F.col("doc_id").alias(names["kept_id"]), F.col("row").alias(names["kept_row"])), "kept")
+    same = (keyed[names["row"]] == kept[names["kept_row"]]) & keyed[names["id"]].eqNullSafe(kept[names["kept_id"]])
+    # Repeated rows agree in id and text, so any of them will do.
+    one = keyed.join(kept, same, "left_semi").dropDuplicates([names["id"], names["row"]])
+    wordless = keyed.where(~F.coalesce("text", F.lit("")).rlike(WORD))
+    return one.unionByName(wordless).select(*docs.columns)

@@ -10,7 +10,7 @@ Learning uses a bounded sample of the labelled rows (about ``max_rows``, drawn b
 
 Defined cases: an empty or null text scores the intercept alone; a null doc_id is never learned from and
 held out is false for it; null labels are ignored; repeated rows count as often as they occur; without any
-labelled row every score is 0.5. Extra columns pass through ``score_texts`` unless they are named like its
+labelled row every score is 0.5 and ``drop_toxic`` drops nothing. Extra columns pass through ``score_texts`` unless they are named like its
 own (score, predicted).
 """
 
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailsieve.llm import bytewords as bw
+from mailsieve.llm.columns import set_aside
 
 BITS = 20
 MAX_ROWS = 40_000
@@ -117,7 +118,7 @@ class Model:
     """Sparse weights over hashed coordinates and an intercept."""
 
     def __init__(self, cells: np.ndarray, weights: np.ndarray, bits: int):
-        self.bits, self.table = bits, np.zeros((1 << bits) + 1)
+        self.bits, self.table, self.learned = bits, np.zeros((1 << bits) + 1), len(cells) > 0
         self.table[cells] = weights
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -159,6 +160,14 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The documents that the model doesn't call toxic, columns as they came whatever their names; all of them if it learned from no row."""
+    if not model.learned:
+        return docs
+    own, restore = set_aside(docs, text)
+    return restore(score_texts(own, model, text).where("predicted = 0"))
+
+
 def learn_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, **options) -> Model:
     """A model from the documents whose labels aren't held out; each label row counts."""
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, fold)).select("doc_id", F.col("toxic").alias("label"))

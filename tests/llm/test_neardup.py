@@ -132,3 +132,76 @@ def test_components_of_paths_and_stars(spark, n):
 
 def test_no_links_have_no_components(spark):
     assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_are_told_apart_by_their_words_not_by_id(spark):
+    """Two texts under one id, copies under other ids and without any."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (3, b), (None, a), (None, b + "!"), (None, "only without any id"), (5, a.upper()), (1, a), (4, ""), (4, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in nd.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (1, b), (None, "only without any id"), (4, ""), (4, None), (None, "")], key=str)
+    got = sorted(((r.doc_id or 0, r.class_id) for r in nd.near_duplicates(docs).where("doc_id IS NOT NULL").collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (3, 1), (5, 1), (1, 1), (4, 4), (4, 4)], key=str)
+    nameless = [r.class_id for r in nd.near_duplicates(docs.where("doc_id IS NULL")).where("class_id IS NOT NULL").collect()]
+    assert len(set(nameless)) == 3 and max(nameless) < 0
+
+
+def exact_classes(texts):
+    """Classes by comparing all pairs, from matrices of shared shingles."""
+    sets = [shingles(t) for t in texts]
+    names = {g: k for k, g in enumerate(set().union(*sets))}
+    holds = np.zeros((len(texts), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        holds[i, [names[g] for g in s]] = 1
+    shared, size = holds @ holds.T, holds.sum(1)
+    near = shared * 5 >= 4 * (size[:, None] + size - shared)
+    label = np.arange(len(texts))
+    while True:
+        least = np.where(near, label, len(texts)).min(1)
+        if (least == label).all():
+            return label.tolist(), near
+        label = least
+
+
+@pytest.mark.parametrize("most", [8, 20])
+def test_a_large_group_of_different_near_copies(spark, most):
+    """Copies at all distances around the limit of 0.8; what the central one doesn't tie goes through the prefix join."""
+    rng = random.Random(most)
+    base = [f"v{i}" for i in range(300)]
+    texts = []
+    for k in range(600):
+        copy = list(base)
+        for _ in range(rng.randrange(most)):
+            copy[rng.randrange(300)] = f"x{rng.randrange(60) if k % 3 else rng.random()}"
+        texts.append(" ".join(copy[: rng.choice([300, 300, 300, 280, 260])]))
+    want, near = exact_classes(texts)
+    rows = {r.doc_id: r for r in nd.near_duplicates(c.frame(spark, texts)).collect()}
+    assert [rows[i].class_id for i in range(len(texts))] == want
+    # Whatever its number, each link is one; a text without any link has none.
+    alone = near.sum(1) == 1
+    assert all((rows[i].n_links == 0) == alone[i] for i in range(len(texts)) if texts.count(texts[i]) == 1)
+
+
+def test_prefix_pairs_lose_no_pair(spark):
+    rng = random.Random(7)
+    pool = [rng.getrandbits(32) for _ in range(400)]
+    bases = [rng.sample(pool, rng.randrange(1, 60)) for _ in range(12)]
+    sets = []
+    for _ in range(250):
+        cells = set(rng.choice(bases))
+        for _ in range(rng.randrange(9)):
+            cells.add(rng.choice(pool)) if rng.random() < 0.6 else cells.discard(rng.choice(sorted(cells) or [0]))
+        sets.append(sorted(cells | {rng.getrandbits(32)}))
+    packed = [(i, bytearray(np.array(x, np.uint32).tobytes()), bytearray(np.array([1 + (v + i) % 2 for v in x], np.uint32).tobytes())) for i, x in enumerate(sets)]
+    table = spark.createDataFrame(packed, "node long, cells binary, counts binary")
+    for groups in (250, 3):
+        open_ = spark.createDataFrame([(i, i % groups) for i in range(250)], "node long, component long")
+        for counted in (False, True):
+            bags = [Counter({v: 1 + (v + i) % 2 if counted else 1 for v in x}) for i, x in enumerate(sets)]
+            want = {
+                (i, j) for i in range(250) for j in range(i)
+                if i % groups != j % groups and sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values())
+            }
+            got = {(r.node, r.hub) for r in nd.prefix_pairs(open_, table, 0.8, counted).collect()}
+            assert want <= got and len(want) > 50 and len(got) < 12 * len(want)

@@ -6,6 +6,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline as pipeline
 import test_decontaminate
 import test_neardup
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +62,31 @@ def test_tokens_of_all_copies(stages):
 
 def test_run_gives_the_same_rows(spark, sf, stages):
     assert sorted(map(tuple, pipeline.run(spark, sf).collect())) == sorted(map(tuple, stages[5].collect()))
+
+
+OWN = [*c.CLASHING, "longest", "tokens", "held", "before", "budget", "cut", "left", "blocks", "row", "class", "_number", "_id"]
+
+
+def test_columns_with_the_operators_own_names_keep_their_values(spark, sf):
+    docs = c.documents(spark, sf).withColumns({x: F.concat(F.lit(f"{x} "), F.col("doc_id")) for x in dict.fromkeys(OWN)})
+    want = {r.doc_id: r for r in docs.collect()}
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r == want[r.doc_id] for r in got), name
+    assert pipeline.STAGES[-1][1](spark, docs, sf).count() == len(want)
+
+
+def test_without_labels_nothing_is_dropped(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = c.documents(spark, sf)
+    assert pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_edge_documents_go_through_every_stage(spark, sf):
+    docs = c.edge_docs(spark)
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.count() > 0, name
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
