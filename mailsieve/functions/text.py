@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 from html.entities import html5
 from html.parser import HTMLParser
 
@@ -11,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mailsieve.functions.arrays import bind
+
 # The code points Python's ``\s`` matches, in the syntax Java and RE2 share.
 WS = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -22,15 +25,18 @@ URL_TOKEN = " <URL> "
 
 # Elements whose text is not part of the visible message.
 _HIDDEN = ("script", "style", "template")
-# Every alternative starts with "<", so other characters are passed over quickly. A ">" inside a quoted
-# attribute does not end a tag; where quotes are unbalanced the first ">" does. Possessive repeats
-# keep the matcher from recursing on long tags.
+# Every alternative starts with "<", so other characters are passed over quickly. A ">" inside a quoted value, which a "=" opens,
+# does not end a start tag; where quotes are unbalanced the first ">" does. Possessive repeats
+# keep the matcher from recursing on long tags. A place that fails has been read to the next "<" only, and behind
+# ``_guard_open`` each other alternative finds its end, so the matcher's work grows with the text and no faster.
 _MARKUP = (
     r"(?is)<(?:!--.*?-->"
-    + "".join(rf"|{tag}\b.*?(?:</{tag}[^>]*>|\z)" for tag in _HIDDEN)
-    + r"""|[a-z/!?][^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>|[a-z/!?][^>]*>)"""
+    + "".join(rf"|{tag}\b.*?(?:</{tag}[^>]*+>|\z)" for tag in _HIDDEN)
+    + rf"""|[a-z][^>"'=<]*+(?:(?:=[{WS}]*+(?:"[^"]*+"|'[^']*+')|["'=])[^>"'=<]*+)*+>|[a-z/!?][^>]*+>)"""
 )
 _NODE_BREAK = "\x01"
+# Stands for a "<" that opens nothing. It is no character, so no text has it.
+_PLAIN_OPEN = "\uffff"
 
 # Names that are entities even without the closing semicolon, longest first so that the
 # longest one wins; both tables come from the standard library.
@@ -134,15 +140,30 @@ def _drop_markup(text: Column, node_break: str) -> Column:
 
     Plain messages, most of the mail, skip all three steps.
     """
-    dropped = unescape_entities(F.regexp_replace(unescape_entities(text), _MARKUP, node_break))
-    return F.when(_has_markup(text), dropped).otherwise(text)
+    guarded = bind(unescape_entities(text), _guard_open)
+    plain = F.replace(F.regexp_replace(guarded, _MARKUP, node_break), F.lit(_PLAIN_OPEN), F.lit("<"))
+    return F.when(_has_markup(text), unescape_entities(plain)).otherwise(text)
+
+
+def _until_last(text: Column, end: str, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the text up to its last ``end`` and of what follows, which is the whole text where it has none."""
+    rest = F.substring_index(text, end, -1)
+    return bind(rest, lambda r: body(F.left(text, F.char_length(text) - F.char_length(r)), r))
+
+
+def _guard_open(text: Column) -> Column:
+    """The text with every "<" marked as plain that no ">" follows, and every "<!--" that no "-->" follows."""
+    comments = lambda head: _until_last(head, "-->", lambda a, b: F.concat(a, F.replace(b, F.lit("<!--"), F.lit(_PLAIN_OPEN + "!--"))))
+    marked = lambda head, rest: F.concat(bind(head, comments), F.replace(rest, F.lit("<"), F.lit(_PLAIN_OPEN)))
+    return _until_last(text, ">", marked)
 
 
 def html_to_text(text: Column | str) -> Column:
     """Visible text: decode references, drop markup, decode again, one space between text nodes.
 
-    Works without Python. It differs from a real HTML parser only on malformed markup: a tag or comment that
-    is never closed, quotes outside attribute values, and a bare ``<`` in text, which ends a text node there.
+    Works without Python, in time that grows with the text. A tag or comment that is never closed stays as text. It differs from a real HTML parser
+    only where a quoted value is never closed (the tag ends at its first ``>``), a tag with quotes holds a ``<`` outside them, in marked
+    sections, and at a ``<`` that stays text, which doesn't end a text node here.
     """
     nodes = F.split(_drop_markup(text_or_empty(text), _NODE_BREAK), _NODE_BREAK, -1)
     return F.array_join(F.filter(F.transform(nodes, strip_space), lambda n: n != ""), " ")
@@ -215,7 +236,9 @@ def clean_text(text: Column | str, exact_html: bool = False) -> Column:
 
 def clean_text_simple(text: Column | str) -> Column:
     """The light cleaning: tags vanish without a space, white space squeezed, lower case."""
-    return squeeze_lower(F.regexp_replace(text_or_empty(text), r"<[^>]+>", ""))
+    # Behind the last ">" nothing is a tag, so no "<" there is tried.
+    drop = lambda head, rest: F.concat(F.regexp_replace(head, r"<[^>]++>", ""), rest)
+    return squeeze_lower(bind(text_or_empty(text), lambda t: _until_last(t, ">", drop)))
 
 
 def text_preview(text: Column | str, max_len: int = 120) -> Column:

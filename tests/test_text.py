@@ -1,4 +1,6 @@
 import html
+import random
+import time
 from html.entities import html5
 
 import pytest
@@ -146,3 +148,48 @@ def test_every_space_character_ends_a_url(spark):
 def test_markup_free_rows_skip_python(spark):
     rows = spark.createDataFrame([("plain",), ("<b>x</b>",)], "text string")
     assert [r[0] for r in rows.select(X.html_to_text_exact("text")).collect()] == ["plain", "x"]
+
+
+JUNK = ["<!--", "<a ", '<a "', '<a ="', "<a ='>\" ", '<a =">" ', "</", "<!", "<a b=\"x\" <", "<script>", "<", "<a =", "<!-- > ", "-->", "<!-->", "<a =\">x\" "]
+
+
+@pytest.mark.parametrize("end", ["", ">", "-->", "'>\">"])
+def test_junk_markup_takes_linear_time(spark, end):
+    """A megabyte of each kind; a scan that starts again at every place would take hours."""
+    rows = spark.createDataFrame([(j * (1_000_000 // len(j)) + end,) for j in JUNK], "text string").repartition(len(JUNK))
+    start = time.time()
+    assert rows.select(X.clean_text("text").alias("a"), X.html_to_text("text").alias("b"), X.clean_text_simple("text").alias("c")).where("a = 'none' OR b = 'none' OR c = 'none'").count() == 0
+    assert time.time() - start < 60
+
+
+@pytest.mark.parametrize(
+    "markup, want",
+    [
+        ("<p title=it's>don't go</p> now", "don't go now"),
+        ('a<a "x> y" z> w', 'a y" z> w'),
+        ('a<a b=x"y>z"> d', 'a z"> d'),
+        ('a</p x="a>b"> c', 'a b"> c'),
+        ("a<a b = \"x>y\"c='z>' > d", "a d"),
+        ("a<!-- x --!> b <!-- y --> c", "a c"),
+        ("a<b<c>d", "a d"),
+        ("a<br/>b</ x>c</>d<!x y>e<?p q>f", "a b c d e f"),
+    ],
+)
+def test_malformed_markup_as_the_parser(one, markup, want):
+    assert one(X.html_to_text, markup) == want
+    assert one(X.html_to_text_exact, markup) == want
+
+
+def test_random_markup_as_the_parser(spark):
+    rng = random.Random(6)
+    pieces = ["<b>", "</b>", "<!-- c > d -->", "<!---->", "word", " ", ">", "'", '"', "=", "<i a='x>y'>", '<i a = ">" b=\'"\'>', "<p title=it's>", "<br/>", "</p x='>", "&lt;b&gt;", "&amp;", "<!x>", "<?y>", "<script>v<w</script>", "-", "--", "é", "<a b<c>"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    off = rows.select("text", X.html_to_text("text").alias("a"), X.html_to_text_exact("text").alias("b")).where("a <> b").collect()
+    assert off == []
+
+
+def test_open_markup_stays_text(one):
+    assert one(X.html_to_text, "x <!-- y > z") == "x <!-- y > z"
+    assert one(X.html_to_text, "a<b>c</b><i d") == "a c <i d"
+    assert one(X.clean_text_simple, "a<b>c <d e") == "ac <d e"
