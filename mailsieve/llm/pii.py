@@ -11,7 +11,8 @@ stay whatever the verdict.
 
 Counts of (kind, votes, features) are all that reaches the driver; each part has a fixed, small set of values.
 
-Defined cases: null and empty texts have no spans; a null doc_id is reported as null; repeated rows are
+Defined cases: spelled-out addresses may have letters of any case and parts of any length, and their "at" and "dot" stand between blanks or in
+brackets of any kind; null and empty texts have no spans; a null doc_id is reported as null; repeated rows are
 each reported and counted; with no candidates at all no span is added; extra columns aren't read.
 """
 
@@ -42,13 +43,14 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 
 # Looser forms of the same kinds.
 LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{2,63}){1,4}"),
+    # From the edge of a run, of any length, so each run is read once.
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:[(\[{][aA][tT][)\]}]|\x20[aA][tT]\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?:[(\[{][dD][oO][tT][)\]}]|\x20[dD][oO][tT]\x20|\.)\x20?[A-Za-z0-9-]{2,}+)++"),
     "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     "card": re.compile(r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){12,18}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])(?:00[0-9]{1,3}[\x20.-])?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
 }
-#: Every spelled-out address holds one of them.
-AT_SIGNS = ("(at)", "[at]", "{at}", " at ")
+#: Every spelled-out address holds one of them, in letters of any case.
+AT_SIGNS = ("at)", "at]", "at}", " at ")
 
 # Gazetteers and cue words in the four languages of the texts.
 ENDINGS = frozenset("com org net edu gov info biz io de fr es uk eu it nl ch at be us ca mx ar".split())
@@ -119,10 +121,10 @@ def loose_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> Iterator[t
     taken = sorted(s for spans in base.values() for s in spans)
     starts = np.array([a for a, _ in taken])
     ends = np.maximum.accumulate(np.array([b for _, b in taken])) if taken else starts
-    digits = DIGIT.search(text) is not None
+    digits, lowered = DIGIT.search(text) is not None, text.lower()
     for kind in KINDS:
         if kind == "email":
-            if not any(sign in text for sign in AT_SIGNS):
+            if not any(sign in lowered for sign in AT_SIGNS):
                 continue
         elif not digits or (kind == "ip" and ":" not in text):
             continue
@@ -138,7 +140,7 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
     digits = NOT_DIGIT.sub("", span)
     sign = lambda yes, no: YES if yes else NO if no else NOTHING
     if kind == "email":
-        form = sign(base or "at" in span, False)
+        form = sign(base or "at" in span.lower(), False)
         check = sign(0 < len(span.partition("@")[0]) <= 64, len(span) > 254)
         ending = span.rpartition(".")[2].lower() if "." in span else span.split()[-1].lower()
         known = sign(ending in ENDINGS, not ending.isalpha() or len(ending) < 2)
