@@ -293,12 +293,14 @@ def _classified(docs: DataFrame, similarity: float, bands: int, rows: int, weigh
     buckets = durable(keys.join(shared, "key").select("key", "node", "doc_id"), "buckets")
     wanted = durable(buckets.select("node", "doc_id").distinct(), "wanted")
     # A text of each node that shares a bucket, found by id; the fingerprint tells which of the texts of one id it is.
-    named = texts.where("doc_id IS NOT NULL").join(wanted.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
+    # The same plan at every size: the texts move once, by id.
+    by_id = wanted.where("doc_id IS NOT NULL").select("doc_id").distinct().hint("merge")
+    named = texts.where("doc_id IS NOT NULL").join(by_id, "doc_id", "left_semi")
     sets = named.select("doc_id", "text").mapInArrow(set_rows, "node long, cells binary, counts binary")
     if not wanted.where("doc_id IS NULL").isEmpty():
         unnamed = texts.where("doc_id IS NULL").select("doc_id", "text")
         sets = sets.unionByName(unnamed.mapInArrow(set_rows, "node long, cells binary, counts binary"))
-    sets = durable(sets, "sets").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = durable(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     linked = near_links(buckets.select("key", "node"), sets, similarity, weights == "count")
     plain = signed.select("doc_id", "row", "node", (F.size("keys") > 0).alias("worded"))
     own = F.when(F.col("worded"), F.col("node"))
