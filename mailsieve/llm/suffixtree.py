@@ -318,7 +318,7 @@ def score_texts(
 ) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text) from a tree of the rows that aren't held out."""
     spark = docs.sparkSession
-    table = ch.write_chunks(docs, held_out, 2 * ch.CHUNK_BYTES)
+    table = ch.write_chunks(docs, held_out, ch.CHUNK_BYTES)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tree, replies = grow_tree(table, ranges, share, pair_share, gain, divergence)
     root = Root(tree.tokens, tree.distinct, tree.least, tree.word_least)
