@@ -116,8 +116,6 @@ def merge(asks: DataFrame, kind: int, answer: Callable[[list[np.ndarray]], tuple
         if summary is not None:
             numbers, packed = [*numbers, None], [*packed, summary]
         n = len(numbers)
-        del pieces, arrays, reply, chunk
-        bw.give_back()
         return pa.table({
             "chunk": pa.array(numbers, pa.int64()), "range": pa.array([key[0].as_py()] * n, pa.int32()),
             "kind": pa.array([kind] * n, pa.int32()), "reply": pa.array(packed, pa.binary()),
@@ -143,8 +141,6 @@ def with_replies(chunks: DataFrame, replies: list[DataFrame], body: Callable, sc
     def run(key: tuple, own: pa.Table, answers: pa.Table) -> pa.Table:
         found = replies_of(answers)
         out = [batch for row in own.to_pylist() for batch in body(Chunk(row), found)]
-        del found
-        bw.give_back()
         return pa.Table.from_batches(out) if out else empty
 
     from pyspark.sql import types as T

@@ -174,6 +174,7 @@ def token_asks(ranges: int):
 
 def token_answer(arrays: list[np.ndarray]) -> tuple[np.ndarray, bytes]:
     """Totals per word; the summary holds the numbers of known words and of tokens."""
+    bw.give_back()  # what the group before held
     keys, counts, _ = arrays
     distinct, which = np.unique(keys, return_inverse=True)
     total = np.bincount(which, counts, len(distinct)).astype(np.int64)
@@ -184,6 +185,7 @@ def context_asks(root: Root, depth: int, ranges: int):
     """Entries (key, trained count, the parent's probability, context); and, in ranges behind the others, the contexts alone."""
 
     def run(chunk: ch.Chunk, replies: dict) -> Iterator[pa.RecordBatch]:
+        bw.give_back()
         t = Tokens(chunk)
         c = Contexts(t, replies, root, depth - 1)
         c.extend()
@@ -201,6 +203,7 @@ def context_answer(arrays: list[np.ndarray]) -> tuple[np.ndarray, bytes | None]:
 
     Contexts alone are handed on to their verdicts.
     """
+    bw.give_back()
     if len(arrays) == 2:
         return arrays[0], None
     keys, counts, parents, contexts, _ = arrays
@@ -301,6 +304,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score_chunk(root: Root, depth: int):
     def run(chunk: ch.Chunk, replies: dict) -> Iterator[pa.RecordBatch]:
+        bw.give_back()
         t = Tokens(chunk)
         c = Contexts(t, replies, root, depth)
         total = lambda v: np.bincount(t.doc, v, len(t.n))
