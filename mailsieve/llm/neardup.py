@@ -160,38 +160,48 @@ def set_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([bw.long_list(_node(print_a, print_b)), *(p.cast(pa.binary()) for p in packed)], names=["node", "cells", "counts"])
 
 
-def _similarity(a: tuple[bytes, bytes], b: tuple[bytes, bytes], counted: bool) -> float:
-    """Jaccard similarity of two sets; of two multisets where ``counted``."""
-    (x, m), (y, n) = ((np.frombuffer(v, np.uint32) for v in pair) for pair in (a, b))
+def _similarity(a: tuple[bytes, ...], b: tuple[bytes, ...], counted: bool) -> float:
+    """Jaccard similarity of two sets (cells,); of two multisets (cells, counts) where ``counted``."""
+    (x, *m), (y, *n) = ([np.frombuffer(v, np.uint32) for v in pair] for pair in (a, b))
     both = np.concatenate([x, y])
     order = np.argsort(both, kind="stable")
     both = both[order]
     pair = np.flatnonzero(both[1:] == both[:-1])
     if not counted:
         return len(pair) / max(1, len(both) - len(pair))
-    counts = np.concatenate([m, n])[order].astype(np.int64)
+    counts = np.concatenate([*m, *n])[order].astype(np.int64)
     shared = int(np.minimum(counts[pair], counts[pair + 1]).sum())
     return shared / max(1, int(counts.sum()) - shared)
 
 
 def compare_rows(counted: bool):
+    width = len(_set_columns(counted))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                cells = [part.column(i).to_pylist() for i in range(2, 6)]
-                sim = [_similarity((a, m), (b, n), counted) for a, m, b, n in zip(*cells)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sim, pa.float64())], names=["node", "hub", "sim"])
-        bw.give_back()
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    rows = zip(*(c.to_pylist() for c in part.columns[2:]))
+                    sim = [_similarity(r[:width], r[width:], counted) for r in rows]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sim, pa.float64())], names=["node", "hub", "sim"])
+        finally:
+            bw.give_back()
 
     return run
 
 
+def _set_columns(counted: bool) -> list[str]:
+    """Occurrences move only where they count."""
+    return ["cells", "counts"] if counted else ["cells"]
+
+
 def _judge(pairs: DataFrame, sets: DataFrame, counted: bool) -> DataFrame:
     """(node, hub, sim) for pairs of nodes from their whole shingle sets."""
-    own = sets.select("node", "cells", "counts")
-    other = sets.select(F.col("node").alias("hub"), F.col("cells").alias("hub_cells"), F.col("counts").alias("hub_counts"))
-    sides = pairs.join(own, "node").join(other, "hub").select("node", "hub", "cells", "counts", "hub_cells", "hub_counts")
+    columns = _set_columns(counted)
+    own = sets.select("node", *columns)
+    other = sets.select(F.col("node").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in columns))
+    sides = pairs.join(own, "node").join(other, "hub").select("node", "hub", *columns, *(f"hub_{c}" for c in columns))
     return durable(sides.mapInArrow(compare_rows(counted), "node long, hub long, sim double"), "similarities")
 
 
@@ -199,15 +209,19 @@ def _tokens(counted: bool):
     """(node, component, n, token): the shingles of a set one by one; of a multiset each occurrence is a token of its own."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, component, cells, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                token = np.frombuffer(cells, np.uint32).astype(np.int64)
-                if counted:
-                    times = np.frombuffer(counts, np.uint32).astype(np.int64)
-                    turn = bw.take_ranges(np.zeros(len(times), np.int64), times)
-                    token = bw.mix(np.repeat(token, times).astype(np.uint64) * bw.BASE + turn.astype(np.uint64)).view(np.int64)
-                same = lambda v: pa.array(np.full(len(token), v))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([same(node), same(component), same(len(token)), pa.array(token)], names=["node", "component", "n", "token"])
+        try:
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    node, component, cells, *counts = (c[at].as_py() for c in batch.columns)
+                    token = np.frombuffer(cells, np.uint32).astype(np.int64)
+                    if counted:
+                        times = np.frombuffer(counts[0], np.uint32).astype(np.int64)
+                        turn = bw.take_ranges(np.zeros(len(times), np.int64), times)
+                        token = bw.mix(np.repeat(token, times).astype(np.uint64) * bw.BASE + turn.astype(np.uint64)).view(np.int64)
+                    same = lambda v: pa.array(np.full(len(token), v))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([same(node), same(component), same(len(token)), pa.array(token)], names=["node", "component", "n", "token"])
+        finally:
+            bw.give_back()
 
     return run
 
@@ -222,7 +236,8 @@ def prefix_pairs(open_: DataFrame, sets: DataFrame, similarity: float, counted:
     component with most of them is not joined with itself, nor is any other.
     """
     share = similarity / (1 + similarity)
-    each = open_.join(sets.select("node", "cells", "counts"), "node").select("node", "component", "cells", "counts")
+    columns = _set_columns(counted)
+    each = open_.join(sets.select("node", *columns), "node").select("node", "component", *columns)
     each = durable(each.mapInArrow(_tokens(counted), "node long, component long, n long, token long"), "tokens")
     frequent = each.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
     common = each.join(frequent, "token")
@@ -300,6 +315,7 @@ def _classified(docs: DataFrame, similarity: float, bands: int, rows: int, weigh
     if not wanted.where("doc_id IS NULL").isEmpty():
         unnamed = texts.where("doc_id IS NULL").select("doc_id", "text")
         sets = sets.unionByName(unnamed.mapInArrow(set_rows, "node long, cells binary, counts binary"))
+    sets = sets.select("node", *_set_columns(weights == "count"))
     sets = durable(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     linked = near_links(buckets.select("key", "node"), sets, similarity, weights == "count")
     plain = signed.select("doc_id", "row", "node", (F.size("keys") > 0).alias("worded"))
