@@ -69,9 +69,14 @@ def write_chunks(docs: DataFrame, flag: F.Column | None = None, chunk_bytes: int
 
     A chunk's number is fixed by the table, so later passes and repeated tasks agree on it.
     """
+    return durable(packed_chunks(docs, flag, chunk_bytes), "chunks")
+
+
+def packed_chunks(docs: DataFrame, flag: F.Column | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``write_chunks`` before it is written, for callers that write something else made of it."""
     flag = F.lit(False) if flag is None else flag
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), flag.alias("flag"), F.coalesce("text", F.lit("")).alias("text"))
-    return durable(rows.mapInArrow(pack_texts(chunk_bytes), CHUNKS), "chunks")
+    return rows.mapInArrow(pack_texts(chunk_bytes), CHUNKS)
 
 
 class Chunk:

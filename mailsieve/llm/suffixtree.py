@@ -14,7 +14,8 @@ the unigram distribution with half a count added to every known word and to one
 tried one after another until one retains nothing.
 
 Counts are gathered by ``chunks``: a chunk asks for its words, then length by length for its words after candidate
-contexts. The range of a (context, word) adds up its count and its part of the context's gains; the range of the context adds
+contexts. It carries a written state from length to length: the tokens whose contexts are still candidates, their probabilities, and sums
+of the scores of all others; so a length moves its own replies alone. The range of a (context, word) adds up its count and its part of the context's gains; the range of the context adds
 up the parts, judges, and answers the chunks that hold the context. Words, contexts and states are never collected or
 broadcast; the driver learns how many states a length has.
 
@@ -30,12 +31,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.llm import bytewords as bw
 from mailsieve.llm import chunks as ch
-from mailsieve.operators.durable import durable
+from mailsieve.operators.durable import discard, durable
 
 LEAST = 20
 GAIN, DIVERGENCE = 10.0, 0.002
@@ -44,6 +46,8 @@ MASSES = (10.0, 100.0, 1000.0, 10000.0)
 START, END = np.uint64(0x5374617274000001), np.uint64(0x456E640000000003)
 #: Kinds of replies: words, and for each length the counts and the verdicts on contexts.
 WORDS = 1
+#: So many chunks bring a range of their own, which bounds what a range holds.
+CHUNKS_A_RANGE = 2
 
 
 def kinds(depth: int) -> tuple[int, int]:
@@ -84,23 +88,49 @@ class Tree(Root):
 
 
 class Tokens:
-    """Tokens of a chunk in order, each text closed by its end symbol, with their places in the text."""
+    """A chunk's tokens in order, each text closed by its end symbol, with their places in the text; ``state`` is what else its row holds."""
 
     def __init__(self, chunk: ch.Chunk):
-        data = bw.LOWER[chunk.data]
-        start, end, first = bw.word_spans(data, chunk.offsets, bw.SPACED)
-        words = bw.word_hashes(data, start, end)
-        self.n = np.diff(first) + 1
-        self.token = np.insert(words, first[1:], END)
-        self.doc = np.repeat(np.arange(len(self.n)), self.n)
-        self.first = np.concatenate([[0], np.cumsum(self.n)])
-        self.place = np.arange(len(self.token)) - self.first[self.doc]
-        self.trained = ~chunk.flags[self.doc]
+        self.number, self.doc_ids, self.flags, self.first = chunk.number, chunk.doc_ids, chunk.flags, chunk.offsets
+        self.keys, self.ids, *self.state = ch.unpack(chunk.data)
+        self.n = np.diff(self.first)
+        self.doc = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
+        self.place = (np.arange(len(self.ids)) - self.first[self.doc]).astype(np.int32)
+        self.token = self.keys[self.ids]
+
+    @property
+    def trained(self) -> np.ndarray:
+        return ~self.flags[self.doc]
 
     def back(self, at: np.ndarray, steps: int) -> np.ndarray:
         """The symbols that many steps before the tokens ``at``, which lie at least ``steps - 1`` words into their texts."""
         return np.where(self.place[at] == steps - 1, START, self.token[np.maximum(at - steps, 0)])
 
+    def total(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Sums over texts of values of the tokens ``at``."""
+        return np.bincount(self.doc[at], values, len(self.n))
+
+    def row(self, *state: np.ndarray) -> pa.RecordBatch:
+        return token_row(self.number, self.doc_ids, self.flags, self.n, self.keys, self.ids, *state)
+
+
+def token_row(number: int, doc_ids: list, flags: np.ndarray, n: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
+    """A row of a table like that of chunks, with tokens a text for its length and packed arrays for the texts."""
+    packed = zstandard.ZstdCompressor(level=1).compress(ch.pack(*arrays))
+    columns = [[number], [doc_ids], [flags.tolist()], [n.tolist()], [packed]]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names=["chunk", "doc_ids", "flags", "lengths", "text"])
+
+
+def tokenize(chunk: ch.Chunk) -> Iterator[pa.RecordBatch]:
+    """The chunk's distinct words, sorted, and which of them each token is, so that no later pass reads texts."""
+    data = bw.LOWER[chunk.data]
+    start, end, first = bw.word_spans(data, chunk.offsets, bw.SPACED)
+    token = np.insert(bw.word_hashes(data, start, end), first[1:], END)
+    keys, ids = np.unique(token, return_inverse=True)
+    yield token_row(chunk.number, chunk.doc_ids, chunk.flags, np.diff(first) + 1, keys, ids.astype(np.uint32))
+    bw.give_back()
+
 
 def index_of(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Place of each value in a sorted table, -1 where it isn't there."""
@@ -110,64 +140,90 @@ def index_of(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
-def _before(values: np.ndarray) -> np.ndarray:
-    """The value of the token before, for tokens that aren't the first of their text."""
-    return np.concatenate([values[:1], values[:-1]])
+class Contexts:
+    """A chunk's open tokens ``at``, whose contexts of a length are candidates.
 
+    ``p`` is by the longest retained context so far. No more than ``limit`` occurrences has the context a word longer
+    than the candidate. ``common`` tells which of the chunk's words may stand in contexts of two words and more; empty
+    if all may. Tokens that aren't open any more are in the texts' sums.
+    """
 
-class Contexts:
-    """A chunk's tokens after candidate contexts of growing length; ``p`` is by the longest retained one so far."""
-
-    def __init__(self, t: Tokens, replies: dict, root: Root, depth: int):
-        """Takes the replies for the lengths up to ``depth``."""
-        self.t, self.root, self.depth = t, root, 0
-        self.known = replies[WORDS][np.searchsorted(np.unique(t.token), t.token)]
-        self.p = root.root(self.known)
-        # No more than this many occurrences has the context of each token. A start is as frequent as an end.
-        self.bound = _before(self.known)
-        self.bound[t.place == 0] = self.known[t.token == END][0]
-        self.word_bound = self.bound
-        self.at, self.context = np.arange(len(t.token)), None
-        self.keep = np.ones(len(t.token), bool)
-        for _ in range(depth):
-            self.extend()
-            self.take(replies)
-
-    def extend(self) -> None:
-        """Goes on to candidates one word longer: distinct (context, word) ``keys`` and distinct contexts ``names``."""
+    def __init__(self, t: Tokens, root: Root, depth: int):
+        self.t, self.root, self.depth = t, root, depth
+        self.common, self.n_known, self.base, self.score, self.at, self.p, self.limit = t.state
+
+    @classmethod
+    def start(cls, t: Tokens, known: np.ndarray, root: Root) -> Contexts:
+        """From the counts of the chunk's words."""
+        # A start is as frequent as an end.
+        ends = known[np.searchsorted(t.keys, END)]
+        count, every = known[t.ids], np.arange(len(t.ids))
+        bound = np.where(t.place == 0, ends, np.concatenate([count[:1], count[:-1]]))
+        p = root.root(count)
+        common = (np.append(known, ends) >= root.word_least).astype(np.uint8) if root.word_least else np.zeros(0, np.uint8)
+        base = t.total(every, np.log10(p))
+        t.state = [common, t.total(every, count > 0), base, np.zeros(len(t.n)), every.astype(np.uint32), p, bound]
+        c = cls(t, root, 0)
+        c.close(np.ones(len(every), bool), bound)
+        return c
+
+    def _usable(self, steps: int) -> np.ndarray:
+        """Whether the word that many steps before may stand in a context of two words and more."""
+        if not len(self.common):
+            return np.ones(len(self.at), bool)
+        at = self.at.astype(np.int64)
+        return self.common[np.where(self.t.place[at] == steps - 1, len(self.common) - 1, self.t.ids[np.maximum(at - steps, 0)])] > 0
+
+    def _after_open(self) -> np.ndarray:
+        """Which open tokens, beside the first, follow the one open before them directly."""
+        return np.flatnonzero(self.at[1:] == self.at[:-1] + 1) + 1
+
+    def close(self, keep: np.ndarray, bound: np.ndarray) -> None:
+        """Goes on to contexts a word longer, with ``bound`` occurrences at most, of the tokens kept; the others get their scores."""
         self.depth += 1
-        able = self.keep & (self.t.place[self.at] >= self.depth - 1) & (self.bound[self.at] >= self.root.least)
-        if self.depth > 1:
-            able &= self.word_bound[self.at] >= self.root.word_least
-        self.at = self.at[able]
-        back = self.t.back(self.at, self.depth)
-        self.context = back if self.depth == 1 else bw.mix(self.context[able] * bw.BASE + back)
-        self.keys, self.first, self.which = np.unique(bw.mix(self.context * bw.BASE + self.t.token[self.at]), return_index=True, return_inverse=True)
-        self.names, self.name = np.unique(self.context, return_inverse=True)
+        able = keep & (self.t.place[self.at] >= self.depth - 1) & (bound >= self.root.least)
+        for steps in {1: (), 2: (1, 2)}.get(self.depth, (self.depth,)):
+            able &= self._usable(steps)
+        limit, after = bound.copy(), self._after_open()
+        # What stands before the word before ends in the context of that word.
+        limit[after] = np.minimum(bound[after], bound[after - 1])
+        self.score = self.score + self.t.total(self.at[~able], np.log10(self.p[~able]))
+        self.at, self.p, self.limit = self.at[able], self.p[able], limit[able]
+
+    def find(self) -> None:
+        """The distinct (context, word) ``keys`` and distinct contexts ``names`` of the open tokens."""
+        at = self.at.astype(np.int64)
+        self.context = self.t.back(at, 1)
+        for steps in range(2, self.depth + 1):
+            self.context = bw.mix(self.context * bw.BASE + self.t.back(at, steps))
+        self.keys, self.entry, self.which = np.unique(bw.mix(self.context * bw.BASE + self.t.token[at]), return_index=True, return_inverse=True)
+        self.names, name = np.unique(self.context[self.entry], return_inverse=True)
+        self.name = name[self.which]
 
     def take(self, replies: dict) -> None:
-        """Moves ``p`` to the retained contexts of this length."""
+        """Moves ``p`` to the retained contexts of this length and goes on to the next."""
+        self.find()
         counts, verdicts = (replies.get(k, np.zeros(0, np.int64)) for k in kinds(self.depth))
         count, verdict = counts[self.which], verdicts[self.name]
         n, choice = verdict >> 3, verdict & 7
         mass = np.array([0.0, *MASSES])[choice]
         kept = choice > 0
-        own = self.p[self.at]
-        self.p[self.at] = np.where(kept, (count + mass * own) / np.maximum(n + mass, 1.0), own)
+        self.p = np.where(kept, (count + mass * self.p) / np.maximum(n + mass, 1.0), self.p)
         # The next longer context of the token after is this context and this token.
-        longer = self.bound.copy()
-        longer[self.at] = count
-        self.bound = np.minimum(self.bound, _before(longer))
-        self.word_bound = np.minimum(self.word_bound, _before(self.word_bound))
+        bound, after = self.limit.copy(), self._after_open()
+        bound[after] = np.minimum(bound[after], count[after - 1])
         # All pairs that are frequent enough are candidates, longer contexts below retained ones.
-        self.keep = kept if self.depth > 1 else np.ones(len(self.at), bool)
+        self.close(kept if self.depth > 1 else np.ones(len(kept), bool), bound)
+
+    def row(self) -> pa.RecordBatch:
+        limit = np.minimum(self.limit, np.iinfo(np.int64).max).astype(np.int64)
+        return self.t.row(self.common, self.n_known, self.base, self.score, self.at, self.p, limit)
 
 
 def token_asks(ranges: int):
     def run(chunk: ch.Chunk) -> Iterator[pa.RecordBatch]:
         t = Tokens(chunk)
-        keys, which = np.unique(t.token, return_inverse=True)
-        yield ch.ask_batch(chunk.number, ranges, keys, np.bincount(which, t.trained, len(keys)).astype(np.uint32))
+        yield ch.ask_batch(chunk.number, ranges, t.keys, np.bincount(t.ids, t.trained, len(t.keys)).astype(np.uint32))
 
     return run
 
@@ -181,16 +237,38 @@ def token_answer(arrays: list[np.ndarray]) -> tuple[np.ndarray, bytes]:
     return total[which], ch.pack(np.array([np.count_nonzero(total), total.sum()]))
 
 
+def opened(root: Root):
+    """A chunk's row with the state from which contexts of one word are sought."""
+
+    def run(chunk: ch.Chunk, replies: dict) -> Iterator[pa.RecordBatch]:
+        bw.give_back()
+        yield Contexts.start(Tokens(chunk), replies[WORDS], root).row()
+
+    return run
+
+
+def advanced(root: Root, depth: int):
+    """A chunk's row with its state after the verdicts on contexts of a length."""
+
+    def run(chunk: ch.Chunk, replies: dict) -> Iterator[pa.RecordBatch]:
+        bw.give_back()
+        c = Contexts(Tokens(chunk), root, depth)
+        c.take(replies)
+        yield c.row()
+
+    return run
+
+
 def context_asks(root: Root, depth: int, ranges: int):
     """Entries (key, trained count, the parent's probability, context); and, in ranges behind the others, the contexts alone."""
 
-    def run(chunk: ch.Chunk, replies: dict) -> Iterator[pa.RecordBatch]:
+    def run(chunk: ch.Chunk) -> Iterator[pa.RecordBatch]:
         bw.give_back()
         t = Tokens(chunk)
-        c = Contexts(t, replies, root, depth - 1)
-        c.extend()
+        c = Contexts(t, root, depth)
+        c.find()
         trained = np.bincount(c.which, t.trained[c.at], len(c.keys)).astype(np.uint32)
-        yield ch.ask_batch(chunk.number, ranges, c.keys, trained, c.p[c.at[c.first]], c.context[c.first])
+        yield ch.ask_batch(chunk.number, ranges, c.keys, trained, c.p[c.entry].astype(np.float32), c.context[c.entry])
         names = ch.ask_batch(chunk.number, ranges, c.names)
         behind = pa.array(names.column(0).to_numpy() + np.int32(ranges))
         yield pa.RecordBatch.from_arrays([behind, *names.columns[1:]], names=names.schema.names)
@@ -210,7 +288,7 @@ def context_answer(arrays: list[np.ndarray]) -> tuple[np.ndarray, bytes | None]:
     distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
     total = np.bincount(which, counts, len(distinct)).astype(np.int64)
     used = np.flatnonzero(total > 0)
-    parent = parents[first[used]]
+    parent = parents[first[used]].astype(float)
     names, at = np.unique(contexts[first[used]], return_inverse=True)
     c = total[used].astype(float)
     gains = [np.bincount(at, c * np.log((c - 1 + m * parent) / parent), len(names)) for m in MASSES]
@@ -279,39 +357,46 @@ def _sums(replies: DataFrame) -> list[int]:
 
 def grow_tree(
     table: DataFrame, ranges: int, share: float = 0.0, pair_share: float = 0.0, gain: float = GAIN, divergence: float = DIVERGENCE
-) -> tuple[Tree, list[DataFrame]]:
-    """The tree of the texts without a flag, and the answers that every chunk needs for its scores.
+) -> tuple[Tree, DataFrame]:
+    """The tree of the texts without a flag, and the written table of chunks with the state that their scores are read from.
 
     A ``share`` of the tokens raises the least occurrences of a context, a ``pair_share`` those of the words of longer ones.
+    There are at least ``ranges`` ranges, and one for every ``CHUNKS_A_RANGE`` chunks.
     """
-    words = ch.merge(ch.each_chunk(table, token_asks(ranges), ch.ASKS), WORDS, token_answer)
+    tokenized = durable(ch.each_chunk(table, tokenize, ch.CHUNKS), "tokens")
+    ranges = max(ranges, -(-tokenized.count() // CHUNKS_A_RANGE))
+    words = ch.merge(ch.each_chunk(tokenized, token_asks(ranges), ch.ASKS), WORDS, token_answer)
     _, distinct, tokens = _sums(words)
     root = Root(tokens, distinct, max(LEAST, share * tokens), pair_share * tokens)
-    replies, levels, upto, depth = [words], [], 0, 0
+    state = durable(ch.with_replies(tokenized, [words], opened(root), ch.CHUNKS), "state")
+    discard(tokenized, words)
+    levels, upto, depth = [], 0, 0
     # Both short lengths are tried whatever the first retains.
     while tokens and (depth < 2 or upto == depth):
         depth += 1
-        asks = ch.with_replies(table, replies, context_asks(root, depth, ranges), ch.ASKS)
-        after = ch.merge(asks, kinds(depth)[0], context_answer)
-        levels.append(verdicts(after, ranges, depth, root.least, gain, divergence))
-        replies += [after.where(F.col("range") < ranges), levels[-1]]
-        upto = depth if _sums(levels[-1])[0] else upto
-    return Tree(root.tokens, root.distinct, root.least, root.word_least, levels[:upto]), replies[: 1 + 2 * upto]
+        after = ch.merge(ch.each_chunk(state, context_asks(root, depth, ranges), ch.ASKS), kinds(depth)[0], context_answer)
+        judged = verdicts(after, ranges, depth, root.least, gain, divergence)
+        levels.append(judged)
+        upto = depth if _sums(judged)[0] else upto
+        if upto == depth or depth == 1:
+            before, counts = state, after.where(F.col("range") < ranges)
+            state = durable(ch.with_replies(before, [counts, judged], advanced(root, depth), ch.CHUNKS), "state")
+            discard(before)
+        discard(after)
+    discard(*levels[upto:])
+    return Tree(root.tokens, root.distinct, root.least, root.word_least, levels[:upto]), state
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_chunk(root: Root, depth: int):
-    def run(chunk: ch.Chunk, replies: dict) -> Iterator[pa.RecordBatch]:
-        bw.give_back()
+def score_chunk(root: Root):
+    def run(chunk: ch.Chunk) -> Iterator[pa.RecordBatch]:
         t = Tokens(chunk)
-        c = Contexts(t, replies, root, depth)
-        total = lambda v: np.bincount(t.doc, v, len(t.n))
-        n = len(t.n)
+        c = Contexts(t, root, 0)
         yield pa.RecordBatch.from_pydict({
-            "doc_id": pa.array(chunk.doc_ids, pa.int64()), "held_out": chunk.flags, "n_tokens": t.n.astype(np.int64), "n_known": total(c.known > 0).astype(np.int64),
-            "train_tokens": np.full(n, root.tokens), "base_score": total(np.log10(root.root(c.known))), "score": total(np.log10(c.p)),
+            "doc_id": pa.array(t.doc_ids, pa.int64()), "held_out": t.flags, "n_tokens": t.n.astype(np.int64), "n_known": c.n_known.astype(np.int64),
+            "train_tokens": np.full(len(t.n), root.tokens), "base_score": c.base, "score": c.score + t.total(c.at, np.log10(c.p)),
         })
 
     return run
@@ -321,9 +406,9 @@ def score_texts(
     docs: DataFrame, held_out: Column, share: float = 0.0, pair_share: float = 0.0, gain: float = GAIN, divergence: float = DIVERGENCE
 ) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text) from a tree of the rows that aren't held out."""
-    spark = docs.sparkSession
-    table = ch.write_chunks(docs, held_out, ch.CHUNK_BYTES)
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tree, replies = grow_tree(table, ranges, share, pair_share, gain, divergence)
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tree, state = grow_tree(ch.packed_chunks(docs, held_out), ranges, share, pair_share, gain, divergence)
     root = Root(tree.tokens, tree.distinct, tree.least, tree.word_least)
-    return durable(ch.with_replies(table, replies, score_chunk(root, len(tree.levels)), SCORES), "scores")
+    scores = durable(ch.each_chunk(state, score_chunk(root), SCORES), "scores")
+    discard(state, *tree.levels)
+    return scores
