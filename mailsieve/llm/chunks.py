@@ -39,7 +39,31 @@ def pack(*arrays: np.ndarray) -> bytes:
     return b"".join(parts)
 
 
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """``pack`` with each array compressed, as planes or as it is, whichever is shorter. No packed form starts like it."""
+    parts, packer = [b"\x00" + struct.pack("<B", len(arrays))], zstandard.ZstdCompressor(level=1)
+    for a in arrays:
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
+        forms = [packer.compress(planes), packer.compress(np.ascontiguousarray(a).tobytes())]
+        form = int(len(forms[1]) < len(forms[0]))
+        parts += [struct.pack("<2sQBQ", a.dtype.str[1:].encode(), len(a), form, len(forms[form])), forms[form]]
+    return b"".join(parts)
+
+
+def _unsqueeze(packed: bytes) -> list[np.ndarray]:
+    out, at, unpacker = [], 2, zstandard.ZstdDecompressor()
+    for _ in range(packed[1]):
+        kind, n, form, size = struct.unpack_from("<2sQBQ", packed, at)
+        dtype = np.dtype("<" + kind.decode())
+        data = np.frombuffer(unpacker.decompress(packed[at + 19 : at + 19 + size]), np.uint8)
+        out.append(data.view(dtype) if form else np.ascontiguousarray(data.reshape(dtype.itemsize, n).T).view(dtype).reshape(-1))
+        at += 19 + size
+    return out
+
+
 def unpack(packed: bytes) -> list[np.ndarray]:
+    if packed[0] == 0 and len(packed) > 1:
+        return _unsqueeze(packed)
     out, at = [], 1
     for _ in range(packed[0]):
         kind, n = struct.unpack_from("<2sQ", packed, at)
@@ -95,16 +119,16 @@ def cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, limits), [len(keys)]]).astype(np.int64)
 
 
-def ask_batch(chunk: int, ranges: int, keys: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
-    """The pieces of one chunk; ``keys`` are sorted."""
+def ask_batch(chunk: int, ranges: int, keys: np.ndarray, *values: np.ndarray, form: Callable = pack) -> pa.RecordBatch:
+    """The pieces of one chunk, packed by ``form``; ``keys`` are sorted."""
     at = cuts(keys, ranges)
     full = np.flatnonzero(at[1:] > at[:-1])
-    asks = [pack(*(v[at[r] : at[r + 1]] for v in (keys, *values))) for r in full]
+    asks = [form(*(v[at[r] : at[r + 1]] for v in (keys, *values))) for r in full]
     arrays = [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk)), pa.array(asks, pa.binary())]
     return pa.RecordBatch.from_arrays(arrays, names=["range", "chunk", "ask"])
 
 
-def merge(asks: DataFrame, kind: int, answer: Callable[[list[np.ndarray]], tuple[np.ndarray, bytes | None]]) -> DataFrame:
+def merge(asks: DataFrame, kind: int, answer: Callable[[list[np.ndarray]], tuple[np.ndarray, bytes | None]], form: Callable = pack) -> DataFrame:
     """A written table of replies. ``answer`` gets the joined arrays of a range, in order of chunks, and returns an
     array with an entry for each of theirs, and optionally a summary, kept in a row without a chunk."""
 
@@ -117,7 +141,7 @@ def merge(asks: DataFrame, kind: int, answer: Callable[[list[np.ndarray]], tuple
         reply, summary = answer([*(np.concatenate(v) for v in zip(*arrays)), chunk])
         upto = np.concatenate([[0], np.cumsum(sizes)])
         numbers = [p[0] for p in pieces]
-        packed = [pack(reply[a:b]) for a, b in zip(upto[:-1], upto[1:])]
+        packed = [form(reply[a:b]) for a, b in zip(upto[:-1], upto[1:])]
         if summary is not None:
             numbers, packed = [*numbers, None], [*packed, summary]
         n = len(numbers)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from mailsieve.llm import bytewords as bw
 from mailsieve.llm import chunks as ch
-from mailsieve.operators.durable import discard, durable
+from mailsieve.operators.durable import discard, durable, shuffles_dropped
 
 LEAST = 20
 GAIN, DIVERGENCE = 10.0, 0.002
@@ -116,7 +116,7 @@ class Tokens:
 
 def token_row(number: int, doc_ids: list, flags: np.ndarray, n: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
     """A row of a table like that of chunks, with tokens a text for its length and packed arrays for the texts."""
-    packed = zstandard.ZstdCompressor(level=1).compress(ch.pack(*arrays))
+    packed = zstandard.ZstdCompressor(level=1).compress(ch.squeeze(*arrays))
     columns = [[number], [doc_ids], [flags.tolist()], [n.tolist()], [packed]]
     kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names=["chunk", "doc_ids", "flags", "lengths", "text"])
@@ -223,7 +223,7 @@ class Contexts:
 def token_asks(ranges: int):
     def run(chunk: ch.Chunk) -> Iterator[pa.RecordBatch]:
         t = Tokens(chunk)
-        yield ch.ask_batch(chunk.number, ranges, t.keys, np.bincount(t.ids, t.trained, len(t.keys)).astype(np.uint32))
+        yield ch.ask_batch(chunk.number, ranges, t.keys, np.bincount(t.ids, t.trained, len(t.keys)).astype(np.uint32), form=ch.squeeze)
 
     return run
 
@@ -234,7 +234,7 @@ def token_answer(arrays: list[np.ndarray]) -> tuple[np.ndarray, bytes]:
     keys, counts, _ = arrays
     distinct, which = np.unique(keys, return_inverse=True)
     total = np.bincount(which, counts, len(distinct)).astype(np.int64)
-    return total[which], ch.pack(np.array([np.count_nonzero(total), total.sum()]))
+    return total[which], ch.squeeze(np.array([np.count_nonzero(total), total.sum()]))
 
 
 def opened(root: Root):
@@ -268,8 +268,8 @@ def context_asks(root: Root, depth: int, ranges: int):
         c = Contexts(t, root, depth)
         c.find()
         trained = np.bincount(c.which, t.trained[c.at], len(c.keys)).astype(np.uint32)
-        yield ch.ask_batch(chunk.number, ranges, c.keys, trained, c.p[c.entry].astype(np.float32), c.context[c.entry])
-        names = ch.ask_batch(chunk.number, ranges, c.names)
+        yield ch.ask_batch(chunk.number, ranges, c.keys, trained, c.p[c.entry].astype(np.float32), c.context[c.entry], form=ch.squeeze)
+        names = ch.ask_batch(chunk.number, ranges, c.names, form=ch.squeeze)
         behind = pa.array(names.column(0).to_numpy() + np.int32(ranges))
         yield pa.RecordBatch.from_arrays([behind, *names.columns[1:]], names=names.schema.names)
 
@@ -293,7 +293,7 @@ def context_answer(arrays: list[np.ndarray]) -> tuple[np.ndarray, bytes | None]:
     c = total[used].astype(float)
     gains = [np.bincount(at, c * np.log((c - 1 + m * parent) / parent), len(names)) for m in MASSES]
     # bincount of nothing is an array of integers.
-    return total[which], ch.pack(names, *(v.astype(float) for v in (np.bincount(at, c, len(names)), *gains)))
+    return total[which], ch.squeeze(names, *(v.astype(float) for v in (np.bincount(at, c, len(names)), *gains)))
 
 
 def _retained(names_n: np.ndarray, gains: np.ndarray, gain: float, divergence: float) -> tuple[np.ndarray, np.ndarray]:
@@ -315,7 +315,7 @@ def verdicts(after: DataFrame, ranges: int, depth: int, least: float, gain: floa
         for batch in batches:
             for from_range, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 # Numbers below zero tell parts of sums from the chunks' asks.
-                yield ch.ask_batch(-1 - from_range, ranges, *ch.unpack(packed))
+                yield ch.ask_batch(-1 - from_range, ranges, *ch.unpack(packed), form=ch.squeeze)
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         pieces = sorted(zip(rows.column("chunk").to_pylist(), rows.column("ask").to_pylist()))
@@ -328,8 +328,8 @@ def verdicts(after: DataFrame, ranges: int, depth: int, least: float, gain: floa
         names, choice = distinct[kept], best[kept]
         code = np.append(n[kept].astype(np.int64) * 8 + 1 + choice, 0)
         chunks = [c for c, _ in pieces if c >= 0]
-        packed = [ch.pack(code[index_of(names, ch.unpack(a)[0])]) for c, a in pieces if c >= 0]
-        packed.append(ch.pack(names, n[kept], np.array(MASSES)[choice]))
+        packed = [ch.squeeze(code[index_of(names, ch.unpack(a)[0])]) for c, a in pieces if c >= 0]
+        packed.append(ch.squeeze(names, n[kept], np.array(MASSES)[choice]))
         size = len(packed)
         return pa.table({
             "chunk": pa.array([*chunks, None], pa.int64()), "range": pa.array([key[0].as_py()] * size, pa.int32()),
@@ -365,7 +365,7 @@ def grow_tree(
     """
     tokenized = durable(ch.each_chunk(table, tokenize, ch.CHUNKS), "tokens")
     ranges = max(ranges, -(-tokenized.count() // CHUNKS_A_RANGE))
-    words = ch.merge(ch.each_chunk(tokenized, token_asks(ranges), ch.ASKS), WORDS, token_answer)
+    words = ch.merge(ch.each_chunk(tokenized, token_asks(ranges), ch.ASKS), WORDS, token_answer, ch.squeeze)
     _, distinct, tokens = _sums(words)
     root = Root(tokens, distinct, max(LEAST, share * tokens), pair_share * tokens)
     state = durable(ch.with_replies(tokenized, [words], opened(root), ch.CHUNKS), "state")
@@ -374,7 +374,7 @@ def grow_tree(
     # Both short lengths are tried whatever the first retains.
     while tokens and (depth < 2 or upto == depth):
         depth += 1
-        after = ch.merge(ch.each_chunk(state, context_asks(root, depth, ranges), ch.ASKS), kinds(depth)[0], context_answer)
+        after = ch.merge(ch.each_chunk(state, context_asks(root, depth, ranges), ch.ASKS), kinds(depth)[0], context_answer, ch.squeeze)
         judged = verdicts(after, ranges, depth, root.least, gain, divergence)
         levels.append(judged)
         upto = depth if _sums(judged)[0] else upto
@@ -406,9 +406,11 @@ def score_texts(
     docs: DataFrame, held_out: Column, share: float = 0.0, pair_share: float = 0.0, gain: float = GAIN, divergence: float = DIVERGENCE
 ) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text) from a tree of the rows that aren't held out."""
-    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tree, state = grow_tree(ch.packed_chunks(docs, held_out), ranges, share, pair_share, gain, divergence)
-    root = Root(tree.tokens, tree.distinct, tree.least, tree.word_least)
-    scores = durable(ch.each_chunk(state, score_chunk(root), SCORES), "scores")
+    spark = docs.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with shuffles_dropped(spark):
+        tree, state = grow_tree(ch.packed_chunks(docs, held_out), ranges, share, pair_share, gain, divergence)
+        root = Root(tree.tokens, tree.distinct, tree.least, tree.word_least)
+        scores = durable(ch.each_chunk(state, score_chunk(root), SCORES), "scores")
     discard(state, *tree.levels)
     return scores
