@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +45,18 @@ GAIN, DIVERGENCE = 10.0, 0.002
 MASSES = (10.0, 100.0, 1000.0, 10000.0)
 #: Names of the symbols at the start and the end of a text, which no word has but by chance.
 START, END = np.uint64(0x5374617274000001), np.uint64(0x456E640000000003)
-#: Kinds of replies: words, and for each length the counts and the verdicts on contexts.
+#: Kinds of replies: words, and for each part of a length the counts and the verdicts on contexts.
 WORDS = 1
 #: So many chunks bring a range of their own, which bounds what a range holds.
 CHUNKS_A_RANGE = 2
 
 
-def kinds(depth: int) -> tuple[int, int]:
-    return 2 * depth, 2 * depth + 1
+#: Nearly every token has short contexts. They are asked for in this many parts by their names, so that only a part is shuffled at a time.
+PARTS = {1: 3, 2: 2}
+
+
+def kinds(part: int) -> tuple[int, int]:
+    return 2 * part + 2, 2 * part + 3
 
 
 @dataclass
@@ -69,9 +74,10 @@ class Root:
 
 @dataclass
 class Tree(Root):
-    """The root and the written verdicts on contexts, one table for each length that has states."""
+    """The root and the verdicts on contexts, one table for each length that has states; ``tables`` are the written ones behind them."""
 
     levels: list[DataFrame] = field(default_factory=list)
+    tables: list[DataFrame] = field(default_factory=list)
 
     def states(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Names, occurrences and masses of the states of a length. Collects them: for looking at small trees."""
@@ -190,21 +196,31 @@ class Contexts:
         self.score = self.score + self.t.total(self.at[~able], np.log10(self.p[~able]))
         self.at, self.p, self.limit = self.at[able], self.p[able], limit[able]
 
-    def find(self) -> None:
-        """The distinct (context, word) ``keys`` and distinct contexts ``names`` of the open tokens."""
+    def contexts(self) -> np.ndarray:
+        """Names of the open tokens' contexts."""
         at = self.at.astype(np.int64)
-        self.context = self.t.back(at, 1)
+        found = self.t.back(at, 1)
         for steps in range(2, self.depth + 1):
-            self.context = bw.mix(self.context * bw.BASE + self.t.back(at, steps))
-        self.keys, self.entry, self.which = np.unique(bw.mix(self.context * bw.BASE + self.t.token[at]), return_index=True, return_inverse=True)
-        self.names, name = np.unique(self.context[self.entry], return_inverse=True)
+            found = bw.mix(found * bw.BASE + self.t.back(at, steps))
+        return found
+
+    def find(self, contexts: np.ndarray, part: int) -> None:
+        """The distinct (context, word) ``keys`` and distinct contexts ``names`` of the open tokens ``mine``, whose contexts are of a part."""
+        self.mine = np.flatnonzero(contexts % np.uint64(PARTS.get(self.depth, 1)) == part)
+        context = contexts[self.mine]
+        self.keys, entry, self.which = np.unique(bw.mix(context * bw.BASE + self.t.token[self.at[self.mine]]), return_index=True, return_inverse=True)
+        self.entry, self.context = self.mine[entry], context[entry]
+        self.names, name = np.unique(self.context, return_inverse=True)
         self.name = name[self.which]
 
     def take(self, replies: dict) -> None:
         """Moves ``p`` to the retained contexts of this length and goes on to the next."""
-        self.find()
-        counts, verdicts = (replies.get(k, np.zeros(0, np.int64)) for k in kinds(self.depth))
-        count, verdict = counts[self.which], verdicts[self.name]
+        contexts = self.contexts()
+        count, verdict = np.zeros(len(self.at), np.int64), np.zeros(len(self.at), np.int64)
+        for part in range(PARTS.get(self.depth, 1)):
+            self.find(contexts, part)
+            counts, verdicts = (replies.get(k, np.zeros(0, np.int64)) for k in kinds(part))
+            count[self.mine], verdict[self.mine] = counts[self.which], verdicts[self.name]
         n, choice = verdict >> 3, verdict & 7
         mass = np.array([0.0, *MASSES])[choice]
         kept = choice > 0
@@ -259,16 +275,16 @@ def advanced(root: Root, depth: int):
     return run
 
 
-def context_asks(root: Root, depth: int, ranges: int):
+def context_asks(root: Root, depth: int, part: int, ranges: int):
     """Entries (key, trained count, the parent's probability, context); and, in ranges behind the others, the contexts alone."""
 
     def run(chunk: ch.Chunk) -> Iterator[pa.RecordBatch]:
         bw.give_back()
         t = Tokens(chunk)
         c = Contexts(t, root, depth)
-        c.find()
-        trained = np.bincount(c.which, t.trained[c.at], len(c.keys)).astype(np.uint32)
-        yield ch.ask_batch(chunk.number, ranges, c.keys, trained, c.p[c.entry].astype(np.float32), c.context[c.entry], form=ch.squeeze)
+        c.find(c.contexts(), part)
+        trained = np.bincount(c.which, t.trained[c.at[c.mine]], len(c.keys)).astype(np.uint32)
+        yield ch.ask_batch(chunk.number, ranges, c.keys, trained, c.p[c.entry].astype(np.float32), c.context, form=ch.squeeze)
         names = ch.ask_batch(chunk.number, ranges, c.names, form=ch.squeeze)
         behind = pa.array(names.column(0).to_numpy() + np.int32(ranges))
         yield pa.RecordBatch.from_arrays([behind, *names.columns[1:]], names=names.schema.names)
@@ -305,7 +321,7 @@ def _retained(names_n: np.ndarray, gains: np.ndarray, gain: float, divergence: f
     return (won > gain) & (won > divergence * names_n), best
 
 
-def verdicts(after: DataFrame, ranges: int, depth: int, least: float, gain: float, divergence: float) -> DataFrame:
+def verdicts(after: DataFrame, ranges: int, part: int, least: float, gain: float, divergence: float) -> DataFrame:
     """A written table of replies: for each context a chunk asked for 8 * occurrences + 1 + which mass, 0 where it isn't retained.
 
     The summary of a range has names, occurrences and masses of its states.
@@ -333,7 +349,7 @@ def verdicts(after: DataFrame, ranges: int, depth: int, least: float, gain: floa
         size = len(packed)
         return pa.table({
             "chunk": pa.array([*chunks, None], pa.int64()), "range": pa.array([key[0].as_py()] * size, pa.int32()),
-            "kind": pa.array([kinds(depth)[1]] * size, pa.int32()), "reply": pa.array(packed, pa.binary()),
+            "kind": pa.array([kinds(part)[1]] * size, pa.int32()), "reply": pa.array(packed, pa.binary()),
         })
 
     sums = after.where("chunk IS NULL").select("range", "reply").mapInArrow(deal, ch.ASKS)
@@ -370,21 +386,23 @@ def grow_tree(
     root = Root(tokens, distinct, max(LEAST, share * tokens), pair_share * tokens)
     state = durable(ch.with_replies(tokenized, [words], opened(root), ch.CHUNKS), "state")
     discard(tokenized, words)
-    levels, upto, depth = [], 0, 0
+    levels, tables, upto, depth = [], [], 0, 0
     # Both short lengths are tried whatever the first retains.
     while tokens and (depth < 2 or upto == depth):
         depth += 1
-        after = ch.merge(ch.each_chunk(state, context_asks(root, depth, ranges), ch.ASKS), kinds(depth)[0], context_answer, ch.squeeze)
-        judged = verdicts(after, ranges, depth, root.least, gain, divergence)
-        levels.append(judged)
-        upto = depth if _sums(judged)[0] else upto
+        counted, judged = [], []
+        for part in range(PARTS.get(depth, 1)):
+            counted.append(ch.merge(ch.each_chunk(state, context_asks(root, depth, part, ranges), ch.ASKS), kinds(part)[0], context_answer, ch.squeeze))
+            judged.append(verdicts(counted[-1], ranges, part, root.least, gain, divergence))
+        tables += judged
+        levels.append(reduce(DataFrame.unionByName, judged))
+        upto = depth if _sums(levels[-1])[0] else upto
         if upto == depth or depth == 1:
-            before, counts = state, after.where(F.col("range") < ranges)
-            state = durable(ch.with_replies(before, [counts, judged], advanced(root, depth), ch.CHUNKS), "state")
+            before, counts = state, [t.where(F.col("range") < ranges) for t in counted]
+            state = durable(ch.with_replies(before, [*counts, *judged], advanced(root, depth), ch.CHUNKS), "state")
             discard(before)
-        discard(after)
-    discard(*levels[upto:])
-    return Tree(root.tokens, root.distinct, root.least, root.word_least, levels[:upto]), state
+        discard(*counted)
+    return Tree(root.tokens, root.distinct, root.least, root.word_least, levels[:upto], tables), state
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -412,5 +430,5 @@ def score_texts(
         tree, state = grow_tree(ch.packed_chunks(docs, held_out), ranges, share, pair_share, gain, divergence)
         root = Root(tree.tokens, tree.distinct, tree.least, tree.word_least)
         scores = durable(ch.each_chunk(state, score_chunk(root), SCORES), "scores")
-    discard(state, *tree.levels)
+    discard(state, *tree.tables)
     return scores
