@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailsieve.functions.text import text_or_nan
+from mailsieve.sources.splitcsv import PACKED_SUFFIX, files_of, scan_split_csv
 
 DEFAULT_TEXT = "Email Text"
 DEFAULT_LABEL = "Email Type"
@@ -27,14 +28,17 @@ def scan_corpus(
 ) -> DataFrame:
     """Scan a corpus; CSV fields may hold quotes and, with ``multi_line``, line breaks.
 
-    A CSV file with line breaks inside fields can't be split and is one task. Convert large ones to
-    parquet once, or keep them in many files.
+    With line breaks inside fields a first scan finds where records begin, so that large files are many tasks
+    (``splitcsv``). Where a packed file is among them it can't be cut, and each file is one task.
     """
     if fmt != "csv":
         reader = spark.read.format(fmt)
         return (reader.schema(schema) if schema is not None else reader).load(path)
+    schema = schema if schema is not None else corpus_schema()
+    if multi_line and files_of(spark, path).where(F.col("path").rlike(PACKED_SUFFIX)).isEmpty():
+        return scan_split_csv(spark, path, schema)
     return (
-        spark.read.schema(schema if schema is not None else corpus_schema())
+        spark.read.schema(schema)
         .option("header", True)
         .option("multiLine", multi_line)
         .option("quote", '"')
