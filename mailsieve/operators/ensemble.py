@@ -25,6 +25,13 @@ def failed_documents(predictions: DataFrame, id_col: str = "doc_id") -> DataFram
     return predictions.groupBy(id_col).agg(F.count("prob").alias("answered")).where("answered = 0").select(id_col)
 
 
+def failure_reasons(predictions: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, failures): ``model=error`` of the members that failed, by name, for documents with any."""
+    named = F.concat_ws("=", "model", "error")
+    failed = predictions.where(F.col("prob").isNull() & F.col("error").isNotNull())
+    return failed.groupBy(id_col).agg(F.array_join(F.array_sort(F.collect_list(named)), "; ").alias("failures"))
+
+
 def member_votes(
     predictions: DataFrame, thresholds: dict[str, float] | None = None, default: float = DEFAULT_THRESHOLD
 ) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.common import _py2java
@@ -290,3 +291,110 @@ def predict_by_model(
         df = scorers[name](df, f"prob_{name}")
     members = [F.struct(F.lit(m).alias("model"), F.col(f"prob_{m}").alias("prob")) for m in models]
     return df.select(id_col, F.inline(F.array(*members)))
+
+
+@dataclass(frozen=True)
+class TextScorer:
+    """A member that is a Python function from a list of texts to their probabilities of class 1.
+
+    A text's result may not depend on the other texts of its call, because a call that raises is made again in parts.
+    """
+
+    fn: Callable[[list[str]], np.ndarray]
+
+
+def _reason(error: Exception) -> str:
+    """The first line of an error, after its type."""
+    text = str(error).strip()
+    return f"{type(error).__name__}: {text.splitlines()[0]}" if text else type(error).__name__
+
+
+def isolated_scores(fn: Callable[[list[str]], np.ndarray], texts: list[str]) -> tuple[list[float | None], list[str | None]]:
+    """(probabilities, errors), one of either null for every text.
+
+    A call that raises is halved until the texts that raise stand alone, so a few of them cost a few calls more and the
+    others keep their scores. A result of another shape is an error of the whole call, one outside 0 to 1 of its text.
+    """
+    probs: list[float | None] = [None] * len(texts)
+    errors: list[str | None] = [None] * len(texts)
+    parts = [(0, len(texts))] if texts else []
+    while parts:
+        a, b = parts.pop()
+        try:
+            found = np.asarray(fn(texts[a:b]), dtype=float)
+            if found.ndim == 2 and found.shape == (b - a, 2):
+                found = found[:, 1]
+            if found.shape != (b - a,):
+                raise ValueError(f"scorer returned shape {found.shape} for {b - a} texts")
+        except Exception as error:
+            if b - a > 1:
+                middle = (a + b) // 2
+                parts += [(middle, b), (a, middle)]
+            else:
+                errors[a] = _reason(error)
+            continue
+        for k, p in enumerate(found.tolist()):
+            if 0.0 <= p <= 1.0:
+                probs[a + k] = p
+            else:
+                errors[a + k] = f"ValueError: {p} is no probability"
+    return probs, errors
+
+
+def predict_members(
+    df: DataFrame,
+    members: dict[str, Scorer | TextScorer],
+    id_col: str = "doc_id",
+    text: str = "clean",
+    batch_size: int = BATCH_SIZE,
+) -> DataFrame:
+    """(id, model, prob, error): every member over the same rows in one pass, none of them able to fail the others.
+
+    A ``TextScorer`` that raises has a null ``prob`` and the reason in ``error`` for the rows it raises on; a scorer over
+    DataFrames that can't be applied has both for all rows. Texts that are null reach a ``TextScorer`` as empty. Without
+    members there are no rows. ``ensemble`` takes null probabilities as members that didn't answer.
+    """
+    python = {name: m.fn for name, m in members.items() if isinstance(m, TextScorer)}
+    built: dict[str, str | None] = {}
+    rows = df
+    columns = {name: f"_member_{k}" for k, name in enumerate(members)}
+    for name, member in members.items():
+        if name in python:
+            continue
+        try:
+            rows = member(rows, columns[name])
+            built[name] = None
+        except Exception as error:
+            built[name] = _reason(error)
+    none = F.lit(None)
+    results = [
+        F.struct(
+            F.lit(name).alias("model"),
+            (F.col(columns[name]) if error is None else none).cast("double").alias("prob"),
+            (none if error is None else F.lit(error)).cast("string").alias("error"),
+        )
+        for name, error in built.items()
+    ]
+    kind = "array<struct<model:string,prob:double,error:string>>"
+    ready = rows.select(id_col, F.coalesce(text, F.lit("")).alias("_text"), F.array(*results).cast(kind).alias("_done"))
+    if not python:
+        return ready.select(id_col, F.inline("_done"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)
+                texts = part.column(1).to_pylist()
+                flat = [x for fn in python.values() for x in isolated_scores(fn, texts)]
+                arrays = [pa.array(x, pa.string() if k % 2 else pa.float64()) for k, x in enumerate(flat)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *arrays], names=schema.fieldNames())
+
+    schema = T.StructType([df.schema[id_col], T.StructField("_done", ready.schema["_done"].dataType)])
+    for k in range(len(python)):
+        schema = schema.add(f"_p{k}", "double").add(f"_e{k}", "string")
+    scored = ready.mapInArrow(run, schema)
+    late = [
+        F.struct(F.lit(name).alias("model"), F.col(f"_p{k}").alias("prob"), F.col(f"_e{k}").alias("error"))
+        for k, name in enumerate(python)
+    ]
+    return scored.select(id_col, F.inline(F.concat("_done", F.array(*late).cast(kind))))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from mailsieve.functions import scores as sc
 from mailsieve.functions.hashing import md5_int, md5_key
 from mailsieve.operators import ensemble as en
+from mailsieve.operators.durable import durable
+from mailsieve.operators.scoring import TextScorer, predict_members
 from mailsieve.plans import fixtures as fx
 from mailsieve.plans import sql as S
 from mailsieve.plans.model_queries import _THRESHOLD_SQL, THRESHOLDS
@@ -142,3 +145,68 @@ def skip_failed_members(spark, sf):
         (F.col("asked") - count).alias("failed"),
         F.coalesce("nothing", F.lit(0)).alias("nothing"),
     )
+
+
+def _by_length(texts: list[str]) -> np.ndarray:
+    return np.array([len(t) % 97 / 97 for t in texts])
+
+
+def _fussy(texts: list[str]) -> np.ndarray:
+    """Raises on every call that holds a text of certain lengths."""
+    if any(len(t) % 7 == 3 for t in texts):
+        raise ValueError("unreadable text\nat some place")
+    return np.array([[1 - len(t) % 89 / 89, len(t) % 89 / 89] for t in texts])
+
+
+def _loose(texts: list[str]) -> np.ndarray:
+    """Sometimes answers with something that is no probability."""
+    return np.array([-1.0 if len(t) % 11 == 0 else len(t) % 11 / 11 for t in texts])
+
+
+def _hashed(df, out):
+    return df.withColumn(out, md5_int(F.md5(F.coalesce("text", F.lit(""))), 4) / F.lit(65536.0))
+
+
+def _unloadable(df, out):
+    raise FileNotFoundError("no weights")
+
+
+_MEMBERS = {
+    "hashed": _hashed, "length": TextScorer(_by_length), "fussy": TextScorer(_fussy),
+    "loose": TextScorer(_loose), "unloadable": _unloadable,
+}
+
+_MEMBERS_SQL = f"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+    answers AS (
+        SELECT doc_id, 'hashed' AS model, {S.md5_int("md5(text)", 1, 4)} / 65536.0::DOUBLE AS prob, NULL AS error FROM t
+        UNION ALL SELECT doc_id, 'length', n % 97 / 97.0::DOUBLE, NULL FROM t
+        UNION ALL SELECT doc_id, 'fussy', CASE WHEN n % 7 <> 3 THEN n % 89 / 89.0::DOUBLE END,
+            CASE WHEN n % 7 = 3 THEN 'ValueError: unreadable text' END FROM t
+        UNION ALL SELECT doc_id, 'loose', CASE WHEN n % 11 <> 0 THEN n % 11 / 11.0::DOUBLE END,
+            CASE WHEN n % 11 = 0 THEN 'ValueError: -1.0 is no probability' END FROM t
+        UNION ALL SELECT doc_id, 'unloadable', NULL, 'FileNotFoundError: no weights' FROM t)"""
+
+
+@query("predict_members", f"{_MEMBERS_SQL} SELECT doc_id, model, round(prob, 6) AS prob, error FROM answers")
+def predict_members_query(spark, sf):
+    """Five members over every document, three of which fail now and then or always."""
+    scored = predict_members(fx.table(spark, sf, "documents"), _MEMBERS, text="text")
+    return scored.select("doc_id", "model", F.round("prob", 6).alias("prob"), "error")
+
+
+@query(
+    "vote_despite_failures",
+    f"""{_MEMBERS_SQL} SELECT v.doc_id, round(p, 6) AS probability, (2 * votes > n)::INTEGER AS prediction, n AS answered, failures
+    FROM (SELECT doc_id, round(avg(prob), 9) AS p, sum((prob > 0.5)::BIGINT)::BIGINT AS votes, count(*) AS n
+          FROM answers WHERE prob IS NOT NULL GROUP BY doc_id) v
+    JOIN (SELECT doc_id, string_agg(model || '=' || error, '; ' ORDER BY model) AS failures
+          FROM answers WHERE error IS NOT NULL GROUP BY doc_id) f USING (doc_id)""",
+)
+def vote_despite_failures(spark, sf):
+    """The majority of the members that answered, and what the others failed on."""
+    scored = durable(predict_members(fx.table(spark, sf, "documents"), _MEMBERS, text="text"), "members")
+    voted = en.majority_vote(scored).select(
+        "doc_id", F.round(F.round("probability", 9), 6).alias("probability"), "prediction", F.size("members").cast("long").alias("answered")
+    )
+    return voted.join(en.failure_reasons(scored), "doc_id")

@@ -12,7 +12,9 @@ A cut sums up to two bits. A record belongs to the cut that holds its first byte
 finish it. Records then go whole through Spark's own CSV parser, so fields, nulls and types are those of the plain reader.
 
 Defined cases: records end at LF or CRLF (a lone CR is text); line breaks inside fields stay as they are, where Spark's own
-reader turns CRLF to LF in files whose first line ends so; blank lines are passed over; empty files give no rows; each file's first record is its header; quotes are escaped by doubling; text is UTF-8, with or without a byte order mark.
+reader turns CRLF to LF in files whose first line ends so; blank lines are passed over, and a file's first cut has more than
+those; empty files give no rows; each file's first record is its header; quotes are escaped by doubling; text is UTF-8, with
+or without a byte order mark.
 """
 
 from __future__ import annotations
