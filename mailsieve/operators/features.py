@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,16 +185,52 @@ def term_frequencies(
     return hits.select(id_col, "term", *extra, "tf")
 
 
+def tfidf_vectors(weights: TermWeights, out: str = "tfidf") -> PipelineModel:
+    """Transformer from ``terms`` to unit-length TF-IDF vectors, row by row inside the JVM.
+
+    The vocabulary (at most ``weights.size`` terms) is the model and lives on the driver.
+    """
+    if weights.size > BROADCAST_ROWS:
+        raise ValueError("vocabulary too large for a model")
+    rows = weights.table.orderBy(F.desc("tf"), "term").collect()
+    return PipelineModel(
+        [
+            CountVectorizerModel.from_vocabulary([r.term for r in rows], "terms", f"{out}_counts"),
+            ElementwiseProduct(
+                scalingVec=Vectors.dense([r.idf for r in rows]),
+                inputCol=f"{out}_counts",
+                outputCol=f"{out}_raw",
+            ),
+            Normalizer(p=2.0, inputCol=f"{out}_raw", outputCol=out),
+        ]
+    )
+
+
 def tfidf(
     df: DataFrame, weights: TermWeights, id_col: str = "doc_id", clean: str = "clean"
 ) -> DataFrame:
     """(id, term, tf, tfidf): tf x idf with unit length per document.
 
-    Only looked-up terms meet by document, for the norm.
+    A vocabulary that fits a broadcast is looked up inside the row, where the norm is taken too, so only hits leave the
+    row and nothing is shuffled for them. Beyond that terms are joined, and the hits of a document meet for the norm.
     """
-    raw = term_frequencies(df, weights, id_col, clean).withColumn("x", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(id_col)))
-    return raw.select(id_col, "term", "tf", (F.col("x") / norm).alias("tfidf"))
+    if weights.size > BROADCAST_ROWS:
+        raw = term_frequencies(df, weights, id_col, clean).withColumn("x", F.col("tf") * F.col("idf"))
+        norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(id_col)))
+        return raw.select(id_col, "term", "tf", (F.col("x") / norm).alias("tfidf"))
+    if weights.table.isEmpty():
+        return df.select(id_col, F.lit("").alias("term"), F.lit(0).cast("long").alias("tf"), F.lit(0.0).alias("tfidf")).where("false")
+    vectors = tfidf_vectors(weights)
+    added = vectors.transform(with_terms(df.select(id_col, F.coalesce(clean, F.lit("")).alias(clean)), clean))
+    counts, lengths = F.unwrap_udt("tfidf_counts"), F.unwrap_udt("tfidf")
+    hits = F.arrays_zip(
+        counts.getField("indices").alias("i"), counts.getField("values").alias("tf"), lengths.getField("values").alias("tfidf")
+    )
+    rows = explode_rows(added.select(id_col, hits.alias("hits")), "hits", "h", id_col)
+    # At most BROADCAST_ROWS rows.
+    named = df.sparkSession.createDataFrame(list(enumerate(vectors.stages[0].vocabulary)), "i int, term string")
+    hits = rows.select(id_col, "h.i", F.col("h.tf").cast("long").alias("tf"), "h.tfidf")
+    return hits.join(F.broadcast(named), "i").select(id_col, "term", "tf", "tfidf")
 
 
 def seq_vocab(

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.common import _py2java
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +30,7 @@ from mailsieve.operators.features import (
     fit_idf,
     scaler_fit,
     scaler_transform,
+    tfidf_vectors,
     with_terms,
 )
 from mailsieve.operators.joins import BROADCAST_ROWS, bounded_lookup
@@ -42,29 +43,10 @@ BATCH_SIZE = 32
 Scorer = Callable[[DataFrame, str], DataFrame]
 
 
-def tfidf_vectors(weights: TermWeights, out: str = "tfidf") -> PipelineModel:
-    """Transformer from ``terms`` to unit-length TF-IDF vectors, row by row inside the JVM.
-
-    The vocabulary (at most ``weights.size`` terms) is the model and lives on the driver.
-    """
-    if weights.size > BROADCAST_ROWS:
-        raise ValueError("vocabulary too large for a model")
-    rows = weights.table.orderBy(F.desc("tf"), "term").collect()
-    return PipelineModel(
-        [
-            CountVectorizerModel.from_vocabulary([r.term for r in rows], "terms", f"{out}_counts"),
-            ElementwiseProduct(
-                scalingVec=Vectors.dense([r.idf for r in rows]),
-                inputCol=f"{out}_counts",
-                outputCol=f"{out}_raw",
-            ),
-            Normalizer(p=2.0, inputCol=f"{out}_raw", outputCol=out),
-        ]
-    )
-
-
 def _add_tfidf(df: DataFrame, vectors: PipelineModel) -> DataFrame:
-    return vectors.transform(with_terms(df)).drop("terms", "tfidf_counts", "tfidf_raw")
+    """``tfidf``: the vector of ``clean``; a null text has no terms."""
+    terms = with_terms(df).withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    return vectors.transform(terms).drop("terms", "tfidf_counts", "tfidf_raw")
 
 
 class FittedLR(LogisticRegressionModel):

@@ -65,16 +65,34 @@ def test_tfidf_rows_have_unit_length_and_match_vectors(spark, sf, train):
     assert both.where("abs(t - s) > 1e-9").count() == 0
 
 
-def test_tfidf_needs_one_shuffle_of_the_text(spark, sf, train, capsys):
+def test_tfidf_needs_no_shuffle(spark, sf, train, capsys):
     weights = ft.fit_idf(train, 500)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", fx.clean_text("text").alias("clean"))
     ft.tfidf(docs, weights).explain()
     plan = capsys.readouterr().out
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Exchange hashpartitioning") == 0
     assert "BroadcastHashJoin" in plan
     assert "size(regexp_extract_all" not in plan
 
 
+def test_tfidf_by_rows_equals_tfidf_by_joins(spark, sf, train, monkeypatch):
+    weights = ft.fit_idf(train, 500)
+    docs = fx.message_clean(spark, sf)
+    keys = ["doc_id", "term", "tf", F.round("tfidf", 9).alias("x")]
+    inside = ft.tfidf(docs, weights).select(*keys)
+    monkeypatch.setattr(ft, "BROADCAST_ROWS", 499)
+    joined = ft.tfidf(docs, weights).select(*keys)
+    assert inside.count() == joined.count() and inside.exceptAll(joined).isEmpty()
+
+
+def test_tfidf_of_nothing(spark, sf, train):
+    weights = ft.fit_idf(train, 50)
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, "zzqq")], "doc_id long, clean string")
+    assert ft.tfidf(docs, weights).count() == 0
+    empty = ft.TermWeights(weights.table.where("false"), 50)
+    assert ft.tfidf(fx.message_clean(spark, sf), empty).count() == 0
+
+
 def test_idf_formula(train):
     n = train.count()
     for r in ft.fit_idf(train, 50).table.collect():

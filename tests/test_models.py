@@ -175,3 +175,9 @@ def test_stream_scores_like_the_batch(spark, sf, tfidf_lr, tmp_path):
     both = got.join(batch, "doc_id")
     assert both.count() == docs.count()
     assert both.where("abs(prob - p) > 1e-12").count() == 0
+
+
+def test_null_text_is_scored_like_an_empty_one(spark, tfidf_lr):
+    docs = spark.createDataFrame([(1, None), (2, "")], "doc_id bigint, clean string")
+    a, b = (r.prob for r in tfidf_lr(docs).collect())
+    assert a == b
