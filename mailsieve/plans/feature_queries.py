@@ -23,8 +23,7 @@ def word_tokens(spark, sf):
     with_views("SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term"),
 )
 def ngrams_1_2(spark, sf):
-    terms = ft.ngrams_1_2(fx.message_clean(spark, sf))
-    return terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return ft.ngrams_1_2(fx.message_clean(spark, sf), counted=True)
 
 
 @query("vocab_topk", with_views("SELECT term, tf::BIGINT AS tf, df::BIGINT AS df FROM vocab"))
