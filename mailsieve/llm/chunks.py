@@ -25,6 +25,8 @@ from mailsieve.llm import bytewords as bw
 from mailsieve.operators.durable import durable
 
 CHUNK_BYTES = 1 << 22
+#: Entries of an array that tell in which form it is compressed.
+TRIED = 1 << 12
 CHUNKS = "chunk long, doc_ids array<long>, flags array<boolean>, lengths array<long>, text binary"
 ASKS = "range int, chunk long, ask binary"
 REPLIES = "chunk long, range int, kind int, reply binary"
@@ -35,18 +37,35 @@ def pack(*arrays: np.ndarray) -> bytes:
     parts = [struct.pack("<B", len(arrays))]
     for a in arrays:
         parts.append(struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)))
-        parts.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
+        parts.append(_planes(np.ascontiguousarray(a)).tobytes())
     return b"".join(parts)
 
 
+def _planes(a: np.ndarray) -> np.ndarray:
+    """Planes of equal bytes, copied plane by plane, which is faster than the transposed copy."""
+    held = a.view(np.uint8).reshape(len(a), a.dtype.itemsize)
+    out = np.empty(held.shape[::-1], np.uint8)
+    for k in range(a.dtype.itemsize):
+        out[k] = held[:, k]
+    return out
+
+
+def _of_planes(data: np.ndarray, dtype: np.dtype, n: int) -> np.ndarray:
+    out = np.empty((n, dtype.itemsize), np.uint8)
+    for k in range(dtype.itemsize):
+        out[:, k] = data[k * n : (k + 1) * n]
+    return out.view(dtype).reshape(-1)
+
+
 def squeeze(*arrays: np.ndarray) -> bytes:
-    """``pack`` with each array compressed, as planes or as it is, whichever is shorter. No packed form starts like it."""
+    """``pack`` with each array compressed, as planes or as it is, whichever is shorter for ``TRIED`` entries. No packed form starts like it."""
     parts, packer = [b"\x00" + struct.pack("<B", len(arrays))], zstandard.ZstdCompressor(level=1)
-    for a in arrays:
-        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
-        forms = [packer.compress(planes), packer.compress(np.ascontiguousarray(a).tobytes())]
-        form = int(len(forms[1]) < len(forms[0]))
-        parts += [struct.pack("<2sQBQ", a.dtype.str[1:].encode(), len(a), form, len(forms[form])), forms[form]]
+    for a in map(np.ascontiguousarray, arrays):
+        part = a[(len(a) - TRIED) // 2 :][:TRIED] if len(a) > TRIED else a
+        tried = [packer.compress(_planes(part)), packer.compress(part)]
+        form = int(len(tried[1]) <= len(tried[0]))
+        held = tried[form] if len(part) == len(a) else packer.compress(a if form else _planes(a))
+        parts += [struct.pack("<2sQBQ", a.dtype.str[1:].encode(), len(a), form, len(held)), held]
     return b"".join(parts)
 
 
@@ -56,7 +75,7 @@ def _unsqueeze(packed: bytes) -> list[np.ndarray]:
         kind, n, form, size = struct.unpack_from("<2sQBQ", packed, at)
         dtype = np.dtype("<" + kind.decode())
         data = np.frombuffer(unpacker.decompress(packed[at + 19 : at + 19 + size]), np.uint8)
-        out.append(data.view(dtype) if form else np.ascontiguousarray(data.reshape(dtype.itemsize, n).T).view(dtype).reshape(-1))
+        out.append(data.view(dtype) if form else _of_planes(data, dtype, n))
         at += 19 + size
     return out
 
@@ -69,7 +88,7 @@ def unpack(packed: bytes) -> list[np.ndarray]:
         kind, n = struct.unpack_from("<2sQ", packed, at)
         dtype = np.dtype("<" + kind.decode())
         planes = np.frombuffer(packed, np.uint8, n * dtype.itemsize, at + 10)
-        out.append(np.ascontiguousarray(planes.reshape(dtype.itemsize, n).T).view(dtype).reshape(-1))
+        out.append(_of_planes(planes, dtype, n))
         at += 10 + n * dtype.itemsize
     return out
 

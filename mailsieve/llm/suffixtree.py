@@ -94,27 +94,28 @@ class Tree(Root):
 
 
 class Tokens:
-    """A chunk's tokens in order, each text closed by its end symbol, with their places in the text; ``state`` is what else its row holds."""
+    """A chunk's tokens in order, each text closed by its end symbol; ``state`` is what else its row holds.
+
+    Only tokens that are asked for are looked up, so a length with few open ones costs little more than them.
+    """
 
     def __init__(self, chunk: ch.Chunk):
         self.number, self.doc_ids, self.flags, self.first = chunk.number, chunk.doc_ids, chunk.flags, chunk.offsets
         self.keys, self.ids, *self.state = ch.unpack(chunk.data)
         self.n = np.diff(self.first)
-        self.doc = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
-        self.place = (np.arange(len(self.ids)) - self.first[self.doc]).astype(np.int32)
-        self.token = self.keys[self.ids]
 
-    @property
-    def trained(self) -> np.ndarray:
-        return ~self.flags[self.doc]
+    def places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The texts of the tokens ``at``, which are in order, and their places in them."""
+        doc = np.repeat(np.arange(len(self.n), dtype=np.int32), np.diff(np.searchsorted(at, self.first)))
+        return doc, (at - self.first[doc]).astype(np.int32)
 
-    def back(self, at: np.ndarray, steps: int) -> np.ndarray:
+    def back(self, at: np.ndarray, place: np.ndarray, steps: int) -> np.ndarray:
         """The symbols that many steps before the tokens ``at``, which lie at least ``steps - 1`` words into their texts."""
-        return np.where(self.place[at] == steps - 1, START, self.token[np.maximum(at - steps, 0)])
+        return np.where(place == steps - 1, START, self.keys[self.ids[np.maximum(at - steps, 0)]])
 
-    def total(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Sums over texts of values of the tokens ``at``."""
-        return np.bincount(self.doc[at], values, len(self.n))
+    def total(self, doc: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Sums over texts of values of tokens in the texts ``doc``."""
+        return np.bincount(doc, values, len(self.n))
 
     def row(self, *state: np.ndarray) -> pa.RecordBatch:
         return token_row(self.number, self.doc_ids, self.flags, self.n, self.keys, self.ids, *state)
@@ -133,7 +134,7 @@ def tokenize(chunk: ch.Chunk) -> Iterator[pa.RecordBatch]:
     data = bw.LOWER[chunk.data]
     start, end, first = bw.word_spans(data, chunk.offsets, bw.SPACED)
     token = np.insert(bw.word_hashes(data, start, end), first[1:], END)
-    keys, ids = np.unique(token, return_inverse=True)
+    keys, _, ids = bw.distinct_hashes(token)
     yield token_row(chunk.number, chunk.doc_ids, chunk.flags, np.diff(first) + 1, keys, ids.astype(np.uint32))
     bw.give_back()
 
@@ -156,29 +157,32 @@ class Contexts:
 
     def __init__(self, t: Tokens, root: Root, depth: int):
         self.t, self.root, self.depth = t, root, depth
-        self.common, self.n_known, self.base, self.score, self.at, self.p, self.limit = t.state
+        self.common, self.n_known, self.base, self.score, steps, self.p, limit = t.state
+        self.at, self.limit = np.cumsum(steps, dtype=np.int64), limit.astype(np.int64)
+        self.doc, self.place = t.places(self.at)
 
     @classmethod
     def start(cls, t: Tokens, known: np.ndarray, root: Root) -> Contexts:
         """From the counts of the chunk's words."""
         # A start is as frequent as an end.
         ends = known[np.searchsorted(t.keys, END)]
-        count, every = known[t.ids], np.arange(len(t.ids))
-        bound = np.where(t.place == 0, ends, np.concatenate([count[:1], count[:-1]]))
+        count, steps = known[t.ids], np.ones(len(t.ids), np.uint32)
+        steps[:1] = 0
+        doc, place = t.places(np.arange(len(t.ids)))
+        bound = np.where(place == 0, ends, np.concatenate([count[:1], count[:-1]]))
         p = root.root(count)
         common = (np.append(known, ends) >= root.word_least).astype(np.uint8) if root.word_least else np.zeros(0, np.uint8)
-        base = t.total(every, np.log10(p))
-        t.state = [common, t.total(every, count > 0), base, np.zeros(len(t.n)), every.astype(np.uint32), p, bound]
+        base = t.total(doc, np.log10(p))
+        t.state = [common, t.total(doc, count > 0), base, np.zeros(len(t.n)), steps, p, bound]
         c = cls(t, root, 0)
-        c.close(np.ones(len(every), bool), bound)
+        c.close(np.ones(len(steps), bool), bound)
         return c
 
     def _usable(self, steps: int) -> np.ndarray:
         """Whether the word that many steps before may stand in a context of two words and more."""
         if not len(self.common):
             return np.ones(len(self.at), bool)
-        at = self.at.astype(np.int64)
-        return self.common[np.where(self.t.place[at] == steps - 1, len(self.common) - 1, self.t.ids[np.maximum(at - steps, 0)])] > 0
+        return self.common[np.where(self.place == steps - 1, len(self.common) - 1, self.t.ids[np.maximum(self.at - steps, 0)])] > 0
 
     def _after_open(self) -> np.ndarray:
         """Which open tokens, beside the first, follow the one open before them directly."""
@@ -187,30 +191,29 @@ class Contexts:
     def close(self, keep: np.ndarray, bound: np.ndarray) -> None:
         """Goes on to contexts a word longer, with ``bound`` occurrences at most, of the tokens kept; the others get their scores."""
         self.depth += 1
-        able = keep & (self.t.place[self.at] >= self.depth - 1) & (bound >= self.root.least)
+        able = keep & (self.place >= self.depth - 1) & (bound >= self.root.least)
         for steps in {1: (), 2: (1, 2)}.get(self.depth, (self.depth,)):
             able &= self._usable(steps)
         limit, after = bound.copy(), self._after_open()
         # What stands before the word before ends in the context of that word.
         limit[after] = np.minimum(bound[after], bound[after - 1])
-        self.score = self.score + self.t.total(self.at[~able], np.log10(self.p[~able]))
-        self.at, self.p, self.limit = self.at[able], self.p[able], limit[able]
+        self.score = self.score + self.t.total(self.doc[~able], np.log10(self.p[~able]))
+        self.at, self.doc, self.place, self.p, self.limit = (v[able] for v in (self.at, self.doc, self.place, self.p, limit))
 
     def contexts(self) -> np.ndarray:
         """Names of the open tokens' contexts."""
-        at = self.at.astype(np.int64)
-        found = self.t.back(at, 1)
+        found = self.t.back(self.at, self.place, 1)
         for steps in range(2, self.depth + 1):
-            found = bw.mix(found * bw.BASE + self.t.back(at, steps))
+            found = bw.mix(found * bw.BASE + self.t.back(self.at, self.place, steps))
         return found
 
     def find(self, contexts: np.ndarray, part: int) -> None:
         """The distinct (context, word) ``keys`` and distinct contexts ``names`` of the open tokens ``mine``, whose contexts are of a part."""
         self.mine = np.flatnonzero(contexts % np.uint64(PARTS.get(self.depth, 1)) == part)
         context = contexts[self.mine]
-        self.keys, entry, self.which = np.unique(bw.mix(context * bw.BASE + self.t.token[self.at[self.mine]]), return_index=True, return_inverse=True)
+        self.keys, entry, self.which = bw.distinct_hashes(bw.mix(context * bw.BASE + self.t.keys[self.t.ids[self.at[self.mine]]]))
         self.entry, self.context = self.mine[entry], context[entry]
-        self.names, name = np.unique(self.context, return_inverse=True)
+        self.names, _, name = bw.distinct_hashes(self.context)
         self.name = name[self.which]
 
     def take(self, replies: dict) -> None:
@@ -232,14 +235,16 @@ class Contexts:
         self.close(kept if self.depth > 1 else np.ones(len(kept), bool), bound)
 
     def row(self) -> pa.RecordBatch:
-        limit = np.minimum(self.limit, np.iinfo(np.int64).max).astype(np.int64)
-        return self.t.row(self.common, self.n_known, self.base, self.score, self.at, self.p, limit)
+        # Steps from one open token to the next and bounds of four bytes are short when packed.
+        limit = self.limit.astype(np.uint32) if self.limit.max(initial=0) < 1 << 32 else self.limit
+        return self.t.row(self.common, self.n_known, self.base, self.score, np.diff(self.at, prepend=0).astype(np.uint32), self.p, limit)
 
 
 def token_asks(ranges: int):
     def run(chunk: ch.Chunk) -> Iterator[pa.RecordBatch]:
         t = Tokens(chunk)
-        yield ch.ask_batch(chunk.number, ranges, t.keys, np.bincount(t.ids, t.trained, len(t.keys)).astype(np.uint32), form=ch.squeeze)
+        trained = np.repeat(~t.flags, t.n)
+        yield ch.ask_batch(chunk.number, ranges, t.keys, np.bincount(t.ids, trained, len(t.keys)).astype(np.uint32), form=ch.squeeze)
 
     return run
 
@@ -248,7 +253,7 @@ def token_answer(arrays: list[np.ndarray]) -> tuple[np.ndarray, bytes]:
     """Totals per word; the summary holds the numbers of known words and of tokens."""
     bw.give_back()  # what the group before held
     keys, counts, _ = arrays
-    distinct, which = np.unique(keys, return_inverse=True)
+    distinct, _, which = bw.distinct_hashes(keys)
     total = np.bincount(which, counts, len(distinct)).astype(np.int64)
     return total[which], ch.squeeze(np.array([np.count_nonzero(total), total.sum()]))
 
@@ -283,7 +288,7 @@ def context_asks(root: Root, depth: int, part: int, ranges: int):
         t = Tokens(chunk)
         c = Contexts(t, root, depth)
         c.find(c.contexts(), part)
-        trained = np.bincount(c.which, t.trained[c.at[c.mine]], len(c.keys)).astype(np.uint32)
+        trained = np.bincount(c.which, ~t.flags[c.doc[c.mine]], len(c.keys)).astype(np.uint32)
         yield ch.ask_batch(chunk.number, ranges, c.keys, trained, c.p[c.entry].astype(np.float32), c.context, form=ch.squeeze)
         names = ch.ask_batch(chunk.number, ranges, c.names, form=ch.squeeze)
         behind = pa.array(names.column(0).to_numpy() + np.int32(ranges))
@@ -301,11 +306,11 @@ def context_answer(arrays: list[np.ndarray]) -> tuple[np.ndarray, bytes | None]:
     if len(arrays) == 2:
         return arrays[0], None
     keys, counts, parents, contexts, _ = arrays
-    distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    distinct, first, which = bw.distinct_hashes(keys)
     total = np.bincount(which, counts, len(distinct)).astype(np.int64)
     used = np.flatnonzero(total > 0)
     parent = parents[first[used]].astype(float)
-    names, at = np.unique(contexts[first[used]], return_inverse=True)
+    names, _, at = bw.distinct_hashes(contexts[first[used]])
     c = total[used].astype(float)
     gains = [np.bincount(at, c * np.log((c - 1 + m * parent) / parent), len(names)) for m in MASSES]
     # bincount of nothing is an array of integers.
@@ -337,7 +342,7 @@ def verdicts(after: DataFrame, ranges: int, part: int, least: float, gain: float
         pieces = sorted(zip(rows.column("chunk").to_pylist(), rows.column("ask").to_pylist()))
         sums = [ch.unpack(a) for c, a in pieces if c < 0]
         names, n, *gains = (np.concatenate(v) for v in zip(*sums)) if sums else [np.zeros(0, np.uint64), *[np.zeros(0)] * (1 + len(MASSES))]
-        distinct, at = np.unique(names, return_inverse=True)
+        distinct, _, at = bw.distinct_hashes(names)
         n, *gains = (np.bincount(at, v, len(distinct)).astype(float) for v in (n, *gains))
         kept, best = _retained(n, np.stack(gains, 1), gain, divergence)
         kept &= n >= least
@@ -414,7 +419,7 @@ def score_chunk(root: Root):
         c = Contexts(t, root, 0)
         yield pa.RecordBatch.from_pydict({
             "doc_id": pa.array(t.doc_ids, pa.int64()), "held_out": t.flags, "n_tokens": t.n.astype(np.int64), "n_known": c.n_known.astype(np.int64),
-            "train_tokens": np.full(len(t.n), root.tokens), "base_score": c.base, "score": c.score + t.total(c.at, np.log10(c.p)),
+            "train_tokens": np.full(len(t.n), root.tokens), "base_score": c.base, "score": c.score + t.total(c.doc, np.log10(c.p)),
         })
 
     return run
