@@ -32,7 +32,7 @@ END_ID = 2
 SEQUENCE = 2048
 #: Sequences in a record batch: 4 MB of 16-bit ids.
 BATCH_ROWS = 1024
-#: Words that a worker remembers with their ids; beyond it the memory starts afresh.
+#: Words that a task remembers with their ids; beyond it the memory starts afresh.
 REMEMBERED = 2_000_000
 # The vocabulary's own word splitting drops white space and always parts an ASCII letter from one of these marks
 # behind it, so cutting there changes no id.
@@ -129,16 +129,6 @@ class WordEncoder:
         return np.insert(ids, np.cumsum(n_tokens - 1), np.uint16(end_id)), n_tokens
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    """This worker's encoder; its memory of words outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
-
-
 def sequence_schema(sequence: int) -> pa.Schema:
     return pa.schema([("input_ids", pa.list_(pa.uint16(), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
 
@@ -190,7 +180,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, sequence: int =
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
-        coder, docs_n, ids_n = encoder(vocabulary), 0, 0
+        coder, docs_n, ids_n = WordEncoder(vocabulary), 0, 0
         with store.open_output_stream(f"{root}/{name}.arrow") as sink, store.open_output_stream(f"{root}/{name}.index.arrow") as side:
             ids_out, index_out = ShardWriter(sink, sequence), pa.ipc.new_file(side, INDEX)
             for rows, data, offsets in bw.text_blocks(batches, "text"):

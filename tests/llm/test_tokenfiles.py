@@ -93,3 +93,25 @@ def test_documents_over_several_batches(spark, monkeypatch, whole):
 def test_edges(spark, whole):
     assert order(tf.token_files(c.edge_docs(spark)).collect()) == expected([r[:2] for r in c.EDGE], whole)
     assert tf.token_files(c.no_docs(spark)).count() == 0
+
+
+def test_workers_keep_no_encoder(spark):
+    """An encoder holds a vocabulary and all words it met, and idle workers stay alive."""
+
+    def left(batches):
+        import gc
+        import os
+        import time
+
+        import pyarrow as pa
+
+        for _ in batches:
+            time.sleep(0.2)  # so that the tasks take different workers
+        gc.unfreeze()
+        yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "n": [sum(type(o).__name__ == "WordEncoder" for o in gc.get_objects())]})
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(64)], "doc_id long, text string")
+    for _ in range(2):
+        assert tf.token_files(docs, shards=16).count() == 64
+    found = spark.range(16).repartition(16).mapInArrow(left, "pid long, n long").collect()
+    assert found and max(r.n for r in found) == 0

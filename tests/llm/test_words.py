@@ -1,10 +1,13 @@
+import gc
 import random
 import re
+import weakref
 
 import common as c
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 from mailsieve.llm import bytewords as bw
 
@@ -50,3 +53,26 @@ def test_joined_windows_are_equal_only_for_equal_words():
 def test_ranges_are_joined():
     assert bw.take_ranges(np.array([5, 0, 9]), np.array([2, 0, 3])).tolist() == [5, 6, 9, 10, 11]
     assert re.fullmatch(r"\[\]", str(bw.take_ranges(np.array([], int), np.array([], int)).tolist()))
+
+
+def test_what_a_task_set_aside_goes_with_the_next_one():
+    """Every task has a copy of the library; the copies of ended tasks hold no memory."""
+
+    class Held:
+        pass
+
+    class Running:
+        get = staticmethod(lambda: True)
+
+    packed, left = cloudpickle.dumps(bw.give_back), []
+    try:
+        for _ in range(4):
+            copy = cloudpickle.loads(packed)
+            held = Held()
+            copy.__globals__.update(TaskContext=Running, own=copy, held=held)
+            left.append(weakref.ref(held))
+            copy()
+            del copy, held
+        assert [r() for r in left[:-1]] == [None] * 3
+    finally:
+        gc.unfreeze()
