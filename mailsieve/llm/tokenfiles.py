@@ -14,10 +14,12 @@ and the text are read, so other columns cannot clash.
 from __future__ import annotations
 
 import os
+import sys
 import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,24 @@ def _plain(word: str) -> bool:
     return word.isalpha() and (word.isascii() or (unicodedata.is_normalized("NFC", word) and "\u0130" not in word))
 
 
+def _tokenizer(path: str) -> tuple:
+    """(tokenizer, which of its ids end a word), loaded once by a process.
+
+    A dropped tokenizer leaves megabytes of native memory behind, so one a task would fill a worker. It is kept beside
+    the process's modules, as every task has its own copy of this one.
+    """
+    held = vars(sys.modules.setdefault("_mailsieve_held", ModuleType("_mailsieve_held")))
+    if path not in held:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        held[path] = tokenizer, ends
+    return held[path]
+
+
 class WordEncoder:
     """Ids of whole texts by way of their words, each encoded once and remembered by its hash.
 
@@ -59,12 +79,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.tokenizer, self.ends = _tokenizer(path)
         self.clear()
 
     def clear(self) -> None:

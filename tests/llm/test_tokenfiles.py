@@ -5,6 +5,7 @@ import common as c
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark import cloudpickle
 from tokenizers import Tokenizer
 
 from mailsieve.llm import bytewords as bw
@@ -115,3 +116,9 @@ def test_workers_keep_no_encoder(spark):
         assert tf.token_files(docs, shards=16).count() == 64
     found = spark.range(16).repartition(16).mapInArrow(left, "pid long, n long").collect()
     assert found and max(r.n for r in found) == 0
+
+
+def test_a_process_loads_its_tokenizer_once():
+    """Every task has a copy of the library, and each tokenizer that is dropped leaves memory behind."""
+    copies = [cloudpickle.loads(cloudpickle.dumps(lambda: tf.WordEncoder(PATH).tokenizer)) for _ in range(2)]
+    assert copies[0]() is copies[1]() is tf.WordEncoder(PATH).tokenizer
