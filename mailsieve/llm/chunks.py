@@ -25,6 +25,8 @@ from mailsieve.llm import bytewords as bw
 from mailsieve.operators.durable import durable
 
 CHUNK_BYTES = 1 << 22
+#: Rows go to Spark in batches of about so many bytes.
+BATCH_BYTES = 1 << 20
 #: Entries of an array that tell in which form it is compressed.
 TRIED = 1 << 12
 CHUNKS = "chunk long, doc_ids array<long>, flags array<boolean>, lengths array<long>, text binary"
@@ -122,6 +124,13 @@ def packed_chunks(docs: DataFrame, flag: F.Column | None = None, chunk_bytes: in
     return rows.mapInArrow(pack_texts(chunk_bytes), CHUNKS)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in batches of about ``BATCH_BYTES``, one row at least: Spark holds a whole one outside its heap."""
+    rows = max(1, batch.num_rows * BATCH_BYTES // max(batch.nbytes, 1))
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
 class Chunk:
     """One unpacked chunk: ids, flags, bytes and offsets."""
 
@@ -147,6 +156,16 @@ def ask_batch(chunk: int, ranges: int, keys: np.ndarray, *values: np.ndarray, fo
     return pa.RecordBatch.from_arrays(arrays, names=["range", "chunk", "ask"])
 
 
+def reply_table(chunks: list[int | None], of_range: int, kind: int, packed: list[bytes]) -> pa.Table:
+    """Rows of a range's replies, in batches as ``slices`` cuts them."""
+    n = len(chunks)
+    rows = pa.RecordBatch.from_pydict({
+        "chunk": pa.array(chunks, pa.int64()), "range": pa.array([of_range] * n, pa.int32()),
+        "kind": pa.array([kind] * n, pa.int32()), "reply": pa.array(packed, pa.binary()),
+    })
+    return pa.Table.from_batches(slices(rows), rows.schema)
+
+
 def merge(asks: DataFrame, kind: int, answer: Callable[[list[np.ndarray]], tuple[np.ndarray, bytes | None]], form: Callable = pack) -> DataFrame:
     """A written table of replies. ``answer`` gets the joined arrays of a range, in order of chunks, and returns an
     array with an entry for each of theirs, and optionally a summary, kept in a row without a chunk."""
@@ -163,11 +182,7 @@ def merge(asks: DataFrame, kind: int, answer: Callable[[list[np.ndarray]], tuple
         packed = [form(reply[a:b]) for a, b in zip(upto[:-1], upto[1:])]
         if summary is not None:
             numbers, packed = [*numbers, None], [*packed, summary]
-        n = len(numbers)
-        return pa.table({
-            "chunk": pa.array(numbers, pa.int64()), "range": pa.array([key[0].as_py()] * n, pa.int32()),
-            "kind": pa.array([kind] * n, pa.int32()), "reply": pa.array(packed, pa.binary()),
-        })
+        return reply_table(numbers, key[0].as_py(), kind, packed)
 
     return durable(asks.groupBy("range").applyInArrow(run, REPLIES), "replies")
 
@@ -205,6 +220,7 @@ def each_chunk(chunks: DataFrame, body: Callable, schema: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                yield from body(Chunk(batch.slice(k, 1).to_pylist()[0]))
+                for found in body(Chunk(batch.slice(k, 1).to_pylist()[0])):
+                    yield from slices(found)
 
     return chunks.mapInArrow(run, schema)

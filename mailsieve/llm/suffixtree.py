@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from mailsieve.llm import bytewords as bw
 from mailsieve.llm import chunks as ch
-from mailsieve.operators.durable import discard, durable, shuffles_dropped
+from mailsieve.operators.durable import discard, durable, shuffles_dropped, small_batches
 
 LEAST = 20
 GAIN, DIVERGENCE = 10.0, 0.002
@@ -351,11 +351,7 @@ def verdicts(after: DataFrame, ranges: int, part: int, least: float, gain: float
         chunks = [c for c, _ in pieces if c >= 0]
         packed = [ch.squeeze(code[index_of(names, ch.unpack(a)[0])]) for c, a in pieces if c >= 0]
         packed.append(ch.squeeze(names, n[kept], np.array(MASSES)[choice]))
-        size = len(packed)
-        return pa.table({
-            "chunk": pa.array([*chunks, None], pa.int64()), "range": pa.array([key[0].as_py()] * size, pa.int32()),
-            "kind": pa.array([kinds(part)[1]] * size, pa.int32()), "reply": pa.array(packed, pa.binary()),
-        })
+        return ch.reply_table([*chunks, None], key[0].as_py(), kinds(part)[1], packed)
 
     sums = after.where("chunk IS NULL").select("range", "reply").mapInArrow(deal, ch.ASKS)
     asks = after.where(F.col("range") >= ranges).select((F.col("range") - F.lit(ranges)).alias("range"), "chunk", F.col("reply").alias("ask"))
@@ -385,6 +381,12 @@ def grow_tree(
     There are at least ``ranges`` ranges, and one for every ``CHUNKS_A_RANGE`` chunks.
     """
     tokenized = durable(ch.each_chunk(table, tokenize, ch.CHUNKS), "tokens")
+    # Only now: batches of texts tell how large the chunks are.
+    with small_batches(tokenized.sparkSession, ch.BATCH_BYTES):
+        return _grow(tokenized, ranges, share, pair_share, gain, divergence)
+
+
+def _grow(tokenized: DataFrame, ranges: int, share: float, pair_share: float, gain: float, divergence: float) -> tuple[Tree, DataFrame]:
     ranges = max(ranges, -(-tokenized.count() // CHUNKS_A_RANGE))
     words = ch.merge(ch.each_chunk(tokenized, token_asks(ranges), ch.ASKS), WORDS, token_answer, ch.squeeze)
     _, distinct, tokens = _sums(words)
@@ -434,6 +436,7 @@ def score_texts(
     with shuffles_dropped(spark):
         tree, state = grow_tree(ch.packed_chunks(docs, held_out), ranges, share, pair_share, gain, divergence)
         root = Root(tree.tokens, tree.distinct, tree.least, tree.word_least)
-        scores = durable(ch.each_chunk(state, score_chunk(root), SCORES), "scores")
+        with small_batches(spark, ch.BATCH_BYTES):
+            scores = durable(ch.each_chunk(state, score_chunk(root), SCORES), "scores")
     discard(state, *tree.tables)
     return scores

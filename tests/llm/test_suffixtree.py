@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mailsieve.llm import chunks as ch
 from mailsieve.llm import queries, suffixtree as st
+from mailsieve.operators.durable import small_batches
 
 
 def base(rows, held):
@@ -198,3 +199,21 @@ def test_rare_contexts_stay_candidates_in_a_large_corpus(spark):
     # The start of the text, "next" and the end are all but certain after "rare".
     assert got[1000].score - got[1000].base_score > 6
     assert got[1001].score - got[1002].score > 0.3
+
+
+def test_large_rows_travel_in_small_batches(spark):
+    """Spark holds a batch outside its heap, so one never has many rows of a megabyte."""
+    import pyarrow as pa
+
+    wide = pa.RecordBatch.from_pydict({"range": pa.array(range(64), pa.int32()), "ask": pa.array([bytes([k]) * 100_000 for k in range(64)])})
+    cut = list(ch.slices(wide))
+    assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([wide])) and max(b.nbytes for b in cut) <= ch.BATCH_BYTES
+    assert list(ch.slices(wide.slice(0, 0))) == [] and len(ch.reply_table([], 1, 1, [])) == 0
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    with small_batches(spark, ch.BATCH_BYTES):
+        rows = spark.range(8, numPartitions=1).select(F.expr("cast(repeat('x', 700000) as binary)").alias("b")).mapInArrow(sizes, "n long").collect()
+    assert sum(r.n for r in rows) == 8 and max(r.n for r in rows) <= 2
+    assert spark.conf.get(name, None) == before
