@@ -184,7 +184,7 @@ def merge(asks: DataFrame, kind: int, answer: Callable[[list[np.ndarray]], tuple
             numbers, packed = [*numbers, None], [*packed, summary]
         return reply_table(numbers, key[0].as_py(), kind, packed)
 
-    return durable(asks.groupBy("range").applyInArrow(run, REPLIES), "replies")
+    return durable(asks.groupBy("range").applyInArrow(run, REPLIES), "replies", form is squeeze)
 
 
 def replies_of(table: pa.Table) -> dict[int, np.ndarray]:

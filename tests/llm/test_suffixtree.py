@@ -217,3 +217,14 @@ def test_large_rows_travel_in_small_batches(spark):
         rows = spark.range(8, numPartitions=1).select(F.expr("cast(repeat('x', 700000) as binary)").alias("b")).mapInArrow(sizes, "n long").collect()
     assert sum(r.n for r in rows) == 8 and max(r.n for r in rows) <= 2
     assert spark.conf.get(name, None) == before
+
+
+def test_packed_columns_are_not_compressed_again(spark, markov):
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(markov[:40])], "doc_id long, text string")
+    tree, state = st.grow_tree(ch.write_chunks(docs), 2, 1e-4, 1e-3, st.GAIN, st.DIVERGENCE)
+    for table in (state, *tree.tables):
+        for path in table.inputFiles():
+            meta = pq.ParquetFile(path.removeprefix("file://")).metadata
+            assert {meta.row_group(0).column(k).compression for k in range(meta.num_columns)} == {"UNCOMPRESSED"}
