@@ -12,6 +12,7 @@ fits a task, as for any other aggregation.
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Callable, Iterable, Iterator
 
@@ -132,13 +133,17 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 class Chunk:
-    """One unpacked chunk: ids, flags, bytes and offsets."""
+    """One unpacked chunk: ids, flags, bytes and offsets; ``state`` is what a join has added to its row."""
 
     def __init__(self, row: dict):
-        self.number, self.doc_ids = row["chunk"], row["doc_ids"]
+        self.number, self.doc_ids, self.state = row["chunk"], row["doc_ids"], row.get("state")
         self.flags = np.array(row["flags"], bool)
         self.offsets = np.concatenate([[0], np.cumsum(np.array(row["lengths"], np.int64))]).astype(np.int64)
-        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["text"]), np.uint8)
+        self.packed = row["text"]
+
+    @functools.cached_property
+    def data(self) -> np.ndarray:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self.packed), np.uint8)
 
 
 def cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -195,8 +200,20 @@ def replies_of(table: pa.Table) -> dict[int, np.ndarray]:
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
+def answered(replies: DataFrame, body: Callable, schema: str) -> DataFrame:
+    """``body(number of a chunk, replies by kind)`` gives a record batch for every chunk that has answers."""
+
+    def run(key: tuple, answers: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([body(key[0].as_py(), replies_of(answers))])
+
+    return replies.where("chunk IS NOT NULL").groupBy("chunk").applyInArrow(run, schema)
+
+
 def with_replies(chunks: DataFrame, replies: list[DataFrame], body: Callable, schema: str) -> DataFrame:
-    """``body(chunk, replies by kind)`` gives record batches for every chunk together with its answers."""
+    """``body(chunk, replies by kind)`` gives record batches for every chunk together with its answers.
+
+    Only answers are shuffled if the chunks lie in buckets of their numbers.
+    """
     every = replies[0]
     for r in replies[1:]:
         every = every.unionByName(r)
@@ -210,8 +227,8 @@ def with_replies(chunks: DataFrame, replies: list[DataFrame], body: Callable, sc
     from pyspark.sql.pandas.types import to_arrow_schema
 
     empty = to_arrow_schema(T._parse_datatype_string(schema)).empty_table()
-    answered = every.where("chunk IS NOT NULL")
-    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(run, schema)
+    answers = every.where("chunk IS NOT NULL")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def each_chunk(chunks: DataFrame, body: Callable, schema: str) -> DataFrame:

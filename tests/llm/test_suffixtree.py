@@ -228,3 +228,37 @@ def test_packed_columns_are_not_compressed_again(spark, markov):
         for path in table.inputFiles():
             meta = pq.ParquetFile(path.removeprefix("file://")).metadata
             assert {meta.row_group(0).column(k).compression for k in range(meta.num_columns)} == {"UNCOMPRESSED"}
+
+
+def test_tokens_lie_still(spark, markov, monkeypatch):
+    """Tokens are written once and never shuffled: a length moves asks and replies, and writes only what it changes beside them."""
+    written, plans = [], []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plain, replied = st.durable, ch.with_replies
+
+    def kept(df, name="table", *args, **kwargs):
+        table = plain(df, name, *args, **kwargs)
+        written.append((name, table.columns))
+        return table
+
+    def planned(*args):
+        df = replied(*args)
+        plans.append(plan(df))
+        return df
+
+    monkeypatch.setattr(st, "durable", kept)
+    monkeypatch.setattr(ch, "with_replies", planned)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tree, state = st.grow_tree(ch.packed_chunks(spark.createDataFrame(list(enumerate(markov)), "doc_id long, text string")), 4)
+        assert "SortMergeJoin" in plan(state) and "Exchange" not in plan(state)
+        # One for the replies, none for the chunks.
+        assert len(plans) > 1 and all(p.count("Exchange hashpartitioning") == 1 for p in plans)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [n for n, _ in written].count("tokens") == 1
+    assert len([n for n, _ in written if n == "state"]) > 1 and all("text" not in columns for n, columns in written if n == "state")
+    names = [t.durable_table for t in tree.tables if hasattr(t, "durable_table")]
+    st.discard(*tree.tables)
+    assert len(names) == 2 and not any(spark.catalog.tableExists(n) for n in names)
